@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import params as P
-from tidemark.operators.asof import asof_market, asof_rate, daily_rates
+from tidemark.operators.asof import asof_market, daily_rates
 from tidemark.operators.calendar import Calendar, cover_anchors, history_bounds
 from tidemark.operators.lookback import EXTRAS, STATS, lookback_stats
 from tidemark.operators.score import learned_score, panel_score
@@ -27,8 +27,8 @@ def panel_inputs(
     """Unscored panel rows: statistics at every anchor with cap and volume known at that anchor."""
     universe = coins.filter(~F.coalesce("is_stable", F.lit(False))).select("symbol", "market_cap", "volume_24h")
     members = candles.join(universe.select("symbol"), "symbol", "left_semi")
+    # The warm-up equals the three-year minimum, so the valuation percentile is always present here.
     stats = lookback_stats(members, calendar, event_start, P.WARMUP_CANDLES)
-    stats = stats.filter(F.col("valuation_pct_3y").isNotNull())
     priced = asof_market(stats, archive, universe, calendar)
     return priced.withColumn("frequency", F.lit(calendar.frequency)).withColumn("is_stable", F.lit(False))
 
@@ -159,4 +159,3 @@ def feature_rows(panel: DataFrame, rates: DataFrame, calendar: Calendar) -> Data
     )
 
 
-__all__ = ["asof_rate", "point_in_time_panel", "forward_returns", "feature_rows", "regime"]
