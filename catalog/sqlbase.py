@@ -238,3 +238,18 @@ LEFT JOIN gated_@_scored g USING (symbol, anchor) LEFT JOIN free_@_scored f USIN
 
 for _freq in ("once", "monthly", "quarterly", "weekly"):
     CTES.update(_chain(_freq))
+
+for _f in ("m", "w", "q"):
+    CTES[f"pairs1_{_f}"] = f"""
+SELECT a.idx, a.anchor, a.symbol, a.price, b.price AS next_price, b.price / a.price - 1.0 AS ret, a.score, a.distance,
+  a.trend_30d, a.above_sma200
+FROM panel_{_f} a JOIN panel_{_f} b ON b.symbol = a.symbol AND b.idx = a.idx + 1"""
+    CTES[f"altret_{_f}"] = f"SELECT idx + 1 AS idx, avg(ret) AS alt_return FROM pairs1_{_f} GROUP BY 1"
+    CTES[f"altlevel_{_f}"] = f"""
+SELECT a.anchor, a.idx, r.alt_return, product(1.0 + coalesce(r.alt_return, 0.0)) OVER (ORDER BY a.idx) AS alt_index
+FROM anchors_{_f} a LEFT JOIN altret_{_f} r USING (idx)"""
+    CTES[f"regime_{_f}"] = f"""
+SELECT anchor, idx, alt_return, alt_index, CASE WHEN idx >= 2 THEN alt_index > sma END AS alt_above_sma,
+  alt_index / sma - 1.0 AS alt_trend, breadth
+FROM (SELECT *, avg(alt_index) OVER (ORDER BY idx ROWS 5 PRECEDING) AS sma FROM altlevel_{_f})
+LEFT JOIN (SELECT anchor, avg(CAST(above_sma200 AS DOUBLE)) AS breadth FROM panel_{_f} GROUP BY 1) USING (anchor)"""

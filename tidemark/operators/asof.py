@@ -18,7 +18,8 @@ def daily_rates(rates: DataFrame, until: dt.date, value: str = "close") -> DataF
     """
     w = Window.partitionBy(F.lit(0)).orderBy("ts")
     last = F.greatest(F.coalesce(F.date_sub(F.lead("ts").over(w), 1), F.lit(until)), F.col("ts"))
-    return rates.select(F.explode(F.sequence("ts", last)).alias("day"), F.col(value).alias("rate"))
+    spans = rates.select("ts", F.col(value).alias("rate"), last.alias("last"))
+    return spans.select(F.explode(F.sequence("ts", "last")).alias("day"), "rate")
 
 
 def asof_rate(times: DataFrame, rates: DataFrame, until: dt.date, ts: str = "ts", policy: str = "strict") -> DataFrame:
