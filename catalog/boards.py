@@ -86,7 +86,7 @@ def trailing(ws):
 query("trends", "symbol:s ts:d trend_7d:f5 trend_30d:f5 trend_90d:f5 trend_180d:f5 trend_365d:f5", _TRAIL)(trailing)
 query("above_sma200", "symbol:s ts:d above_sma200:b", _TRAIL)(trailing)
 query("realized_volatility", "symbol:s ts:d volatility_30d:f6 volatility_90d:f6", _TRAIL)(trailing)
-query("dollar_volume_30d", "symbol:s ts:d dollar_volume_30d:f4", _TRAIL)(trailing)
+query("dollar_volume_30d", "symbol:s ts:d dollar_volume_30d:f3", _TRAIL)(trailing)
 
 _EXTREMA = """
 SELECT symbol, ts, rn, min(low) OVER w AS atl, arg_min(rn, row(low, rn)) OVER w AS atl_rn, min(close) OVER w AS min_close,
@@ -169,11 +169,12 @@ query(
 
 
 def _sparse_rates(ws):
-    """Mondays only and from 1996 on, so that both as-of policies are exercised."""
-    return ws.rates.filter((F.col("ts") >= "1996-01-01") & (F.weekday("ts") == 0))
+    """The day's high, Mondays only and from 1996 on, so that both as-of policies are exercised."""
+    rows = ws.rates.filter((F.col("ts") >= "1996-01-01") & (F.weekday("ts") == 0))
+    return rows.withColumn("close", F.col("high"))
 
 
-CTES["sparse_rates"] = "SELECT * FROM rates WHERE ts >= DATE '1996-01-01' AND isodow(ts) = 1"
+CTES["sparse_rates"] = "SELECT ts, high, low, high AS close FROM rates WHERE ts >= DATE '1996-01-01' AND isodow(ts) = 1"
 CTES["rate_days"] = "SELECT d.ts, r.close AS rate FROM (SELECT DISTINCT ts FROM candles) d ASOF LEFT JOIN sparse_rates r ON d.ts >= r.ts"
 query("asof_rate_strict", "ts:d rate:f6", "SELECT * FROM rate_days")(
     lambda ws: A.asof_rate(ws.candles.select("ts").distinct(), _sparse_rates(ws), ws.last_day)
