@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["core", "ingest", "boards"]
+MODULES = ["core", "ingest", "boards", "research"]
 
 
 def load() -> None:

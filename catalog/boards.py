@@ -86,7 +86,7 @@ def trailing(ws):
 query("trends", "symbol:s ts:d trend_7d:f5 trend_30d:f5 trend_90d:f5 trend_180d:f5 trend_365d:f5", _TRAIL)(trailing)
 query("above_sma200", "symbol:s ts:d above_sma200:b", _TRAIL)(trailing)
 query("realized_volatility", "symbol:s ts:d volatility_30d:f6 volatility_90d:f6", _TRAIL)(trailing)
-query("dollar_volume_30d", "symbol:s ts:d dollar_volume_30d:f3", _TRAIL)(trailing)
+query("dollar_volume_30d", "symbol:s ts:d dollar_volume_30d:f5", _TRAIL)(trailing)
 
 _EXTREMA = """
 SELECT symbol, ts, rn, min(low) OVER w AS atl, arg_min(rn, row(low, rn)) OVER w AS atl_rn, min(close) OVER w AS min_close,

@@ -122,7 +122,8 @@ def _spark_cast(col: Column, kind: str) -> Column:
         return col.cast("string")
     if kind in ("i", "b"):
         return col.cast("bigint")
-    rounded = F.round(col.cast("double"), int(kind[1:]))
+    unit = F.lit(float(10 ** int(kind[1:])))
+    rounded = F.rint(col.cast("double") * unit) / unit
     return F.when(rounded == 0, F.lit(0.0)).otherwise(rounded)
 
 
@@ -131,7 +132,8 @@ def _sql_cast(name: str, kind: str) -> str:
         return f'CAST("{name}" AS VARCHAR) AS "{name}"'
     if kind in ("i", "b"):
         return f'CAST("{name}" AS BIGINT) AS "{name}"'
-    r = f'round(CAST("{name}" AS DOUBLE), {kind[1:]})'
+    unit = f"CAST({10 ** int(kind[1:])} AS DOUBLE)"
+    r = f'round_even(CAST("{name}" AS DOUBLE) * {unit}, 0) / {unit}'
     return f'CASE WHEN {r} = 0 THEN CAST(0 AS DOUBLE) ELSE {r} END AS "{name}"'
 
 

@@ -55,16 +55,16 @@ def rank_columns(
     ``<value>_rank`` per column and ``group_n``.
     """
     by, ids, keep = list(by), list(ids), list(keep)
-    pairs = F.array(*[F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("v")) for v in values])
-    long = df.select(*by, *ids, *keep, F.explode(pairs).alias("p")).select(*by, *ids, *keep, "p.name", "p.v")
-    counts = long.groupBy(*by, "name", "v").agg(F.count(F.lit(1)).alias("n"))
-    placed = count_before(counts, [*by, "name"], "v").select(
-        *by, "name", "v", (F.col("before") + (F.col("n") - 1) / 2.0).alias("rank0"), "total"
+    pairs = F.array(*[F.struct(F.lit(v).alias("__c"), F.col(v).cast("double").alias("__v")) for v in values])
+    long = df.select(*by, *ids, *keep, F.explode(pairs).alias("__p")).select(*by, *ids, *keep, "__p.__c", "__p.__v")
+    counts = long.groupBy(*by, "__c", "__v").agg(F.count(F.lit(1)).alias("n"))
+    placed = count_before(counts, [*by, "__c"], "__v").select(
+        *by, "__c", "__v", (F.col("before") + (F.col("n") - 1) / 2.0).alias("rank0"), "total"
     )
-    joined = long.join(placed, [*by, "name", "v"])
+    joined = long.join(placed, [*by, "__c", "__v"])
     return joined.groupBy(*by, *ids).agg(
         *[F.first(k).alias(k) for k in keep],
-        *[F.max(F.when(F.col("name") == v, F.col("rank0"))).alias(f"{v}_rank") for v in values],
+        *[F.max(F.when(F.col("__c") == v, F.col("rank0"))).alias(f"{v}_rank") for v in values],
         F.max("total").alias("group_n"),
     )
 
