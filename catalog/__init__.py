@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["core", "ingest", "boards", "research"]
+MODULES = ["core", "ingest", "boards", "research", "strategies", "sweeps"]
 
 
 def load() -> None:

@@ -7,12 +7,12 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.calendar import Calendar, history_bounds
 from tidemark.plans.panel import panel_calendar, point_in_time_panel
+from tidemark.session import materialize
 from tidemark.sources import fixtures as fx
 
 EVENT = dt.date(1998, 1, 1)
@@ -27,8 +27,9 @@ class Workspace:
         self._kept: dict[str, object] = {}
 
     def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table many queries read: written once to the shared folder, then scanned."""
         if name not in self._kept:
-            self._kept[name] = build().persist(StorageLevel.MEMORY_AND_DISK)
+            self._kept[name] = materialize(build(), name)
         return self._kept[name]
 
     def table(self, name: str) -> DataFrame:
@@ -105,7 +106,8 @@ REGISTRY: dict[str, Query] = {}
 
 
 def query(key: str, columns: str, sql: str | None = None):
-    """Register a builder. ``columns`` is 'name:type ...' with s, d, i, b or fN (N decimals)."""
+    """Register a builder. ``columns`` is 'name:type ...' with s, d, i, b, fN (N decimals)
+    or lN (signed log scale, N decimals, for compounded values of any magnitude)."""
     parsed = tuple(tuple(c.split(":")) for c in columns.split())
 
     def register(build):
@@ -123,7 +125,10 @@ def _spark_cast(col: Column, kind: str) -> Column:
     if kind in ("i", "b"):
         return col.cast("bigint")
     unit = F.lit(float(10 ** int(kind[1:])))
-    rounded = F.rint(col.cast("double") * unit) / unit
+    value = col.cast("double")
+    if kind[0] == "l":
+        value = F.signum(value) * F.log1p(F.abs(value))
+    rounded = F.rint(value * unit) / unit
     return F.when(rounded == 0, F.lit(0.0)).otherwise(rounded)
 
 
@@ -133,7 +138,10 @@ def _sql_cast(name: str, kind: str) -> str:
     if kind in ("i", "b"):
         return f'CAST("{name}" AS BIGINT) AS "{name}"'
     unit = f"CAST({10 ** int(kind[1:])} AS DOUBLE)"
-    r = f'round_even(CAST("{name}" AS DOUBLE) * {unit}, 0) / {unit}'
+    value = f'CAST("{name}" AS DOUBLE)'
+    if kind[0] == "l":
+        value = f"sign({value}) * ln(1 + abs({value}))"
+    r = f"round_even({value} * {unit}, 0) / {unit}"
     return f'CASE WHEN {r} = 0 THEN CAST(0 AS DOUBLE) ELSE {r} END AS "{name}"'
 
 

@@ -51,11 +51,12 @@ def rank_ic(rows: DataFrame, by: Sequence[str], x: str = "value", y: str = "ret"
     rx, ry = F.col(f"{x}_rank"), F.col(f"{y}_rank")
     stats = ranked.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
-        F.corr(rx, ry).alias("ic"),
-        F.min(rx).alias("x0"), F.max(rx).alias("x1"), F.min(ry).alias("y0"), F.max(ry).alias("y1"),
-    )
-    valid = (F.col("n") >= 3) & (F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1"))
-    return stats.select(*by, "n", F.when(valid, F.col("ic")).alias("ic"))
+        F.covar_pop(rx, ry).alias("cov"),
+        F.var_pop(rx).alias("vx"),
+        F.var_pop(ry).alias("vy"),
+    )
+    valid = (F.col("n") >= 3) & (F.col("vx") > 0) & (F.col("vy") > 0)
+    return stats.select(*by, "n", F.when(valid, F.col("cov") / F.sqrt(F.col("vx") * F.col("vy"))).alias("ic"))
 
 
 def quintile_spread(rows: DataFrame, by: Sequence[str], x: str = "value", y: str = "ret") -> DataFrame:

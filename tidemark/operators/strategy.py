@@ -17,8 +17,13 @@ from tidemark.operators.calendar import Calendar
 from tidemark.operators.research import rank_ic
 from tidemark.plans.panel import forward_pairs, numbered
 
-SA = Window.partitionBy("strategy_id", "anchor")
-ZERO = F.lit(0.0)
+
+def _sa():
+    return Window.partitionBy("strategy_id", "anchor")
+
+
+def _zero() -> Column:
+    return F.lit(0.0)
 
 
 def _sign() -> Column:
@@ -26,7 +31,7 @@ def _sign() -> Column:
 
 
 def liquid() -> Column:
-    cap, volume = F.coalesce("cap", ZERO), F.coalesce("volume", ZERO)
+    cap, volume = F.coalesce("cap", _zero()), F.coalesce("volume", _zero())
     return (
         (cap >= F.col("min_market_cap"))
         & (F.col("max_market_cap").isNull() | (cap <= F.col("max_market_cap")))
@@ -51,7 +56,7 @@ def _largest(strategies: DataFrame, column: str) -> int:
 
 def top_n_per_anchor(rows: DataFrame, slots: str, largest: int) -> DataFrame:
     """Best ``slots`` rows per strategy and anchor: score, then distance, then symbol."""
-    order = SA.orderBy((F.col("score") * _sign()).desc(), F.col("distance").asc_nulls_last(), "symbol")
+    order = _sa().orderBy((F.col("score") * _sign()).desc(), F.col("distance").asc_nulls_last(), "symbol")
     placed = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= largest)
     return placed.filter(F.col("place") <= F.col(slots))
 
@@ -66,10 +71,10 @@ def picks_rebalance(panel: DataFrame, strategies: DataFrame, blocked: DataFrame
 
 def weights(picks: DataFrame) -> DataFrame:
     """Equal, score-proportional or cap-proportional weights that sum to one per anchor."""
-    n = F.count(F.lit(1)).over(SA)
-    score_sum, cap_sum = F.sum("score").over(SA), F.sum(F.coalesce("cap", ZERO)).over(SA)
+    n = F.count(F.lit(1)).over(_sa())
+    score_sum, cap_sum = F.sum("score").over(_sa()), F.sum(F.coalesce("cap", _zero())).over(_sa())
     by_score = F.col("score") / F.when(score_sum == 0, 1.0).otherwise(score_sum)
-    by_cap = F.when(cap_sum <= 0, 1.0 / n).otherwise(F.coalesce("cap", ZERO) / cap_sum)
+    by_cap = F.when(cap_sum <= 0, 1.0 / n).otherwise(F.coalesce("cap", _zero()) / cap_sum)
     mode = F.col("weighting")
     return picks.withColumn(
         "weight", F.when(mode == "score", by_score).when(mode == "market_cap", by_cap).otherwise(1.0 / n)
@@ -78,7 +83,7 @@ def weights(picks: DataFrame) -> DataFrame:
 
 def fill_with_numeraire(weighted: DataFrame) -> DataFrame:
     """Leave empty slots in the numeraire: scale by filled slots over all slots."""
-    share = F.count(F.lit(1)).over(SA) / F.col("top_n")
+    share = F.count(F.lit(1)).over(_sa()) / F.col("top_n")
     return weighted.withColumn("weight", F.when(F.col("fill_with_btc"), F.col("weight") * share).otherwise(F.col("weight")))
 
 
@@ -107,7 +112,7 @@ def short_sleeve(panel: DataFrame, strategies: DataFrame, longs: DataFrame) -> D
     allowed = F.col("short_max_score").isNull() | (F.col("score") <= F.col("short_max_score"))
     keys = ["strategy_id", "anchor", "symbol"]
     free = rows.filter(liquid() & allowed).join(longs.select(*keys), keys, "left_anti")
-    order = SA.orderBy((F.col("score") * _sign()).asc(), "symbol")
+    order = _sa().orderBy((F.col("score") * _sign()).asc(), "symbol")
     placed = free.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= _largest(strategies, "short_n"))
     weight = -clamp(F.col("short_exposure"), 0.0, 1.0) / F.col("short_n")
     return placed.filter(F.col("place") <= F.col("short_n")).withColumn("weight", weight)
@@ -243,7 +248,7 @@ def equity_curve(period_rows: DataFrame) -> DataFrame:
         F.product(1.0 + F.col("period_return")).over(w).alias("equity"),
     )
     start = period_rows.filter("idx = 0").select(
-        "strategy_id", "idx", "anchor", ZERO.alias("period_return"), F.lit(1.0).alias("equity")
+        "strategy_id", "idx", "anchor", _zero().alias("period_return"), F.lit(1.0).alias("equity")
     )
     return start.unionByName(later)
 
@@ -274,13 +279,13 @@ def performance_metrics(curve: DataFrame, period_rows: DataFrame, frequency: str
         F.max_by("equity", "idx").alias("final"),
         F.max_by("equity_usd", "idx").alias("usd"),
         F.max_by("benchmark_usd", "idx").alias("bench"),
-        F.least(ZERO, F.min("drawdown")).alias("max_drawdown"),
+        F.least(_zero(), F.min("drawdown")).alias("max_drawdown"),
         F.datediff(F.max("anchor"), F.min("anchor")).alias("days"),
     )
     r = F.col("period_return")
     body = period_rows.groupBy("strategy_id").agg(
         F.avg(r).alias("m"),
-        F.coalesce(F.stddev_samp(r), ZERO).alias("s"),
+        F.coalesce(F.stddev_samp(r), _zero()).alias("s"),
         F.avg((r > 0).cast("double")).alias("win_rate"),
         F.avg("holdings").alias("avg_holdings"),
         F.avg("turnover").alias("avg_turnover"),
@@ -357,7 +362,7 @@ def consistency_metrics(curve: DataFrame, keys: list[str], frequency: str, start
         .join(shares, keys, "left")
         .withColumns(
             {
-                "positive_rolling_share": F.coalesce("positive_rolling_share", ZERO),
+                "positive_rolling_share": F.coalesce("positive_rolling_share", _zero()),
                 "best_period_share": F.coalesce("best_period_share", F.lit(1.0)),
             }
         )
@@ -437,10 +442,10 @@ def trade_stats(trades: DataFrame) -> DataFrame:
     return trades.groupBy("strategy_id").agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(~closed).alias("open"),
-        F.coalesce(F.avg(F.when(closed, (F.col("ret") > 0).cast("double"))), ZERO).alias("win_rate"),
-        F.coalesce(F.avg(ret), ZERO).alias("mean"),
-        F.coalesce(F.max(ret), ZERO).alias("best"),
-        F.coalesce(F.min(ret), ZERO).alias("worst"),
+        F.coalesce(F.avg(F.when(closed, (F.col("ret") > 0).cast("double"))), _zero()).alias("win_rate"),
+        F.coalesce(F.avg(ret), _zero()).alias("mean"),
+        F.coalesce(F.max(ret), _zero()).alias("best"),
+        F.coalesce(F.min(ret), _zero()).alias("worst"),
     )
 
 
@@ -551,7 +556,7 @@ def profit_sweep(members: DataFrame, pct: str = "profit_sweep_pct") -> DataFrame
 
 def in_numeraire_reason(rows: DataFrame) -> DataFrame:
     """Why a period is flat: ic, equity, regime or cash (first that applies), null when invested."""
-    flat = F.coalesce("gross_notional", ZERO) <= 1e-9
+    flat = F.coalesce("gross_notional", _zero()) <= 1e-9
     reason = (
         F.when(F.col("ic_filter") & ~F.coalesce("ic_risk_on", F.lit(True)), "ic")
         .when(F.coalesce("equity_brake", F.lit(False)) & (F.col("equity_trend_exposure") <= 0), "equity")
@@ -641,14 +646,14 @@ def equity_overlays(positions: DataFrame, period_rows: DataFrame, panel: DataFra
     def step(acc, r):
         seen = F.array_append(acc["recent"], acc["equity"])
         recent = F.slice(seen, F.greatest(F.size(seen) - (P.REGIME_SMA_ANCHORS - 1), F.lit(1)), F.lit(P.REGIME_SMA_ANCHORS))
-        mean = F.aggregate(recent, ZERO, lambda a, x: a + x) / F.size(recent)
+        mean = F.aggregate(recent, _zero(), lambda a, x: a + x) / F.size(recent)
         busy = F.size(r["longs"]) > 0
         brake = exposure.isNotNull() & busy & (F.size(recent) >= 3) & (acc["equity"] < mean)
         lock = F.col("profit_lock_pct").isNotNull() & busy & (acc["equity"] >= acc["lock"] * 2.0)
         scale = F.when(brake, clamp(exposure, 0.0, 1.0)).otherwise(1.0) * F.when(lock, remaining).otherwise(1.0)
         held = F.map_concat(F.transform_values(r["longs"], lambda k, v: v * scale), r["shorts"])
-        change = F.map_zip_with(held, acc["held"], lambda k, a, b: F.abs(F.coalesce(a, ZERO) - F.coalesce(b, ZERO)))
-        traded = F.aggregate(F.map_values(change), ZERO, lambda a, x: a + x)
+        change = F.map_zip_with(held, acc["held"], lambda k, a, b: F.abs(F.coalesce(a, _zero()) - F.coalesce(b, _zero())))
+        traded = F.aggregate(F.map_values(change), _zero(), lambda a, x: a + x)
         net = r["long_ret"] * scale + r["short_ret"] - traded * r["fee_pct"] / 100.0 - r["funding"]
         equity = acc["equity"] * (1.0 + net)
         out = F.struct(
