@@ -252,8 +252,8 @@ query(
           SELECT strategy_id, year(anchor) AS y, max_by(equity, idx) AS e FROM curve GROUP BY 1, 2)) GROUP BY 1)
     JOIN ({_ROLL}) USING (strategy_id)
     JOIN (SELECT strategy_id, avg(CASE WHEN equity < peak - 1e-12 THEN 1.0 ELSE 0.0 END) AS time_in_drawdown FROM dd GROUP BY 1) USING (strategy_id)
-    JOIN (SELECT strategy_id, coalesce(sum(period_return) FILTER (r <= 3) / sum(period_return), 1.0) AS best_period_share FROM (
-        SELECT *, row_number() OVER (PARTITION BY strategy_id ORDER BY period_return DESC, idx) AS r FROM per WHERE period_return > 0) GROUP BY 1) USING (strategy_id)""",
+    JOIN (SELECT strategy_id, coalesce(sum(period_return) FILTER (r <= 3 AND period_return > 0) / sum(period_return) FILTER (period_return > 0), 1.0) AS best_period_share FROM (
+        SELECT *, row_number() OVER (PARTITION BY strategy_id ORDER BY period_return DESC, idx) AS r FROM per) GROUP BY 1) USING (strategy_id)""",
 )(lambda ws: J.consistency_metrics(curve(ws), ["strategy_id"], M))
 query(
     "positive_ic_share",
