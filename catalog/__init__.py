@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["core", "ingest", "boards", "research", "strategies", "sweeps", "learned"]
+MODULES = ["core", "ingest", "boards", "research", "strategies", "sweeps", "learned", "ledgers"]
 
 
 def load() -> None:

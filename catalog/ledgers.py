@@ -1,0 +1,51 @@
+"""Exact path-dependent strategy evaluation (J28, J29)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog.registry import query
+from catalog.strategies import CONFIGS, HOLD, M, cal, regime
+from tidemark.operators.ledger import strategy_ledger
+from tidemark.plans.presets import PRESETS, strategies
+
+SP = "strategy_id:s "
+# Without overlays, holds and daily exits the ledger must give the set-wise curve of CONFIGS;
+# the presets and hold strategies use every path-dependent rule.
+TABLE = {
+    **CONFIGS,
+    **{f"hold_{k}": {**v, "top_n": 3, "weighting": "score"} for k, v in HOLD.items()},
+    **{f"preset_{k}": {**v, "frequency": M} for k, v in PRESETS.items()},
+}
+GATES = {"min_market_cap": 10_000_000.0, "max_market_cap": None}
+TABLE = {k: ({**v, **GATES} if k.startswith("preset_") else v) for k, v in TABLE.items()}
+
+
+def ledger(ws):
+    return ws.keep(
+        "ledger", lambda: strategy_ledger(ws.panel(), regime(ws), ws.candles, strategies(ws.spark, TABLE), cal(ws))
+    )
+
+
+query("strategy_ledger", SP + "idx:i anchor:d period_return:f8 equity:l8 holdings:i turnover:f8 in_btc:s")(
+    lambda ws: ledger(ws).filter("kind = 'period'")
+)
+query(
+    "strategy_ledger_rebalance",
+    SP + "idx:i period_return:f8 equity:l8",
+    "SELECT strategy_id, idx - 1 AS idx, period_return, equity FROM curve WHERE idx > 0",
+)(lambda ws: ledger(ws).filter((F.col("kind") == "period") & F.col("strategy_id").isin(list(CONFIGS))))
+query("strategy_ledger_trades", SP + "symbol:s entry_anchor:d entry_price:f8 exit_date:d exit_price:f8 reason:s")(
+    lambda ws: ledger(ws).filter("kind = 'trade'")
+)
+query(
+    "strategy_ledger_trades_rebalance",
+    SP + "symbol:s entry_anchor:d entry_price:f8 exit_date:d exit_price:f8 reason:s",
+    "SELECT *, exit_anchor AS exit_date FROM trade_rows",
+)(lambda ws: ledger(ws).filter((F.col("kind") == "trade") & F.col("strategy_id").isin(list(CONFIGS))))
+query("strategy_presets", SP + "periods:i equity:l8")(
+    lambda ws: ledger(ws)
+    .filter((F.col("kind") == "period") & F.col("strategy_id").startswith("preset_"))
+    .groupBy("strategy_id")
+    .agg(F.count(F.lit(1)).alias("periods"), F.max_by("equity", "idx").alias("equity"))
+)
