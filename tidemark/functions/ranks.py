@@ -55,7 +55,7 @@ def rank_columns(
     ``<value>_rank`` per column and ``group_n``.
     """
     by, ids, keep = list(by), list(ids), list(keep)
-    pairs = F.array(*[F.struct(F.lit(v).alias("__c"), F.col(v).cast("double").alias("__v")) for v in values])
+    pairs = F.array(*[F.struct(F.lit(i).alias("__c"), F.col(v).cast("double").alias("__v")) for i, v in enumerate(values)])
     long = df.select(*by, *ids, *keep, F.explode(pairs).alias("__p")).select(*by, *ids, *keep, "__p.__c", "__p.__v")
     counts = long.groupBy(*by, "__c", "__v").agg(F.count(F.lit(1)).alias("n"))
     placed = count_before(counts, [*by, "__c"], "__v").select(
@@ -64,7 +64,7 @@ def rank_columns(
     joined = long.join(placed, [*by, "__c", "__v"])
     return joined.groupBy(*by, *ids).agg(
         *[F.first(k).alias(k) for k in keep],
-        *[F.max(F.when(F.col("__c") == v, F.col("rank0"))).alias(f"{v}_rank") for v in values],
+        *[F.max(F.when(F.col("__c") == i, F.col("rank0"))).alias(f"{v}_rank") for i, v in enumerate(values)],
         F.max("total").alias("group_n"),
     )
 

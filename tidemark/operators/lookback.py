@@ -39,13 +39,11 @@ def row_windows(candles: DataFrame, event_start: dt.date) -> DataFrame:
         "*",
         F.row_number().over(w).alias("rn"),
         F.lead("ts").over(w).alias("next_ts"),
-        F.lag("close").over(w).alias("before"),
         *[F.lag("close", k).over(w).alias(f"lag_{k}") for k in TREND_LAGS.values()],
     )
     return base.select(
         "*",
-        F.when((F.col("before") > 0) & (close > 0), F.log(close / F.col("before"))).alias("log_ret"),
-        (F.coalesce(F.col("volume"), F.lit(0.0)) * close).alias("traded"),
+        F.avg(F.coalesce(F.col("volume"), F.lit(0.0)) * close).over(w.rowsBetween(-29, 0)).alias("dollar_volume_30d"),
         F.min("close").over(whole).alias("min_close"),
         F.max("close").over(whole).alias("max_close"),
         F.min("low").over(whole).alias("atl"),
@@ -159,6 +157,7 @@ def _sample_std(values: Column, mean: Column) -> Column:
 
 ROW_COLUMNS = [
     "rn", "ts", "close", "atl", "atl_rn", "ath_rn", "event_low_raw", "min_close", "max_close",
+    "dollar_volume_30d",
 ]
 
 
@@ -170,10 +169,12 @@ def lookback_stats(
     Adds price, lows and distances, the 27 statistics and the five trailing extras. Only
     candles at or before the anchor are ever visible to it.
     """
-    parts = int(candles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Several tasks per shuffle slot: the work per row is far heavier than its bytes suggest.
+    parts = 3 * int(candles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     seen = (
-        candles.filter(F.col("ts") <= F.lit(calendar.end))
-        .select("symbol", "ts", "close", "low", "volume")
+        candles.filter((F.col("ts") <= F.lit(calendar.end)) & F.col("close").isNotNull())
+        # Never null, and typed so: arrays of it sort as primitives.
+        .select("symbol", "ts", F.coalesce("close", F.lit(0.0)).alias("close"), "low", "volume")
         .repartition(parts, "symbol")
     )
     rows = row_windows(seen, event_start).withColumn("cover", calendar.covered_by(F.col("ts"), F.col("next_ts")))
@@ -185,27 +186,34 @@ def lookback_stats(
     series = (
         rows.groupBy("symbol")
         .agg(
-            F.sort_array(F.collect_list(F.struct("rn", "close", "log_ret", "traded"))).alias("series"),
+            F.sort_array(F.collect_list(F.struct("rn", "close")))["close"].alias("close_array"),
             F.sort_array(F.collect_list(top)).alias("tops"),
             F.collect_list(F.when(wanted, F.struct("cover", *kept))).alias("points"),
         )
         .filter(F.size("points") > 0)
-        .select(
-            "symbol",
-            "tops",
+        .withColumn("peaks", _peaks(F.col("tops"), F.col("close_array")))
+    )
+    per_anchor = F.flatten(
+        F.transform(
             "points",
-            *[F.col(f"series.{c}").alias(f"{c}_array") for c in ("close", "log_ret", "traded")],
+            lambda p: F.transform(p["cover"], lambda a: F.struct(a.alias("anchor"), *[p[c].alias(c) for c in kept])),
         )
-        .withColumn("peaks", _peaks(F.col("tops"), F.col("close_array")))
     )
-    arrays = ["close_array", "log_ret_array", "traded_array", "peaks"]
-    points = (
-        series.select("symbol", *arrays, F.explode("points").alias("p"))
-        .select("symbol", *arrays, *[F.col(f"p.{c}").alias(c) for c in kept], F.explode("p.cover").alias("anchor"))
+    points = series.select("symbol", "close_array", "peaks", F.explode(per_anchor).alias("p")).select(
+        "symbol", "close_array", "peaks", "p.*"
     )
     return _finish(points)
 
 
+def _log_returns(closes: Column) -> Column:
+    """Log returns between neighbours of an array, where both are positive."""
+    n = F.size(closes) - 1
+    pairs = F.zip_with(
+        F.slice(closes, F.lit(1), n), F.slice(closes, F.lit(2), n), lambda a, b: F.when((a > 0) & (b > 0), F.log(b / a))
+    )
+    return F.filter(pairs, lambda r: r.isNotNull())
+
+
 def _tail(array: str, n: int) -> Column:
     """The last n entries up to the anchor's row."""
     rn = F.col("rn")
@@ -225,9 +233,8 @@ def _finish(points: DataFrame) -> DataFrame:
             ),
             "last90": _tail("close_array", P.QUARTER),
             "last200": F.when(rn >= P.SMA_MIN, _tail("close_array", P.SMA_WINDOW)),
-            "ret30": F.array_compact(_tail("log_ret_array", 30)),
-            "ret90": F.array_compact(_tail("log_ret_array", 90)),
-            "traded30": _tail("traded_array", 30),
+            "last31": _tail("close_array", 31),
+            "last91": _tail("close_array", 91),
             "head": F.when(past_3y, F.slice("close_array", first_row, P.BOUNCE_LOOKBACK + 1)),
             "older": F.when(past_3y, F.slice("close_array", F.lit(1), rn - P.THREE_YEARS)),
             "first_row": first_row,
@@ -235,6 +242,7 @@ def _finish(points: DataFrame) -> DataFrame:
             "full_from": first_row + P.BOUNCE_LOOKBACK,
         }
     )
+    windows = windows.withColumns({"ret30": _log_returns(F.col("last31")), "ret90": _log_returns(F.col("last91"))})
     counted = windows.withColumns(
         {
             "n1": F.size("s1"),
@@ -300,7 +308,7 @@ def _finish(points: DataFrame) -> DataFrame:
         F.when(F.col("mean90").isNotNull(), _sample_std(F.col("ret90"), F.col("mean90"))).alias("volatility_90d"),
         F.when(F.col("max_close") != 0, close / F.col("max_close") - 1.0).alias("drawdown_from_ath"),
         (rn - F.col("ath_rn")).alias("days_since_ath"),
-        (_sum(F.col("traded30")) / F.size("traded30")).alias("dollar_volume_30d"),
+        "dollar_volume_30d",
     )
     one_decimal = [
         "valuation_pct_1y", "valuation_pct_3y", "valuation_pct_all", "median_dist_1y", "median_dist_3y",

@@ -85,19 +85,19 @@ def value_score(
     return scored.withColumns({f"part_{c}": round1(F.col(f"part_{c}")) for c in COMPONENTS})
 
 
-def panel_score(rows: DataFrame, by: Sequence[str] = ("frequency", "anchor")) -> DataFrame:
+def panel_score(rows: DataFrame, by: Sequence[str] = ("anchor",)) -> DataFrame:
     """Gated score where the symbol passes the gates, else its score among all symbols.
 
-    Both cross-sections are ranked in one pass, told apart by ``pool``.
+    Both cross-sections are ranked in one pass, told apart by ``pool`` (1 gated, 0 everyone).
     """
     by = list(by)
     base = with_components(rows.filter(scorable())).withColumn("knife", knife_penalty())
     gated = liquid(P.SCORE_MIN_CAP, P.SCORE_MIN_VOLUME)
-    pools = F.when(gated, F.array(F.lit("gated"), F.lit("all"))).otherwise(F.array(F.lit("all")))
+    pools = F.when(gated, F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(0)))
     narrow = [*by, "symbol", "knife", *[f"c_{c}" for c in COMPONENTS]]
     both = base.withColumn("pool", F.explode(pools)).select("pool", *narrow)
     scored = _score(both, ["pool", *by])
-    best = scored.groupBy(*by, "symbol").agg(F.max_by("score", F.col("pool") == "gated").alias("score"))
+    best = scored.groupBy(*by, "symbol").agg(F.max_by("score", "pool").alias("score"))
     return rows.join(best, [*by, "symbol"])
 
 
@@ -144,7 +144,7 @@ def oriented_ranks(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     return ranked.select(*by, "symbol", "name", F.when(up, F.col("pct")).otherwise(1.0 - F.col("pct")).alias("x"))
 
 
-def learned_score(rows: DataFrame, weights: DataFrame, by: Sequence[str] = ("frequency", "anchor")) -> DataFrame:
+def learned_score(rows: DataFrame, weights: DataFrame, by: Sequence[str] = ("anchor",)) -> DataFrame:
     """Learned 0-100 score: standardised oriented ranks times the artifact's weights, ranked again.
 
     ``weights`` has one row per feature (name, weight, mean, scale): 26 rows, broadcast.

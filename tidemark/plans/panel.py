@@ -46,7 +46,7 @@ def point_in_time_panel(
     if model is None:
         scored = panel_score(rows)
     else:
-        scored = rows.join(learned_score(rows, model), ["frequency", "anchor", "symbol"])
+        scored = rows.join(learned_score(rows, model), ["anchor", "symbol"])
     return scored.select(*PANEL_COLUMNS, "market_cap_pit", "volume_pit")
 
 
