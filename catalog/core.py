@@ -9,7 +9,7 @@ STAT_TYPES = {
     "days_since_atl": "i", "history_days": "i", "above_sma200": "b", "above_p75_3y": "i", "below_p25_3y": "i",
     "dip_touches": "i", "dip_bounces": "i", "range_position": "f3", "band_iqr_width_3y": "f3",
     "band_span_width_3y": "f3", "volatility_30d": "f6", "volatility_90d": "f6", "drawdown_from_ath": "f6",
-    "days_since_ath": "i", "dollar_volume_30d": "f4",
+    "days_since_ath": "i", "dollar_volume_30d": "f5",
 }
 
 

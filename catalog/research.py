@@ -39,7 +39,7 @@ query(
 query("panel_score", "anchor:d symbol:s score:f1", "SELECT anchor, symbol, score FROM panel_m")(lambda ws: ws.panel())
 query(
     "alt_index",
-    "anchor:d idx:i alt_return:f8 alt_index:f6 alt_above_sma:b alt_trend:f8",
+    "anchor:d idx:i alt_return:f8 alt_index:l8 alt_above_sma:b alt_trend:f8",
     "SELECT * FROM regime_m",
 )(lambda ws: P.alt_index(ws.panel(), ws.calendar(M)))
 query("alt_index_return", "idx:i alt_return:f8", "SELECT idx, alt_return FROM altret_m")(
@@ -175,7 +175,7 @@ query(
 )(lambda ws: K.fold_violations(K.walk_forward_folds(ws.calendar(M).frame(ws.spark)), 3))
 query(
     "proxy_curve",
-    "total_return:f8 sharpe:f6 max_drawdown:f8 periods:i",
+    "total_return:l8 sharpe:f6 max_drawdown:f8 periods:i",
     """SELECT product(1 + r) - 1 AS total_return, avg(r) / stddev_samp(r) * sqrt(12) AS sharpe, least(0, min(e / pk - 1)) AS max_drawdown,
       count(*) AS periods FROM (SELECT *, greatest(1, max(e) OVER (ORDER BY idx)) AS pk FROM (
         SELECT idx, alt_return AS r, product(1 + alt_return) OVER (ORDER BY idx) AS e FROM altret_m))""",

@@ -412,7 +412,7 @@ query("equity_overlays", SP + "idx:i scale:f6 brake:b period_return:f8 equity:l8
 )
 query(
     "sink_curve_csv",
-    "strategy_id:s date:s equity:f6 period_return:f6",
+    "strategy_id:s date:s equity:l8 period_return:f6",
     "SELECT strategy_id, anchor AS date, equity, period_return FROM curve WHERE strategy_id = 'equal'",
 )(lambda ws: _curve_csv(ws))
 
