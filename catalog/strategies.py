@@ -413,7 +413,7 @@ query("equity_overlays", SP + "idx:i scale:f6 brake:b period_return:f8 equity:l8
 query(
     "sink_curve_csv",
     "strategy_id:s date:s equity:l8 period_return:f6",
-    "SELECT strategy_id, anchor AS date, equity, period_return FROM curve WHERE strategy_id = 'equal'",
+    "SELECT strategy_id, anchor AS date, round(equity, 6) AS equity, round(period_return, 6) AS period_return FROM curve WHERE strategy_id = 'equal'",
 )(lambda ws: _curve_csv(ws))
 
 
