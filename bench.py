@@ -38,6 +38,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session("bench", cpus, partitions=int(cpus) if cpus.isdigit() else 8)
+    spark.range(1000).repartition(8).count()  # start the executors before the clock
     ws = workspace(spark, sf_dir, "brand_type")
     weekly = lambda: ws.calendar("weekly")
     regime = lambda: ws.keep("regime_w", lambda: P.regime(ws.panel("weekly"), weekly()))

@@ -10,12 +10,14 @@ from catalog.core import spec
 from catalog.registry import EVENT, query
 from catalog.sqlbase import CTES, r1, score_chain
 from tidemark.functions import symbols as S
+from tidemark.functions.ranks import rank_percentiles
 from tidemark.operators import asof as A
 from tidemark.operators import board as B
 from tidemark.operators import quality as Q
 from tidemark.operators import series as R
 from tidemark.operators.calendar import Calendar, cover_anchors
 from tidemark.operators.lookback import EXTRAS, STATS, lookback_stats
+from tidemark.operators.score import eligible, with_components
 from tidemark.session import materialize
 from tidemark.sources import sinks
 
@@ -260,8 +262,8 @@ query(
 query(
     "summary_strip",
     "tracked:i near25:i near50:i median:f6",
-    """SELECT count(*) AS tracked, count(*) FILTER (distance <= 2500) AS near25, count(*) FILTER (distance <= 50) AS near50,
-      median(distance) AS median FROM board""".replace("2500", "25"),
+    """SELECT count(*) AS tracked, count(*) FILTER (distance <= 25) AS near25, count(*) FILTER (distance <= 50) AS near50,
+      median(distance) AS median FROM board""",
 )(lambda ws: B.summary_strip(board(ws)))
 query(
     "robust_domain",
@@ -366,19 +368,13 @@ query(
     "score_eligibility",
     "symbol:s",
     f"SELECT symbol FROM board_rows WHERE {_gate}",
-)(lambda ws: __import__("tidemark.operators.score", fromlist=["eligible"]).eligible(board(ws)))
+)(lambda ws: eligible(board(ws)))
 query(
     "score_components",
     "symbol:s c_valuation:f6 c_distance:f5 c_median_gap:f4 c_basing:f4 c_range:f4 c_dip_respect:f6",
     "SELECT symbol, k_valuation AS c_valuation, k_distance AS c_distance, k_median_gap AS c_median_gap, k_basing AS c_basing, "
     "k_range AS c_range, k_dip_respect AS c_dip_respect FROM board_components",
-)(lambda ws: _components(ws))
-
-
-def _components(ws):
-    from tidemark.operators.score import eligible, with_components
-
-    return with_components(eligible(board(ws)))
+)(lambda ws: with_components(eligible(board(ws))))
 
 
 query(
@@ -387,7 +383,7 @@ query(
     """SELECT ts, symbol, CASE WHEN n > 1 THEN 100.0 * (r - 1 + (t - 1) / 2.0) / (n - 1) ELSE 50.0 END AS pct FROM (
       SELECT ts, symbol, rank() OVER (PARTITION BY ts ORDER BY volume) AS r, count(*) OVER (PARTITION BY ts, volume) AS t,
         count(*) OVER (PARTITION BY ts) AS n FROM candles)""",
-)(lambda ws: __import__("tidemark.functions.ranks", fromlist=["rank_percentiles"]).rank_percentiles(ws.candles, ["ts"], ["symbol"], "volume", "pct"))
+)(lambda ws: rank_percentiles(ws.candles, ["ts"], ["symbol"], "volume", "pct"))
 
 for _mode in ("any", "old", "new"):
     _where = {"any": "TRUE", "old": "listing_date < DATE '1995-01-05'", "new": "listing_date >= DATE '1995-01-05'"}[_mode]
@@ -424,20 +420,9 @@ for _mode, (_metric, _dir) in _MODES.items():
         f"""SELECT symbol, {_metric} AS metric, '{_mode}' AS mode FROM board WHERE {_metric} IS NOT NULL
         ORDER BY metric {_dir}, symbol LIMIT 10""",
     )(lambda ws, m=_mode: B.leaderboard(board(ws), m))
-query(
-    "table_sort",
-    "place:i symbol:s value_score:f1",
-    "SELECT row_number() OVER (ORDER BY value_score DESC NULLS LAST, symbol) AS place, symbol, value_score FROM board",
-)(lambda ws: _placed(B.table_sort(board(ws), F.col("value_score"), True)))
-
-
-def _placed(ordered):
-    """Position in the sorted table, from the order itself (global sort, no single-task window)."""
-    return ordered.select((F.monotonically_increasing_id()).alias("__m"), "symbol", "value_score").select(
-        (F.col("__m") + 1).alias("place"), "symbol", "value_score"
-    )
-
-
+query("table_sort", "symbol:s value_score:f1", "SELECT symbol, value_score FROM board ORDER BY value_score DESC NULLS LAST, symbol")(
+    lambda ws: B.table_sort(board(ws), F.col("value_score"), True)
+)
 query(
     "daily_digest",
     "symbol:s value_score:f1",

@@ -314,7 +314,7 @@ def stream_candles(ws):
         F.lit(1.0).alias("size"), F.col("event_id").alias("seq"),
     )
     path = _folder(ws, "stream-candles")
-    sink = jobs.upsert_sink(ws.spark, path, ["symbol", "ts"])
+    sink = jobs.upsert_sink(path, ["symbol", "ts"])
     jobs.run_available(jobs.candle_stream(ticks), path, _folder(ws, "checkpoint"), "update", sink)
     return jobs.read_latest(ws.spark, path)
 

@@ -34,41 +34,26 @@ def candle_stream(ticks: DataFrame, lateness: str = "2 days") -> DataFrame:
     )
 
 
-def upsert_sink(spark: SparkSession, path: str, keys: list[str]):
+def upsert_sink(path: str, keys: list[str]):
     """foreachBatch writer: merge a batch into a table of numbered versions.
 
-    Each version is written whole before it becomes the newest, so a lost executor or a repeated
-    batch leaves the previous version readable and the result the same.
+    Each version is built from the one before it and written whole, so a lost executor or a
+    repeated batch leaves the previous version readable and the result the same.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        versions = list_versions(session, path)
-        older = [v for v in versions if v < batch_id]
-        stored = session.read.parquet(f"{path}/v={older[-1]}") if older else batch.limit(0)
+        before = f"{path}/v={batch_id - 1}"
+        stored = batch.sparkSession.read.parquet(before) if batch_id > 0 else batch.limit(0)
         upsert(stored, batch, keys).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
 
     return write
 
 
-def list_versions(spark: SparkSession, path: str) -> list[int]:
-    """Completed versions of the sink table, oldest first."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    found = []
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("v=") and fs.exists(done):
-            found.append(int(name[2:]))
-    return sorted(found)
-
-
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/v={list_versions(spark, path)[-1]}")
+    """Newest version of the sink table (the version is a partition column)."""
+    versions = spark.read.parquet(path)
+    newest = versions.select(F.max("v")).scalar()
+    return versions.filter(F.col("v") == newest).drop("v")
 
 
 class CrossingProcessor(StatefulProcessor):
