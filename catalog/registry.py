@@ -86,6 +86,7 @@ _WORKSPACES: dict[tuple, Workspace] = {}
 def workspace(spark: SparkSession, sf_dir: str, symbol: str = "brand") -> Workspace:
     key = (spark.sparkContext.applicationId, sf_dir, symbol)
     if key not in _WORKSPACES:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # days are UTC days throughout
         _WORKSPACES[key] = Workspace(spark, sf_dir, symbol)
     return _WORKSPACES[key]
 

@@ -169,8 +169,9 @@ def lookback_stats(
     Adds price, lows and distances, the 27 statistics and the five trailing extras. Only
     candles at or before the anchor are ever visible to it.
     """
-    # Several tasks per shuffle slot: the work per row is far heavier than its bytes suggest.
-    parts = 3 * int(candles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Several tasks per core: the work per row is far heavier than its bytes suggest.
+    spark = candles.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
     seen = (
         candles.filter((F.col("ts") <= F.lit(calendar.end)) & F.col("close").isNotNull())
         # Never null, and typed so: arrays of it sort as primitives.
