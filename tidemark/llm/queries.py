@@ -8,12 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.chat import conversation_digests, format_examples
+from tidemark.llm.exact import exact_owners
 from tidemark.llm.frames import packed, table
 from tidemark.llm.sharding import MULTIPLIER, assign_shards
 
 SHARDS = 40
 
 
+def op7_trie_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_owners(table(spark, sf_dir, "documents"))
+
+
+SQL7 = r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       doc_id = min(doc_id) OVER g AS kept, sha256(body) AS text_sha256
+FROM n WINDOW g AS (PARTITION BY body)
+"""
+
+
 def op8_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), SHARDS)
 
@@ -87,7 +100,8 @@ FROM p GROUP BY conv_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_trie_owners": op7_trie_owners,
     "op8_jump_shards": op8_jump_shards,
     "op9_prefix_targets": op9_prefix_targets,
 }
-ORACLES: dict[str, str] = {"op8_jump_shards": SQL8, "op9_prefix_targets": SQL9}
+ORACLES: dict[str, str] = {"op7_trie_owners": SQL7, "op8_jump_shards": SQL8, "op9_prefix_targets": SQL9}
