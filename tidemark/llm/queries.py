@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +11,31 @@ from pyspark.sql import functions as F
 from tidemark.llm.chat import conversation_digests, format_examples
 from tidemark.llm.exact import exact_owners
 from tidemark.llm.frames import packed, table
+from tidemark.llm.pieces import decode_ids, encode_texts
 from tidemark.llm.sharding import MULTIPLIER, assign_shards
 
 SHARDS = 40
 
 
+def piece_model() -> str:
+    """Path of the public BPE model; another file by TIDEMARK_PIECE_MODEL."""
+    import public_tokenizers
+
+    return os.environ.get("TIDEMARK_PIECE_MODEL") or public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op3_piece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = piece_model()
+    coded = decode_ids(encode_texts(table(spark, sf_dir, "documents"), model), model)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("spanned_bytes"),
+    )
+
+
 def op7_trie_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_owners(table(spark, sf_dir, "documents"))
 
@@ -100,6 +121,7 @@ FROM p GROUP BY conv_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_piece_spans": op3_piece_spans,
     "op7_trie_owners": op7_trie_owners,
     "op8_jump_shards": op8_jump_shards,
     "op9_prefix_targets": op9_prefix_targets,
