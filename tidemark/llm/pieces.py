@@ -71,7 +71,7 @@ class CharMap:
             piece = got[0]
             if before_space:
                 piece = piece.lstrip(" ")
-            if piece and not out and dummy:
+            if piece and not source and dummy:
                 out.append(SPACE)
                 source.append(at if squeeze else 0)
             out.append(piece.replace(" ", SPACE))

@@ -13,10 +13,15 @@ from tidemark.llm.exact import exact_owners
 from tidemark.llm.frames import packed, table
 from tidemark.llm.pieces import decode_ids, encode_texts
 from tidemark.llm.sharding import MULTIPLIER, assign_shards
+from tidemark.llm.toxicity import score_toxicity
 
 SHARDS = 40
 
 
+def op2_fm_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def piece_model() -> str:
     """Path of the public BPE model; another file by TIDEMARK_PIECE_MODEL."""
     import public_tokenizers
@@ -121,6 +126,7 @@ FROM p GROUP BY conv_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_fm_toxicity": op2_fm_toxicity,
     "op3_piece_spans": op3_piece_spans,
     "op7_trie_owners": op7_trie_owners,
     "op8_jump_shards": op8_jump_shards,
