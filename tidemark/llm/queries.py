@@ -11,13 +11,24 @@ from pyspark.sql import functions as F
 from tidemark.llm.chat import conversation_digests, format_examples
 from tidemark.llm.exact import exact_owners
 from tidemark.llm.frames import packed, table
+from tidemark.llm.packing import pack_texts
 from tidemark.llm.pieces import decode_ids, encode_texts
+from tidemark.llm.pseudonyms import pseudonymise
 from tidemark.llm.sharding import MULTIPLIER, assign_shards
 from tidemark.llm.toxicity import score_toxicity
 
 SHARDS = 40
 
 
+def pii_key() -> str:
+    """Secret of the permutations; production sets TIDEMARK_PII_KEY."""
+    return os.environ.get("TIDEMARK_PII_KEY", "a key for tests")
+
+
+def op1_variable_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_texts(table(spark, sf_dir, "documents"))
+
+
 def op2_fm_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,6 +52,12 @@ def op3_piece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pseudonymise(packed(table(spark, sf_dir, "documents"), "doc_id", "text"), pii_key())
+    spans = F.transform("pii", lambda p: F.concat_ws("-", p["kind"], p["start"].cast("string"), p["end"].cast("string")))
+    return done.select("doc_id", "text", F.size("pii").cast("long").alias("n_values"), F.array_join(spans, " ").alias("spans"))
+
+
 def op7_trie_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_owners(table(spark, sf_dir, "documents"))
 
@@ -126,8 +143,10 @@ FROM p GROUP BY conv_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_variable_packing": op1_variable_packing,
     "op2_fm_toxicity": op2_fm_toxicity,
     "op3_piece_spans": op3_piece_spans,
+    "op5_feistel_pii": op5_feistel_pii,
     "op7_trie_owners": op7_trie_owners,
     "op8_jump_shards": op8_jump_shards,
     "op9_prefix_targets": op9_prefix_targets,
