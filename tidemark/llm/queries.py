@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.chat import conversation_digests, format_examples
 from tidemark.llm.exact import exact_owners
 from tidemark.llm.frames import packed, table
+from tidemark.llm.near import near_classes
 from tidemark.llm.packing import pack_texts
 from tidemark.llm.pieces import decode_ids, encode_texts
 from tidemark.llm.pseudonyms import pseudonymise
@@ -142,6 +143,10 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
 FROM p GROUP BY conv_id
 """
 
+def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_variable_packing": op1_variable_packing,
     "op2_fm_toxicity": op2_fm_toxicity,
@@ -150,5 +155,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_trie_owners": op7_trie_owners,
     "op8_jump_shards": op8_jump_shards,
     "op9_prefix_targets": op9_prefix_targets,
+    "op10_probminhash": op10_probminhash,
 }
 ORACLES: dict[str, str] = {"op7_trie_owners": SQL7, "op8_jump_shards": SQL8, "op9_prefix_targets": SQL9}
