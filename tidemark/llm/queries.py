@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.chat import conversation_digests, format_examples
 from tidemark.llm.exact import exact_owners
 from tidemark.llm.frames import packed, table
+from tidemark.llm.hamming import nearest
 from tidemark.llm.near import near_classes
 from tidemark.llm.packing import pack_texts
 from tidemark.llm.pieces import decode_ids, encode_texts
@@ -59,6 +60,10 @@ def op5_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", F.size("pii").cast("long").alias("n_values"), F.array_join(spans, " ").alias("spans"))
 
 
+def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.pmod(F.col("id"), F.lit(20)) == 0)
+
+
 def op7_trie_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_owners(table(spark, sf_dir, "documents"))
 
@@ -152,6 +157,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fm_toxicity": op2_fm_toxicity,
     "op3_piece_spans": op3_piece_spans,
     "op5_feistel_pii": op5_feistel_pii,
+    "op6_multi_index": op6_multi_index,
     "op7_trie_owners": op7_trie_owners,
     "op8_jump_shards": op8_jump_shards,
     "op9_prefix_targets": op9_prefix_targets,
