@@ -17,6 +17,7 @@ from tidemark.llm.packing import pack_texts
 from tidemark.llm.pieces import decode_ids, encode_texts
 from tidemark.llm.pseudonyms import pseudonymise
 from tidemark.llm.sharding import MULTIPLIER, assign_shards
+from tidemark.llm.suffixes import remove_repeats
 from tidemark.llm.toxicity import score_toxicity
 
 SHARDS = 40
@@ -54,6 +55,11 @@ def op3_piece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_column_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pseudonymise(packed(table(spark, sf_dir, "documents"), "doc_id", "text"), pii_key())
     spans = F.transform("pii", lambda p: F.concat_ws("-", p["kind"], p["start"].cast("string"), p["end"].cast("string")))
@@ -156,6 +162,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_variable_packing": op1_variable_packing,
     "op2_fm_toxicity": op2_fm_toxicity,
     "op3_piece_spans": op3_piece_spans,
+    "op4_column_suffixes": op4_column_suffixes,
     "op5_feistel_pii": op5_feistel_pii,
     "op6_multi_index": op6_multi_index,
     "op7_trie_owners": op7_trie_owners,
