@@ -39,6 +39,17 @@ def common_prefix(a: bytes, b: bytes, start: int) -> int:
     return low
 
 
+def _read(file) -> Iterator[tuple]:
+    """The records of a spilled subtree; ends the file."""
+    with file:
+        file.seek(0)
+        try:
+            while True:
+                yield pickle.load(file)
+        except EOFError:
+            return
+
+
 class PatriciaTrie:
     """Strings are inserted whole. Above `budget` bytes the heaviest subtree below the first branch moves to a
     temporary file, and later strings of that subtree are appended there; `terminals` then handles each
@@ -86,16 +97,12 @@ class PatriciaTrie:
             if not only.children:
                 break
             node = only
-        if not node.children:
-            return False
+        if not node.children or (len(node.children) == 1 and not node.spilled and not next(iter(node.children.values())).children):
+            return False  # nothing, or one string
         byte, child = max(node.children.items(), key=lambda item: self._weight(item[1]))
         file = tempfile.TemporaryFile()
-        freed = 0
-        for key, found in self._walk(child, b""):
-            members = found.members or [None]
-            pickle.dump((key[1:], found.owner, found.count, members[0]), file)
-            for member in members[1:]:
-                pickle.dump((key[1:], found.owner, 0, member), file)
+        for key, owner, count, member in self._records(child):
+            pickle.dump((key[1:], owner, count, member), file)
         freed = self._weight(child)
         del node.children[byte]
         node.spilled = node.spilled or {}
@@ -114,13 +121,20 @@ class PatriciaTrie:
         return total
 
     @staticmethod
-    def _walk(top: Node, prefix: bytes) -> Iterator[tuple[bytes, Node]]:
-        stack = [(top, prefix)]
+    def _records(top: Node) -> Iterator[tuple]:
+        """(string from the top's label on, owner, count, member) of all strings below, those in files included."""
+        stack = [(top, b"")]
         while stack:
             node, before = stack.pop()
             here = before + node.label
             if node.owner is not None:
-                yield here, node
+                first, *rest = node.members or [None]
+                yield here, node.owner, node.count, first
+                for member in rest:
+                    yield here, node.owner, 0, member
+            for byte, file in (node.spilled or {}).items():
+                for key, *record in _read(file):
+                    yield here + bytes([byte]) + key, *record
             stack.extend((c, here) for c in node.children.values())
 
     def terminals(self, prefix: bytes = b"") -> Iterator[tuple[bytes, Node]]:
@@ -134,12 +148,7 @@ class PatriciaTrie:
             stack.extend((c, here) for c in node.children.values())
             node.children = {}
             for byte, file in (node.spilled or {}).items():
-                file.seek(0)
                 below = PatriciaTrie(self.budget)
-                with file:
-                    try:
-                        while True:
-                            below.insert(*pickle.load(file))
-                    except EOFError:
-                        pass
+                for record in _read(file):
+                    below.insert(*record)
                 yield from below.terminals(here + bytes([byte]))
