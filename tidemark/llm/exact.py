@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemark.llm.frames import blank, packed, shared_dir
+from tidemark.llm.frames import blank, keep_rows, packed, shared_dir
 from tidemark.llm.trie import PatriciaTrie
 
 
@@ -126,3 +126,9 @@ def exact_owners(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bu
         .join(owners, "local")
         .select(F.col("doc_id").alias(doc_id), "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha256").alias("text_sha256"))
     )
+
+
+def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` that stay, with all columns and their own text."""
+    owners = exact_owners(docs, doc_id, text).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col("text_sha256").alias("key"), "kept")
+    return keep_rows(docs, owners, doc_id, F.sha2(normalised(text).cast("binary"), 256))

@@ -5,12 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import materialize, shared_dir
 
-__all__ = ["blank", "keep", "materialize", "packed", "shared_dir", "table", "unused"]
+__all__ = ["blank", "keep", "keep_rows", "materialize", "packed", "shared_dir", "table", "unused"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,3 +40,32 @@ def unused(taken: Iterable[str], name: str) -> str:
 def packed(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns of the caller cannot clash."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+#: Ids up to this count are sent to all executors (16 bytes each); beyond it the rows are shuffled to them.
+SENT_IDS = 2_000_000
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame, doc_id: str, text_key: Column) -> DataFrame:
+    """The rows of `docs` that `decided` (doc_id, key, kept: one row per row of docs) keeps, with all columns.
+
+    Ids of dropped rows are anti-joined, so that texts stay where they are while those ids are few. An id with
+    both kept and dropped rows is settled by `text_key`, which gives the key of a row of docs; of several rows with one
+    id and key, all or one are kept, and then the smallest.
+    """
+    decided = materialize(decided, "decided")
+    per_id = decided.groupBy("doc_id").agg(F.min("kept").alias("all"), F.max("kept").alias("any")).filter("not all")
+    dropped = materialize(per_id, "dropped")
+    ids = dropped.select(F.col("doc_id").alias(mark := unused(docs.columns, "_id")))
+    sent = F.broadcast if dropped.count() <= SENT_IDS else lambda x: x
+    same = docs[f"`{doc_id}`"].eqNullSafe(ids[mark])
+    rest = docs.join(sent(ids), same, "left_anti")
+    mixed = dropped.filter("any").select("doc_id")
+    if mixed.isEmpty():
+        return rest
+    counts = decided.join(mixed, decided["doc_id"].eqNullSafe(mixed["doc_id"]), "left_semi").groupBy("doc_id", "key").agg(F.sum(F.col("kept").cast("int")).alias("keep"))
+    key, place, wanted = (unused(docs.columns, n) for n in ("_key", "_place", "_wanted"))
+    counts = counts.filter("keep > 0").select(F.col("doc_id").alias(mark), F.col("key").alias(f"{key}_"), F.col("keep").alias(wanted))
+    twins = docs.withColumn(key, text_key).join(counts, docs[f"`{doc_id}`"].eqNullSafe(counts[mark]) & (F.col(key) == F.col(f"{key}_")))
+    order = Window.partitionBy(f"`{doc_id}`", key).orderBy(*[F.col(f"`{c}`") for c, t in docs.dtypes if not t.startswith("map")])
+    return rest.unionByName(twins.withColumn(place, F.row_number().over(order)).filter(F.col(place) <= F.col(wanted)).select(*[f"`{c}`" for c in docs.columns]))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.frames import blank, materialize, packed
+from tidemark.llm.frames import blank, materialize, packed, unused
 
 WORD = re.compile(r"[^\W\d_]+")
 CACHED_WORDS = 200_000
@@ -35,7 +35,8 @@ class Settings:
     terms: int = 4096
     significance: float = 12.0
     rank: int = 8
-    epochs: int = 14
+    steps: int = 1100
+    batch: int = 256
     rate: float = 0.03
     decay: float = 2e-4
     stems: tuple[int, ...] = (4, 6)
@@ -130,11 +131,11 @@ def fit(lists: list[list[int]], labels: list[int], terms: int, s: Settings, seed
     v = rng.normal(0, 0.05, (terms, s.rank))
     mw, sw, mv, sv, mb, sb = np.zeros_like(w), np.zeros_like(w), np.zeros_like(v), np.zeros_like(v), 0.0, 0.0
     step = 0
-    for epoch in range(s.epochs):
-        rate = s.rate * (1 - epoch / s.epochs)
+    while step < s.steps:
+        rate = s.rate * (1 - step / s.steps)
         order = rng.permutation(len(y))
-        for at in range(0, len(y), 256):
-            part = order[at : at + 256]
+        for at in range(0, len(y), s.batch):
+            part = order[at : at + s.batch]
             flat, sizes = _flat([lists[i] for i in part])
             z, sums, row, scale = _forward(bias, w, v, flat, sizes)
             g = (_sigmoid(z) - y[part]) / len(part)
@@ -206,9 +207,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 def score_texts(docs: DataFrame, index: dict[int, int], machine: Machine, text: str = "text", into: str = "score", s: Settings = Settings()) -> DataFrame:
     """All columns of `docs` and `into`, the score of the whole text; null texts score as empty ones, by the bias."""
     shared = docs.sparkSession.sparkContext.broadcast((index, machine))
-    body, columns = "text__of_score", [F.col(f"`{c}`") for c in docs.columns]
-    while body in docs.columns:
-        body += "_"
+    body, columns = unused(docs.columns, "_body"), [F.col(f"`{c}`") for c in docs.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, model = shared.value
@@ -231,3 +230,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     index, machine = learn(docs, labels, doc_id, text, label, s)
     scored = score_texts(packed(docs, doc_id, text), index, machine, text, "score", s)
     return scored.select(f"`{doc_id}`", held_out(doc_id).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", s: Settings = Settings()) -> DataFrame:
+    """The rows of `docs` whose score is below 0.5, with all columns."""
+    index, machine = learn(docs, labels, doc_id, text, label, s)
+    score = unused(docs.columns, "_score")
+    return score_texts(docs, index, machine, text, score, s).filter(F.col(score) < 0.5).drop(score)
