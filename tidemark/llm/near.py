@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemark.llm.frames import blank, keep, materialize, packed
+from tidemark.llm.frames import blank, keep, keep_rows, materialize, packed
 from tidemark.llm.links import components
 from tidemark.llm.probminhash import WordHashes, bands, shingles, signatures, similarity
 
@@ -34,7 +34,7 @@ SLACK = 0.13
 #: difference is 1 - THRESHOLD and a margin for both estimates.
 LOOSE, CLOSE = 0.44, 0.76
 TILE = 600
-SKETCHED = "row long, doc_id {id}, key binary, bands array<long>, registers binary, text string"
+SKETCHED = "row long, doc_id {id}, text_hash long, key binary, bands array<long>, registers binary, text string"
 
 
 def _estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -43,7 +43,7 @@ def _estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 def _sketch(id_type: pa.DataType):
-    schema = pa.schema([("row", pa.int64()), ("doc_id", id_type), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("registers", pa.binary()), ("text", pa.string())])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", id_type), ("text_hash", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("registers", pa.binary()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, hashes, seen = TaskContext.get().partitionId() << 33, WordHashes(), set()
@@ -68,6 +68,7 @@ def _sketch(id_type: pa.DataType):
                     [
                         pa.array(range(at, at + len(texts)), pa.int64()),
                         part.column(0).cast(id_type),
+                        part.column(2),
                         pa.array(keys, pa.binary()),
                         pa.array([hashed[of[k]] if s else None for k, s in enumerate(signed)], pa.list_(pa.int64())),
                         pa.array([low[of[k]].tobytes() if s else None for k, s in enumerate(signed)], pa.binary()),
@@ -80,46 +81,55 @@ def _sketch(id_type: pa.DataType):
     return run
 
 
+class Joined:
+    """Union-find over positions."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def top(self, k: int) -> int:
+        while self.up[k] != k:
+            self.up[k] = self.up[self.up[k]]
+            k = self.up[k]
+        return k
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.top(a), self.top(b)
+        self.up[max(a, b)] = min(a, b)
+
+
 def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, row, registers), sorted by bucket: ties (a, b) of each content with the leaders it resembles."""
+    """Rows (bucket, row, registers), sorted by bucket: ties (a, b) whose components are those of all ties between
+    contents and the leaders they resemble. A tie between what is tied already is left out."""
     bucket, leaders, regs, count = None, [], np.zeros((64, REGISTERS), np.uint8), 0
+    tied = Joined(0)
     for batch in batches:
         buckets, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         registers = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, REGISTERS)
         a, b = [], []
         for k in range(len(rows)):
             if buckets[k] != bucket:
-                bucket, leaders, count = buckets[k], [], 0
+                bucket, leaders, count, tied = buckets[k], [], 0, Joined(0)
             near = _estimates(registers[k], regs[:count]) if count else np.zeros(0)
-            for j in np.flatnonzero(near >= LOOSE):
+            alike = np.flatnonzero(near >= LOOSE).tolist()
+            tops = {tied.top(j): j for j in reversed(alike)}
+            for j in tops.values():
                 a.append(rows[k])
                 b.append(leaders[j])
+            for j in alike[1:]:
+                tied.join(alike[0], j)
             if not count or near.max() < CLOSE:
                 if count == len(regs):
                     regs = np.concatenate([regs, np.zeros_like(regs)])
                 regs[count] = registers[k]
                 leaders.append(rows[k])
+                tied.up.append(count)
+                if alike:
+                    tied.join(alike[0], count)
                 count += 1
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-class Joined:
-    """Union-find over positions."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def top(self, k: int) -> int:
-        while self.up[k] != k:
-            self.up[k] = self.up[self.up[k]]
-            k = self.up[k]
-        return k
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.top(a), self.top(b)
-        self.up[max(a, b)] = min(a, b)
-
-
 def verified_stars(rows: list[int], registers: np.ndarray, texts: list[str], side: np.ndarray, threshold: float) -> tuple[list[int], list[int]]:
     """Links (a, b), as stars, whose components are those of all pairs of at least the threshold.
 
@@ -154,13 +164,13 @@ def verified_stars(rows: list[int], registers: np.ndarray, texts: list[str], sid
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of `docs`: doc_id, class_id, class_size, kept.
+    """One row per row of `docs`: doc_id, class_id, class_size, kept, text_hash.
 
     A class is a component of links of at least `threshold` between word-shingle sets, equal sets included.
     class_id is its smallest id; the row with it stays (of several with that id exactly one, nulls last). Null texts are
     empty; texts without words are one class. Extra columns are ignored; an empty table gives no rows.
     """
-    rows = packed(docs, doc_id, text).select(F.col(f"`{doc_id}`").alias("doc_id"), blank(text).alias("text"))
+    rows = packed(docs, doc_id, text).select(F.col(f"`{doc_id}`").alias("doc_id"), blank(text).alias("text"), F.xxhash64(blank(text)).alias("text_hash"))
     id_type = rows.schema["doc_id"].dataType
     sketched = keep(rows.mapInArrow(_sketch(to_arrow_type(id_type)), SKETCHED.format(id=id_type.simpleString())), "near-sketch")
     # The first row that carries a content's sketch stands for it.
@@ -206,6 +216,12 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     links = met.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "node").mapInArrow(verify, "a long, b long")
     classes = components(links)
     of_key = owners.join(classes.select(F.col("node").alias("owner"), "label"), "owner", "left").select("key", F.coalesce("label", "owner").alias("class"))
-    found = materialize(sketched.select("row", "doc_id", "key").join(of_key, "key").select("row", "doc_id", "class"), "near-classes")
+    found = materialize(sketched.select("row", "doc_id", "text_hash", "key").join(of_key, "key").select("row", "doc_id", "text_hash", "class"), "near-classes")
     best = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("best"), F.count("*").alias("class_size"))
-    return found.join(best, "class").select(F.col("doc_id").alias(doc_id), F.col("best.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("best.row")).alias("kept"))
+    return found.join(best, "class").select(F.col("doc_id").alias(doc_id), F.col("best.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_hash")
+
+
+def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs` that stay, one of each class, with all columns."""
+    classes = near_classes(docs, doc_id, text, threshold).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col("text_hash").alias("key"), "kept")
+    return keep_rows(docs, classes, doc_id, F.xxhash64(blank(text)))
