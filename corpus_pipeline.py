@@ -1,4 +1,8 @@
-"""The corpus pipeline: documents through one operator per stage."""
+"""The corpus pipeline: documents pass one operator per stage.
+
+Toxic documents go, then exact copies, then all but one of each near-duplicate class; personal values in the
+rest are replaced, and the rest is packed into training sequences.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +10,53 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.frames import keep, table
+from tidemark.llm.exact import drop_copies
+from tidemark.llm.frames import keep, table, unused
+from tidemark.llm.near import drop_near_copies
+from tidemark.llm.packing import pack_texts
+from tidemark.llm.pseudonyms import pseudonymise
+from tidemark.llm.queries import pii_key
+from tidemark.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5; learned from the labels outside the held-out fold."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the smallest id."""
+    return drop_copies(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the smallest id."""
+    return drop_near_copies(docs)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal values replaced by pseudonyms of the same length."""
+    found = unused(docs.columns, "_pii")
+    return pseudonymise(docs, pii_key(), found=found).drop(found)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in the training sequences."""
+    return pack_texts(docs)
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
-ORACLE_SQL = None
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("pii", pii),
+    ("packing", packing),
+]
+ORACLE_SQL = None  # the learned score, the sketches and the packing order have no SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each on what its predecessor wrote."""
+    """All stages, each written and read again by the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = keep(stage(spark, docs, sf_dir), name)
