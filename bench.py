@@ -22,10 +22,8 @@ from tidemark.operators import series as R  # noqa: E402
 from tidemark.operators import strategy as J  # noqa: E402
 from tidemark.operators import sweep as L  # noqa: E402
 from tidemark.operators.ingest import convert_to_numeraire  # noqa: E402
-from tidemark.operators.ledger import strategy_ledger  # noqa: E402
 from tidemark.operators.lookback import lookback_stats  # noqa: E402
 from tidemark.plans import panel as P  # noqa: E402
-from tidemark.plans.presets import PRESETS, strategies  # noqa: E402
 from tidemark.plans.space import DEFAULT_SEARCH, sample_strategies  # noqa: E402
 from tidemark.session import local_session, materialize  # noqa: E402
 
@@ -44,8 +42,7 @@ def main() -> None:
     regime = lambda: ws.keep("regime_w", lambda: P.regime(ws.panel("weekly"), weekly()))
 
     def sweep():
-        names = [n for n in DEFAULT_SEARCH if n not in ("rotation", "sell_score")]
-        trials = materialize(sample_strategies(spark, names, 200, 7, "weekly", {"min_market_cap": 0.0, "min_volume": 0.0}), "trials")
+        trials = materialize(sample_strategies(spark, list(DEFAULT_SEARCH), 200, 7, "weekly", {"min_market_cap": 0.0, "min_volume": 0.0}), "trials")
         book = materialize(J.book(ws.panel("weekly"), regime(), trials, weekly()), "book")
         periods = materialize(J.periods(book, ws.panel("weekly"), trials, weekly()), "periods")
         split = L.split_anchors(weekly().frame(spark), 0.3)
@@ -53,8 +50,6 @@ def main() -> None:
         scored = L.objective(metrics, "sharpe")
         return L.sweep_report(L.holdout_gate(L.cv_score(scored), scored, "strict"))
 
-    open_gates = {"frequency": "weekly", "min_market_cap": 0.0, "max_market_cap": None, "min_volume": 0.0}
-    presets = {k: {**v, **open_gates} for k, v in PRESETS.items()}
     jobs = {
         "candles": lambda: ws.candles,
         "archive_and_coins": lambda: ws.market_history.join(ws.coins, "symbol"),
@@ -71,7 +66,6 @@ def main() -> None:
             K.with_forward(ws.panel("weekly"), weekly(), 1, UNIVERSE).filter("name = 'score'"), ["idx"]
         ),
         "sweep_200_trials": sweep,
-        "ledger_5_presets": lambda: strategy_ledger(ws.panel("weekly"), regime(), ws.candles, strategies(spark, presets), weekly()),
     }
     times = {}
     for name, build in jobs.items():

@@ -170,28 +170,27 @@ query(
 )
 
 
-def _sparse_rates(ws):
-    """The day's high, Mondays only and from 1996 on, so that both as-of policies are exercised."""
-    rows = ws.rates.filter((F.col("ts") >= "1996-01-01") & (F.weekday("ts") == 0))
-    return rows.withColumn("close", F.col("high"))
+def _high_rates(ws):
+    """The day's high as the rate."""
+    return ws.rates.withColumn("close", F.col("high"))
 
 
-CTES["sparse_rates"] = "SELECT ts, high, low, high AS close FROM rates WHERE ts >= DATE '1996-01-01' AND isodow(ts) = 1"
-CTES["rate_days"] = "SELECT d.ts, r.close AS rate FROM (SELECT DISTINCT ts FROM candles) d ASOF LEFT JOIN sparse_rates r ON d.ts >= r.ts"
+CTES["high_rates"] = "SELECT ts, high, low, high AS close FROM rates"
+CTES["rate_days"] = "SELECT d.ts, r.close AS rate FROM (SELECT DISTINCT ts FROM candles) d ASOF LEFT JOIN high_rates r ON d.ts >= r.ts"
 query("asof_rate_strict", "ts:d rate:f6", "SELECT * FROM rate_days")(
-    lambda ws: A.asof_rate(ws.candles.select("ts").distinct(), _sparse_rates(ws), ws.last_day)
+    lambda ws: A.asof_rate(ws.candles.select("ts").distinct(), _high_rates(ws))
 )
 query(
     "asof_rate_clamp",
     "ts:d rate:f6",
-    "SELECT ts, coalesce(rate, (SELECT min_by(close, ts) FROM sparse_rates)) AS rate FROM rate_days",
-)(lambda ws: A.asof_rate(ws.candles.select("ts").distinct(), _sparse_rates(ws), ws.last_day, policy="clamp"))
+    "SELECT ts, coalesce(rate, (SELECT min_by(close, ts) FROM high_rates)) AS rate FROM rate_days",
+)(lambda ws: A.asof_rate(ws.candles.select("ts").distinct(), _high_rates(ws), policy="clamp"))
 query(
     "history_usd",
     "symbol:s ts:d open:f4 high:f4 low:f4 close:f4 volume:f4",
     """SELECT symbol, ts, open * rate AS open, high * rate AS high, low * rate AS low, close * rate AS close, volume * rate AS volume
     FROM candles JOIN rate_days USING (ts) WHERE rate IS NOT NULL""",
-)(lambda ws: A.history_in_quote(ws.candles, _sparse_rates(ws), ws.last_day))
+)(lambda ws: A.history_in_quote(ws.candles, _high_rates(ws)))
 query(
     "lagged_prices",
     "symbol:s price:f8 last_ts:d price_7d:f8 price_30d:f8",
@@ -267,17 +266,17 @@ query(
 )(lambda ws: B.summary_strip(board(ws)))
 query(
     "robust_domain",
-    "colour_max:f6 axis_max:f6 bar_max:f6 overflow:i",
+    "colour_max:f6 axis_max:f6 axis_all:f6 bar_max:f6 overflow:i",
     """WITH d AS (SELECT distance AS d FROM stats_o), l AS (SELECT greatest(quantile_cont(d, 0.9), 25) AS colour_max,
-      CASE WHEN count(*) < 30 THEN greatest(max(d), 1) ELSE greatest(quantile_cont(d, 0.95), 50) END AS axis_max,
+      greatest(quantile_cont(d, 0.95), 50) AS axis_max, greatest(max(d), 1) AS axis_all,
       greatest(quantile_cont(d, 0.95), 5) AS bar_max FROM d)
     SELECT *, (SELECT count(*) FROM d, l WHERE d.d > l.axis_max) AS overflow FROM l""",
 )(lambda ws: B.robust_domain(stats_at(ws)))
 query(
     "robust_domain_series",
-    "colour_max:f6 axis_max:f6 bar_max:f6 overflow:i",
+    "colour_max:f6 axis_max:f6 axis_all:f6 bar_max:f6 overflow:i",
     """WITH d AS (SELECT distance_event AS d FROM dip), l AS (SELECT greatest(quantile_cont(d, 0.9), 25) AS colour_max,
-      CASE WHEN count(*) < 30 THEN greatest(max(d), 1) ELSE greatest(quantile_cont(d, 0.95), 50) END AS axis_max,
+      greatest(quantile_cont(d, 0.95), 50) AS axis_max, greatest(max(d), 1) AS axis_all,
       greatest(quantile_cont(d, 0.95), 5) AS bar_max FROM d)
     SELECT *, (SELECT count(*) FROM d, l WHERE d.d > l.axis_max) AS overflow FROM l""",
 )(lambda ws: B.robust_domain(R.dip_history(ws.candles, EVENT), "distance_event"))

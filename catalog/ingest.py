@@ -118,8 +118,7 @@ def _(ws):
     """SELECT symbol, id, place FROM (
       SELECT symbol, id, row_number() OVER (PARTITION BY symbol ORDER BY seq) AS place FROM (
         SELECT lower(base) AS symbol, 'id-' || p_type || '-' || p_size AS id, min(p_partkey) AS seq
-        FROM (SELECT part.*, pairs.base FROM part JOIN pairs ON seq = p_partkey) GROUP BY 1, 2))
-    WHERE place <= 25""",
+        FROM (SELECT part.*, pairs.base FROM part JOIN pairs ON seq = p_partkey) GROUP BY 1, 2))""",
 )
 def _(ws):
     base = pairs(ws).select("seq", "base")
@@ -429,8 +428,8 @@ SELECT symbol, id, row_number() OVER (PARTITION BY symbol ORDER BY id) AS place
   SELECT DISTINCT p_brand AS symbol, 'id-' || p_type || '-' || p_brand AS id FROM part)"""
 CTES["id_prices"] = """
 SELECT 'id-' || p_type || '-' || p_brand AS id, avg(l_extendedprice / l_quantity) AS price
-FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate >= TIMESTAMP '2001-08-01' GROUP BY 1"""
-CTES["id_caps"] = "SELECT 'id-' || p_type || '-' || p_brand AS id, sum(p_retailprice) AS cap FROM part WHERE p_type <> 'LARGE' GROUP BY 1"
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1"""
+CTES["id_caps"] = "SELECT 'id-' || p_type || '-' || p_brand AS id, sum(p_retailprice) AS cap FROM part GROUP BY 1"
 
 
 def id_tables(ws):
@@ -440,11 +439,11 @@ def id_tables(ws):
     key = F.concat_ws("-", F.lit("id"), "p_type", "p_brand").alias("id")
     place = F.row_number().over(Window.partitionBy("symbol").orderBy("id"))
     candidates = part.select(F.col("p_brand").alias("symbol"), key).distinct().withColumn("place", place)
-    line = ws.table("lineitem").filter(F.col("l_shipdate") >= F.lit("2001-08-01").cast("timestamp_ntz"))
+    line = ws.table("lineitem")
     prices = line.join(part, line.l_partkey == part.p_partkey).groupBy(key).agg(
         F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("price")
     )
-    caps = part.filter("p_type <> 'LARGE'").groupBy(key).agg(F.sum("p_retailprice").alias("cap"))
+    caps = part.groupBy(key).agg(F.sum("p_retailprice").alias("cap"))
     return candidates, prices, caps
 
 
@@ -464,7 +463,7 @@ def _(ws):
 
 
 CTES["reference_prices"] = """
-SELECT lower(replace(symbol, '#', '-')) AS id, avg(close) AS price FROM crn WHERE ts >= DATE '2001-10-20' AND symbol <> 'Brand#3' GROUP BY 1"""
+SELECT lower(replace(symbol, '#', '-')) AS id, avg(close) AS price FROM crn GROUP BY 1"""
 
 
 @query(
@@ -475,8 +474,7 @@ SELECT lower(replace(symbol, '#', '-')) AS id, avg(close) AS price FROM crn WHER
     FROM coins c LEFT JOIN reference_prices r ON r.id = c.market_id WHERE market_id IS NOT NULL AND delisted_at IS NULL""",
 )
 def _(ws):
-    recent = ws.candles.filter((F.col("ts") >= "2001-10-20") & (F.col("symbol") != "Brand#3"))
-    ref = recent.groupBy(F.lower(F.regexp_replace("symbol", "#", "-")).alias("id")).agg(F.avg("close").alias("price"))
+    ref = ws.candles.groupBy(F.lower(F.regexp_replace("symbol", "#", "-")).alias("id")).agg(F.avg("close").alias("price"))
     return I.verify_prices(ws.coins, ref)
 
 
@@ -521,10 +519,9 @@ def _(ws):
 @query(
     "market_history_targets",
     "symbol:s market_id:s",
-    "SELECT symbol, market_id FROM coins WHERE market_id IS NOT NULL ORDER BY coalesce(market_cap, -1) DESC, symbol LIMIT 10",
+    "SELECT symbol, market_id FROM coins WHERE market_id IS NOT NULL",
 )
 def _(ws):
-    known = ws.coins.filter(F.col("market_id").isNotNull())
-    return known.orderBy(F.coalesce("market_cap", F.lit(-1.0)).desc(), "symbol").limit(10)
+    return ws.coins.filter(F.col("market_id").isNotNull()).orderBy(F.coalesce("market_cap", F.lit(-1.0)).desc(), "symbol")
 
 

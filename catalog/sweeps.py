@@ -123,7 +123,7 @@ query(
 def sampled(ws):
     """A sweep of sampled set-wise strategies: every trial is a row of one job."""
     trials = materialize(
-        sample_strategies(ws.spark, [n for n in DEFAULT_SEARCH if n not in ("rotation", "sell_score")], 200, 7, M), "trials"
+        sample_strategies(ws.spark, list(DEFAULT_SEARCH), 200, 7, M), "trials"
     )
     held = materialize(J.book(ws.panel(), regime(ws), trials, cal(ws)), "trial-book")
     rows = materialize(J.periods(held, ws.panel(), trials, cal(ws)), "trial-periods")
@@ -161,30 +161,38 @@ def flat(ws):
     return flags.filter(F.col("idx") == last - 1).select("strategy_id", "in_btc")
 
 
-CTES["state"] = """
+CTES["open_state"] = """
 SELECT strategy_id, symbol, direction, round(weight, 6) AS weight, score, entry_anchor, entry_price, price AS last_price, peak, held AS periods_held FROM (
   SELECT *, row_number() OVER w - 1 AS held, first_value(anchor) OVER w AS entry_anchor, first_value(price) OVER w AS entry_price, max(price) OVER w AS peak FROM (
     SELECT *, idx - row_number() OVER (PARTITION BY strategy_id, symbol, direction ORDER BY idx) AS g FROM book WHERE idx < (SELECT li FROM lastidx))
-  WINDOW w AS (PARTITION BY strategy_id, symbol, direction, g ORDER BY idx)) WHERE idx = (SELECT li FROM lastidx) - 1"""
+  WINDOW w AS (PARTITION BY strategy_id, symbol, direction, g ORDER BY idx)) WHERE idx = (SELECT li FROM lastidx) - 1
+QUALIFY sum(abs(weight)) OVER (PARTITION BY strategy_id) > 1e-9"""
+# Peak of a long over its anchors and the daily closes since its entry, up to the last anchor and up to the end.
+CTES["tops"] = """
+SELECT s.strategy_id, s.symbol, s.direction, max(c.close) FILTER (c.ts <= (SELECT max(anchor) FROM anchors_m)) AS before, max(c.close) AS now
+FROM open_state s JOIN candles c ON c.symbol = s.symbol AND c.ts > s.entry_anchor WHERE s.direction = 'long' GROUP BY 1, 2, 3"""
+CTES["state"] = """
+SELECT s.* REPLACE (greatest(s.peak, coalesce(t.before, s.peak)) AS peak), t.now AS top_now FROM open_state s LEFT JOIN tops t USING (strategy_id, symbol, direction)"""
 CTES["fired"] = """
-SELECT strategy_id, symbol, direction, arg_min(ts, ts) AS trigger_date, arg_min(close, ts) AS trigger_price, arg_min(reason, ts) AS reason, FROM (
-  SELECT s.strategy_id, s.symbol, s.direction, c.ts, c.close, CASE WHEN c.close <= entry_price * (1.0 - 20.0 / 100.0) THEN 'stop_loss'
-    WHEN c.close <= greatest(peak, max(c.close) OVER (PARTITION BY s.strategy_id, s.symbol ORDER BY c.ts)) * (1.0 - 40.0 / 100.0) THEN 'trailing_stop'
-    WHEN c.close >= entry_price * (1.0 + 500.0 / 100.0) THEN 'take_profit' END AS reason
-  FROM state s JOIN candles c ON c.symbol = s.symbol AND c.ts > (SELECT max(anchor) FROM anchors_m) WHERE direction = 'long') WHERE reason IS NOT NULL GROUP BY 1, 2, 3"""
+SELECT strategy_id, symbol, direction, arg_min(ts, ts) AS trigger_date, arg_min(close, ts) AS trigger_price, arg_min(reason, ts) AS reason, arg_min(run_peak, ts) AS run_peak FROM (SELECT *, CASE WHEN close <= entry_price * (1.0 - 20.0 / 100.0) THEN 'stop_loss'
+    WHEN close <= run_peak * (1.0 - 40.0 / 100.0) THEN 'trailing_stop' WHEN close >= entry_price * (1.0 + 500.0 / 100.0) THEN 'take_profit' END AS reason FROM (
+  SELECT s.strategy_id, s.symbol, s.direction, c.ts, c.close, s.entry_price, greatest(peak, max(c.close) OVER (PARTITION BY s.strategy_id, s.symbol ORDER BY c.ts)) AS run_peak
+  FROM state s JOIN candles c ON c.symbol = s.symbol AND c.ts > (SELECT max(anchor) FROM anchors_m) WHERE direction = 'long')) WHERE reason IS NOT NULL GROUP BY 1, 2, 3"""
 CTES["live_book"] = """
 SELECT s.*, n.close AS price_now, f.trigger_date, f.trigger_price, f.reason, CASE WHEN f.reason IS NOT NULL THEN 'SELL' ELSE 'HOLD' END AS action,
   CASE WHEN direction = 'long' THEN coalesce(p.score, s.score) ELSE p.score END AS live_score,
   round(CASE WHEN direction = 'short' THEN entry_price / n.close - 1.0 ELSE n.close / entry_price - 1.0 END, 4) AS pnl,
-  CASE WHEN direction = 'long' THEN round(entry_price * (1.0 - 20.0 / 100.0), 8) END AS stop_price
+  CASE WHEN direction = 'long' THEN round(entry_price * (1.0 - 20.0 / 100.0), 8) END AS stop_price,
+  CASE WHEN direction = 'long' THEN coalesce(f.run_peak, greatest(s.peak, coalesce(s.top_now, s.peak))) END AS live_peak,
+  round(live_peak * (1.0 - 40.0 / 100.0), 8) AS trailing_stop_price, CASE WHEN direction = 'long' THEN round(entry_price * (1.0 + 500.0 / 100.0), 8) END AS take_profit_price
 FROM state s JOIN (SELECT symbol, max_by(close, ts) AS close FROM candles GROUP BY 1) n USING (symbol)
 LEFT JOIN fired f USING (strategy_id, symbol, direction)
 LEFT JOIN (SELECT symbol, score FROM panel_m WHERE idx = (SELECT li FROM lastidx)) p USING (symbol)"""
 query(
     "live_signals",
-    SP + "symbol:s direction:s weight:f6 entry_anchor:d entry_price:f8 price_now:f8 pnl:f4 stop_price:f6 action:s reason:s "
+    SP + "symbol:s direction:s weight:f6 entry_anchor:d entry_price:f8 price_now:f8 pnl:f4 peak:f6 stop_price:f6 trailing_stop_price:f6 take_profit_price:f6 action:s reason:s "
     "trigger_date:d trigger_price:f8 live_score:f1 periods_held:i",
-    "SELECT * FROM live_book",
+    "SELECT * REPLACE (live_peak AS peak) FROM live_book",
 )(live)
 
 
@@ -196,14 +204,14 @@ def signal_rows(ws):
 
 query(
     "signal_rows",
-    "watch_id:s date:d action:s symbol:s reason:s price:f8 score:f1 equity:l8",
+    "watch_id:s date:d action:s symbol:s reason:s message:s price:f8 score:f1 equity:l8",
     """WITH flat AS (SELECT s.strategy_id FROM strats s WHERE coalesce((SELECT sum(abs(weight)) FROM book b WHERE b.strategy_id = s.strategy_id AND b.idx = (SELECT li FROM lastidx) - 1), 0) <= 1e-9),
     a AS (SELECT max(anchor) AS la FROM anchors_m), e AS (SELECT strategy_id, max_by(equity, idx) AS equity FROM curve GROUP BY 1)
     SELECT strategy_id AS watch_id, CASE WHEN action = 'SELL' THEN trigger_date ELSE la END AS date,
       CASE WHEN action = 'SELL' THEN 'SELL' WHEN entry_anchor = la THEN CASE WHEN direction = 'long' THEN 'BUY' ELSE 'SHORT' END ELSE 'HOLD' END AS action,
-      symbol, reason, CASE WHEN action = 'SELL' THEN trigger_price ELSE entry_price END AS price, live_score AS score, equity
+      symbol, reason, CAST(NULL AS VARCHAR) AS message, CASE WHEN action = 'SELL' THEN trigger_price ELSE entry_price END AS price, live_score AS score, equity
     FROM live_book JOIN e USING (strategy_id), a WHERE strategy_id NOT IN (SELECT strategy_id FROM flat)
-    UNION ALL SELECT f.strategy_id, la, 'STAY_IN_BTC', '', 'cash', NULL, NULL, equity FROM flat f JOIN e USING (strategy_id), a""",
+    UNION ALL SELECT f.strategy_id, la, 'STAY_IN_BTC', '', 'cash', 'no positions: no candidate passed the strategy''s filters', NULL, NULL, equity FROM flat f JOIN e USING (strategy_id), a""",
 )(signal_rows)
 query(
     "append_new_signals",

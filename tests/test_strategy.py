@@ -1,8 +1,10 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.operators import ledger as G
+from tidemark.operators import signals as S
+from tidemark.operators import strategy as J
 from tidemark.operators.calendar import Calendar
 from tidemark.plans.presets import strategies
 
@@ -36,18 +38,20 @@ def world(spark):
 
 
 def run(spark, world, **configs):
-    panel, regime, candles, cal = world
+    """Weights per strategy and anchor, and the last equity of each strategy."""
+    panel, regime, _, cal = world
     table = strategies(spark, {k: {**BASE, **v} for k, v in configs.items()})
-    return G.strategy_ledger(panel, regime, candles, table, cal).toPandas()
-
-
-def trades(out, key):
-    t = out[(out.strategy_id == key) & (out.kind == "trade")].sort_values(["entry_anchor", "symbol"])
-    return list(zip(t.symbol, t.entry_anchor.map(lambda d: d.month), t.exit_date.map(lambda d: (d.month, d.day)), t.reason))
+    held = J.book(panel, regime, table, cal)
+    curve = J.equity_curve(J.periods(held, panel, table, cal)).toPandas().sort_values("idx")
+    weights = {}
+    for r in held.collect():
+        if r.weight:
+            weights.setdefault(r.strategy_id, {}).setdefault(r.idx, {})[r.symbol] = r.weight
+    return weights, curve.groupby("strategy_id").equity.last().to_dict()
 
 
 def test_rotation_modes(spark, world):
-    out = run(
+    weights, _ = run(
         spark,
         world,
         keep={"rotation": "hold", "sell_score": 30.0},
@@ -55,39 +59,39 @@ def test_rotation_modes(spark, world):
         default={"rotation": "hold"},
         swap={},
     )
-    assert trades(out, "keep") == [("AAA", 1, (4, 1), "open")]
-    assert trades(out, "drop") == [("AAA", 1, (3, 1), "score"), ("BBB", 3, (4, 1), "open")]
-    assert trades(out, "default") == [("AAA", 1, (2, 1), "score"), ("BBB", 2, (4, 1), "open")]
-    assert trades(out, "swap") == [("AAA", 1, (2, 1), "rebalance"), ("BBB", 2, (4, 1), "open")]
+    assert weights["keep"] == {0: {"AAA": 1.0}, **{i: {"AAA": 0.5, "BBB": 0.5} for i in (1, 2, 3)}}
+    assert weights["drop"] == {0: {"AAA": 1.0}, 1: {"AAA": 0.5, "BBB": 0.5}, 2: {"BBB": 1.0}, 3: {"BBB": 1.0}}
+    assert weights["default"] == weights["swap"] == {0: {"AAA": 1.0}, **{i: {"BBB": 1.0} for i in (1, 2, 3)}}
 
 
-def test_regime_and_time_and_stop(spark, world):
-    out = run(
-        spark,
-        world,
-        trend={"regime_filter": "alt_trend"},
-        wide={"regime_filter": "breadth", "regime_min_breadth": 0.1},
-        timed={"rotation": "hold", "sell_score": 0.0, "max_holding_periods": 1},
-        stopped={"stop_loss_pct": 30.0},
-    )
-    assert ("AAA", 1, (2, 1), "regime") in trades(out, "trend")
-    flat = out[(out.strategy_id == "trend") & (out.kind == "period")].sort_values("idx")
-    assert list(flat.in_btc.isna()) == [True, False, True]
-    assert all(r[3] != "regime" for r in trades(out, "wide"))
-    assert trades(out, "timed")[0] == ("AAA", 1, (2, 1), "time")
-    # BBB falls to 60 inside its first period, is sold there and stays blocked for one anchor.
-    assert ("BBB", 2, (2, 11), "stop_loss") in trades(out, "stopped")
-    assert not [t for t in trades(out, "stopped") if t[0] == "BBB" and t[1] == 3]
+def test_regime_empties_the_book(spark, world):
+    weights, _ = run(spark, world, trend={"regime_filter": "alt_trend"}, wide={"regime_filter": "breadth", "regime_min_breadth": 0.1})
+    assert sorted(weights["trend"]) == [0, 2, 3] and sorted(weights["wide"]) == [0, 1, 2, 3]
 
 
 def test_equity_compounds_and_shorts_earn_on_falls(spark, world):
-    out = run(spark, world, long={"rotation": "hold", "sell_score": 0.0}, fee={"fee_pct": 1.0}, short={"short_n": 1, "min_score": 101.0})
-    eq = out[out.kind == "period"].sort_values("idx").groupby("strategy_id").equity.last()
-    assert abs(eq["long"] - 1.3) < 1e-12
+    _, equity = run(spark, world, fee={"fee_pct": 1.0}, short={"short_n": 1, "min_score": 101.0})
     # January buys at 1 %, February swaps the whole book at 2 %, March trades nothing.
-    assert abs(eq["fee"] - (1.1 - 0.01) * (1 - 0.02)) < 1e-12
+    assert abs(equity["fee"] - (1.1 - 0.01) * (1 - 0.02)) < 1e-12
     # Shorts: BBB in January (flat), AAA afterwards.
-    assert abs(eq["short"] - (1 - (120 / 110 - 1)) * (1 - (130 / 120 - 1))) < 1e-12
+    assert abs(equity["short"] - (1 - (120 / 110 - 1)) * (1 - (130 / 120 - 1))) < 1e-12
+
+
+@pytest.mark.parametrize("rule", J.PATH_RULES)
+def test_the_book_refuses_rules_it_does_not_apply(spark, world, rule):
+    with pytest.raises(ValueError, match=rule):
+        run(spark, world, x={rule: 5 if rule == "max_holding_periods" else 5.0})
+
+
+def test_live_book_lists_nothing_when_flat_and_trails_daily_closes(spark, world):
+    panel, regime, _, cal = world
+    table = strategies(spark, {"held": {**BASE, "rotation": "hold", "sell_score": 0.0}, "flat": {**BASE, "min_score": 101.0}})
+    table = table.withColumn("trailing_stop_pct", F.lit(50.0))
+    candles = spark.createDataFrame([("AAA", DAYS[0], 100.0), ("AAA", DAYS[1] + dt.timedelta(days=9), 200.0), ("AAA", DAYS[3], 130.0)], "symbol string, ts date, close double")
+    plain = strategies(spark, {"held": {**BASE, "rotation": "hold", "sell_score": 0.0}, "flat": {**BASE, "min_score": 101.0}})
+    rows = S.live_positions(J.book(panel, regime, plain, cal), panel, candles, table, cal, DAYS[-1]).collect()
+    found = {(r.strategy_id, r.symbol): (r.peak, r.trailing_stop_price) for r in rows}
+    assert found["held", "AAA"] == (200.0, 100.0) and not any(k[0] == "flat" for k in found)
 
 
 def test_unknown_parameter_is_rejected(spark):

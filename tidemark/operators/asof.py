@@ -22,18 +22,21 @@ def daily_rates(rates: DataFrame, until: dt.date, value: str = "close") -> DataF
     return spans.select(F.explode(F.sequence("ts", "last")).alias("day"), "rate")
 
 
-def asof_rate(times: DataFrame, rates: DataFrame, until: dt.date, ts: str = "ts", policy: str = "strict") -> DataFrame:
-    """Add ``rate``: the rate at or before ``ts``.
+def asof_rate(times: DataFrame, rates: DataFrame, ts: str = "ts", policy: str = "strict") -> DataFrame:
+    """Add ``rate``: the rate at or before ``ts``, also after the last one.
 
-    Before the first rate ``strict`` gives null and ``clamp`` gives the first rate.
+    Before the first rate ``strict`` gives null and ``clamp`` gives the first rate. The distinct days of
+    ``times`` and the rates are one calendar-sized series, whose last known value is carried forward.
     """
     if policy not in ("strict", "clamp"):
         raise ValueError("policy must be strict or clamp")
-    daily = daily_rates(rates, until).withColumnRenamed("day", ts)
-    joined = times.join(daily, ts, "left")
+    days = times.select(F.col(ts).alias("__day")).distinct().withColumns({"__rate": F.lit(None).cast("double"), "__asked": F.lit(True)})
+    known = rates.select(F.col("ts").alias("__day"), F.col("close").cast("double").alias("__rate"), F.lit(False).alias("__asked"))
+    carried = F.last("__rate", ignorenulls=True).over(Window.partitionBy(F.lit(0)).orderBy("__day"))
+    lookup = days.unionByName(known).withColumn("rate", carried).filter("__asked").select(F.col("__day").alias(ts), "rate")
+    joined = times.join(lookup, ts, "left")
     if policy == "clamp":
-        first = rates.select(F.min_by("close", "ts")).scalar()
-        joined = joined.withColumn("rate", F.coalesce("rate", first))
+        joined = joined.withColumn("rate", F.coalesce("rate", rates.select(F.min_by("close", "ts")).scalar()))
     return joined
 
 
@@ -56,9 +59,9 @@ def asof_market(points: DataFrame, archive: DataFrame, coins: DataFrame, calenda
     )
 
 
-def history_in_quote(candles: DataFrame, rates: DataFrame, until: dt.date) -> DataFrame:
+def history_in_quote(candles: DataFrame, rates: DataFrame) -> DataFrame:
     """Candles times the last known rate; days before the first rate are dropped."""
-    priced = asof_rate(candles, rates, until).filter(F.col("rate").isNotNull())
+    priced = asof_rate(candles, rates).filter(F.col("rate").isNotNull())
     return priced.select(
         "symbol", "ts", *[(F.col(c) * F.col("rate")).alias(c) for c in ("open", "high", "low", "close", "volume")]
     )

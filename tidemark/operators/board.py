@@ -152,17 +152,20 @@ def summary_strip(board: DataFrame, distance: str = "distance") -> DataFrame:
 
 
 def robust_domain(board: DataFrame, distance: str = "distance") -> DataFrame:
-    """Colour, axis and bar limits from robust percentiles, and the rows beyond the axis."""
+    """Colour, axis and bar limits from robust percentiles, and the rows beyond the axis.
+
+    ``axis_all`` is the axis that holds every row, for callers with few of them.
+    """
     d = F.col(distance)
     stats = board.filter(d.isNotNull()).agg(
         F.percentile(d, F.lit(0.9)).alias("p90"),
         F.percentile(d, F.lit(0.95)).alias("p95"),
         F.max(d).alias("top"),
-        F.count(F.lit(1)).alias("n"),
     )
     limits = stats.select(
         F.greatest("p90", F.lit(25.0)).alias("colour_max"),
-        F.when(F.col("n") < 30, F.greatest("top", F.lit(1.0))).otherwise(F.greatest("p95", F.lit(50.0))).alias("axis_max"),
+        F.greatest("p95", F.lit(50.0)).alias("axis_max"),
+        F.greatest("top", F.lit(1.0)).alias("axis_all"),
         F.greatest("p95", F.lit(5.0)).alias("bar_max"),
     )
     axis = limits.select("axis_max").scalar()

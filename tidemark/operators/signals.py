@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.calendar import Calendar
@@ -30,18 +30,30 @@ DEFAULT_THRESHOLD_PCT = 20.0
 def live_positions(
     positions: DataFrame, panel: DataFrame, candles: DataFrame, strategies: DataFrame, calendar: Calendar, end: dt.date
 ) -> DataFrame:
-    """Latest book per strategy with marks, levels and the exits fired since the last anchor."""
+    """Latest book per strategy with marks, levels and the exits fired since the last anchor.
+
+    A strategy whose weights are all zero lists nothing. The trailing level counts from the peak, daily closes included.
+    """
     state = book_state(positions, panel, calendar)
+    gross = state.groupBy("strategy_id").agg(F.sum(F.abs("weight")).alias("gross")).filter("gross > 1e-9").select("strategy_id")
+    state = state.join(gross, "strategy_id", "left_semi")
     levels = ["stop_loss_pct", "trailing_stop_pct", "take_profit_pct"]
     held = state.join(strategies.select("strategy_id", *levels), "strategy_id")
     anchors = calendar.frame(panel.sparkSession)
     last = anchors.agg(F.max("idx")).select("max(idx)").scalar()
+    last_anchor = anchors.agg(F.max("anchor")).select("max(anchor)").scalar()
+    keys = ["strategy_id", "symbol", "direction"]
+    closes = held.filter("direction = 'long'").select(*keys, "entry_anchor").join(candles.filter(F.col("ts") <= F.lit(end)).select("symbol", "ts", "close"), "symbol")
+    closes = closes.filter(F.col("ts") > F.col("entry_anchor")).groupBy(*keys).agg(
+        F.max(F.when(F.col("ts") <= last_anchor, F.col("close"))).alias("top_before"), F.max("close").alias("top_now")
+    )
+    held = held.join(closes, keys, "left").withColumn("peak", F.greatest("peak", F.coalesce("top_before", "peak")))
     now = latest(candles, end).select("symbol", F.col("close").alias("mark"))
     pool = numbered(panel, calendar).filter(F.col("idx") == last).select("symbol", F.col("score").alias("pool_score"))
     longs = held.filter("direction = 'long'").withColumn("idx", last)
     fired = first_exit(longs, candles.filter(F.col("ts") <= F.lit(end)), calendar).select(
         "strategy_id", "symbol", F.lit("long").alias("direction"), F.col("ts").alias("trigger_date"),
-        F.col("price").alias("trigger_price"), "reason",
+        F.col("price").alias("trigger_price"), "reason", "run_peak",
     )
     rows = (
         held.join(now, "symbol", "left")
@@ -50,8 +62,17 @@ def live_positions(
         .withColumn("price_now", F.coalesce("mark", "last_price"))
         .withColumn("live_score", F.when(F.col("direction") == "long", F.coalesce("pool_score", "score")).otherwise(F.col("pool_score")))
         .withColumn("action", F.when(F.col("reason").isNotNull(), "SELL").otherwise("HOLD"))
+        .withColumn("peak", F.when(F.col("direction") == "long", F.coalesce("run_peak", F.greatest("peak", F.coalesce("top_now", "peak")))))
     )
-    return exit_levels(rows).drop("mark", "pool_score")
+    return exit_levels(rows).drop("mark", "pool_score", "run_peak", "top_before", "top_now")
+
+
+def flat_message() -> Column:
+    """Why a book holds nothing, in words."""
+    phrase = F.lit(None).cast("string")
+    for code, words in FLAT_PHRASES.items():
+        phrase = F.when(F.col("in_btc") == code, f"no positions: {words}").otherwise(phrase)
+    return phrase
 
 
 def signal_rows(live: DataFrame, flat: DataFrame, anchor: dt.date, equity: DataFrame) -> DataFrame:
@@ -75,7 +96,7 @@ def signal_rows(live: DataFrame, flat: DataFrame, anchor: dt.date, equity: DataF
     )
     resting = flat_now.select(
         F.col("strategy_id").alias("watch_id"), F.lit(anchor).alias("date"), F.lit("STAY_IN_BTC").alias("action"),
-        F.lit("").alias("symbol"), F.col("in_btc").alias("reason"),
+        F.lit("").alias("symbol"), F.col("in_btc").alias("reason"), flat_message().alias("message"),
     )
     both = rows.unionByName(resting, allowMissingColumns=True)
     return both.join(equity.select(F.col("strategy_id").alias("watch_id"), "equity"), "watch_id", "left")

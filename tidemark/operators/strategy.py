@@ -69,6 +69,35 @@ def picks_rebalance(panel: DataFrame, strategies: DataFrame, blocked: DataFrame
     return top_n_per_anchor(rows, "top_n", _largest(strategies, "top_n"))
 
 
+#: Parameters that only `hysteresis_members`, `first_exit`, `time_stop`, `profit_sweep` and `equity_overlays` read.
+PATH_RULES = ["stop_loss_pct", "trailing_stop_pct", "take_profit_pct", "max_holding_periods", "profit_sweep_pct", "equity_trend_exposure", "profit_lock_pct"]
+
+
+def refuse_path_rules(strategies: DataFrame) -> None:
+    """Raise for strategies with a rule the book does not apply, rather than leave it out."""
+    set_ = [c for c in PATH_RULES if c in strategies.columns]
+    # No sweep is 0 per cent; an exposure of 0 is a rule.
+    named = [F.max(F.col(c).isNotNull() if c == "equity_trend_exposure" else F.coalesce(F.col(c) != 0, F.lit(False))).alias(c) for c in set_]
+    row = strategies.agg(*named).first() if set_ else {}
+    found = [c for c in set_ if row[c]]
+    if found:
+        raise ValueError(f"the book does not apply {', '.join(found)}; apply these rules to its members")
+
+
+def picks(panel: DataFrame, strategies: DataFrame, calendar: Calendar) -> DataFrame:
+    """Top-N candidates of the strategies that rebalance; every member of those that hold.
+
+    A holding strategy keeps a symbol from its entry as a candidate until its score falls below the sell score,
+    with no cap on its slots.
+    """
+    chosen = picks_rebalance(panel, strategies.filter("rotation != 'hold'"))
+    holding = strategies.filter("rotation = 'hold'")
+    members = hysteresis_members(panel, holding, calendar).select("strategy_id", "anchor", "symbol")
+    rows = panel.select("frequency", "anchor", "symbol", "score", "distance", "price", "cap", "volume", "trend_30d").join(members, ["anchor", "symbol"])
+    held = rows.join(holding, ["strategy_id", "frequency"])
+    return chosen.unionByName(held.withColumn("place", F.lit(None).cast("int")).select(*chosen.columns))
+
+
 def weights(picks: DataFrame) -> DataFrame:
     """Equal, score-proportional or cap-proportional weights that sum to one per anchor."""
     n = F.count(F.lit(1)).over(_sa())
@@ -83,7 +112,7 @@ def weights(picks: DataFrame) -> DataFrame:
 
 def fill_with_numeraire(weighted: DataFrame) -> DataFrame:
     """Leave empty slots in the numeraire: scale by filled slots over all slots."""
-    share = F.count(F.lit(1)).over(_sa()) / F.col("top_n")
+    share = F.least(F.count(F.lit(1)).over(_sa()) / F.col("top_n"), F.lit(1.0))
     return weighted.withColumn("weight", F.when(F.col("fill_with_btc"), F.col("weight") * share).otherwise(F.col("weight")))
 
 
@@ -167,8 +196,10 @@ BOOK = ["strategy_id", "frequency", "anchor", "symbol", "direction", "score", "p
 
 
 def book(panel: DataFrame, regime: DataFrame, strategies: DataFrame, calendar: Calendar) -> DataFrame:
-    """Target weights of every strategy at every anchor (rebalance mode), longs and shorts."""
-    longs = regime_gate(fill_with_numeraire(weights(picks_rebalance(panel, strategies))), risk_flags(strategies, regime))
+    """Target weights of every strategy at every anchor, longs and shorts; raises for rules it does not apply."""
+    refuse_path_rules(strategies)
+    chosen = picks(panel, strategies, calendar)
+    longs = regime_gate(fill_with_numeraire(weights(chosen)), risk_flags(strategies, regime))
     shorts = short_sleeve(panel, strategies, longs)
     cols = [*[c for c in BOOK if c != "direction"], "ic_exposure"]
     both = longs.select(*cols, F.lit("long").alias("direction")).unionByName(
@@ -260,7 +291,7 @@ def drawdowns(curve: DataFrame) -> DataFrame:
 
 def equity_in_quote(curve: DataFrame, rates: DataFrame, calendar: Calendar) -> DataFrame:
     """Equity and buy-and-hold of the numeraire in the quote currency (first rate before the series)."""
-    priced = asof_rate(curve, rates, calendar.end, "anchor", "clamp")
+    priced = asof_rate(curve, rates, "anchor", "clamp")
     w = Window.partitionBy("strategy_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     base = F.first("rate").over(w)
     usable = base.isNotNull() & (base != 0)

@@ -145,24 +145,13 @@ def holdout_gate(cv: DataFrame, scored: DataFrame, strictness: str) -> DataFrame
 
 
 def sweep_report(verdicts: DataFrame, top_k: int = 5) -> DataFrame:
-    """Best distinct strategies: ranked by CV, the first 20 looked at (60 when none of them passes).
+    """Best distinct strategies of all verdicts: those that pass first, then by CV mean and minimum.
 
-    The two cut-offs are part of the report; both are taken with a limit on the ordered rows, and
-    the rest works on at most 60 of them.
+    Strategies with equal CV figures and holdout return are one, the smallest id of them.
     """
-    order = [F.desc("cv_mean"), F.desc("cv_min"), F.asc("strategy_id")]
-    looked = max(20, top_k * 4)
-    top = verdicts.orderBy(*order).limit(60)
-    ranked = top.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
-    any_pass = F.max(F.when(F.col("place") <= 20, F.col("passed").cast("int"))).over(Window.partitionBy(F.lit(0)))
-    seen = ranked.withColumn("any", any_pass).filter((F.col("place") <= looked) | (F.col("any") == 0))
-    signature = ["cv_mean", "cv_min", "sig"]
-    distinct = (
-        seen.withColumn("sig", F.round("holdout_return", 3))
-        .withColumn("copy", F.row_number().over(Window.partitionBy(*signature).orderBy("place")))
-        .filter("copy = 1")
-    )
-    return distinct.orderBy(F.desc("passed"), F.desc("cv_mean"), "place").limit(top_k).drop("sig", "copy", "any")
+    same = ["cv_mean", "cv_min", F.round("holdout_return", 3).alias("sig")]
+    distinct = verdicts.groupBy(*same).agg(F.min_by(F.struct(*verdicts.columns), "strategy_id").alias("v")).select("v.*")
+    return distinct.orderBy(F.desc("passed"), F.desc("cv_mean"), F.desc("cv_min"), "strategy_id").limit(top_k)
 
 
 def rejection_reasons(verdicts: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,15 +34,16 @@ def local_session(name: str = "tidemark", cpus: str | None = None, partitions: i
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors share: the cluster's checkpoint directory.
 
-    Only where the session names none (tests, laptops) is a fresh folder chosen and set.
+    Only a local session (tests, laptops) that names none gets a fresh folder; on a cluster that is an error, as each
+    executor would write to its own disk.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(configured)
         return configured
-    import tempfile
-
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_IDS_PER_SYMBOL = 25
 MICROSECOND_FLOOR = 10**14
 CANDLE_FIELDS = ("open", "high", "low", "close", "volume")
 
@@ -71,20 +70,17 @@ def decode_market_chart(payload: DataFrame, column: str = "payload") -> DataFram
     )
 
 
-def decode_id_list(payload: DataFrame, column: str = "payload") -> DataFrame:
-    """(symbol, id) candidates: lower-cased symbol, distinct, the first 25 in arrival order.
+def decode_id_list(payload: DataFrame, column: str = "payload", most: int | None = None) -> DataFrame:
+    """(symbol, id) candidates: lower-cased symbol, distinct, numbered in arrival order (``seq``).
 
-    ``seq`` is the arrival order. Duplicates fold before the ranking, and the constant limit lets
-    Spark cut every group on the map side.
+    ``most`` keeps the first so many of a symbol, for providers that take no more.
     """
-    from pyspark.sql import Window
-
     parsed = payload.select("seq", F.from_json(column, "id string, symbol string").alias("j"))
     rows = parsed.select(F.lower("j.symbol").alias("symbol"), F.col("j.id").alias("id"), "seq")
     rows = rows.filter((F.coalesce("symbol", F.lit("")) != "") & (F.coalesce("id", F.lit("")) != ""))
     distinct = rows.groupBy("symbol", "id").agg(F.min("seq").alias("seq"))
-    place = F.row_number().over(Window.partitionBy("symbol").orderBy("seq"))
-    return distinct.withColumn("place", place).filter(F.col("place") <= MAX_IDS_PER_SYMBOL)
+    placed = distinct.withColumn("place", F.row_number().over(Window.partitionBy("symbol").orderBy("seq")))
+    return placed if most is None else placed.filter(F.col("place") <= most)
 
 
 def load_score_artifact(spark: SparkSession, path: str, version: str, required: list[str]) -> DataFrame:
