@@ -12,6 +12,7 @@ from tidemark import params as P
 from tidemark.functions.ranks import count_before, rank_columns
 from tidemark.operators.calendar import Calendar
 from tidemark.plans.panel import forward_returns
+from tidemark.session import materialize
 
 SIGNAL_COLUMNS = ("score", "distance", "trend_30d", "above_sma200")
 
@@ -147,7 +148,7 @@ def block_bootstrap_ci(
 
 def baseline_report(panel: DataFrame, calendar: Calendar, min_universe: int, draws: int = 2000, seed: int = 7) -> DataFrame:
     """Summary of every signal's rank correlation and of the score's quintile spread."""
-    rows = with_forward(panel, calendar, 1, min_universe).persist()
+    rows = materialize(with_forward(panel, calendar, 1, min_universe), "forward")
     ic = rank_ic(rows, ["name", "idx"])
     spread = quintile_spread(rows.filter("name = 'score'"), ["idx"])
     out = summary_stats(ic, "ic", ["name"]).withColumn("section", F.lit("ic"))

@@ -110,18 +110,13 @@ def append_new(new: DataFrame, stored: DataFrame) -> DataFrame:
 def _equity_at(rows: DataFrame, curve: DataFrame, when: str) -> DataFrame:
     """Add ``base``: the strategy's equity at the last curve point at or before a date.
 
-    Every curve point covers the days up to the next one, so the lookup is one conditional
-    aggregate over the join on the strategy (a curve is calendar-sized).
+    The asked dates of a strategy and its curve are one series, whose last equity is carried forward.
     """
-    keyed = rows.withColumn("__row", F.struct(*rows.columns))
-    points = curve.select(F.col("strategy_id").alias("watch_id"), F.col("anchor").alias("__at"), F.col("equity").alias("__e"))
-    seen = F.col("__at") <= F.col(when)
-    return (
-        keyed.join(points, "watch_id", "left")
-        .groupBy("__row")
-        .agg(F.max_by("__e", F.when(seen, F.col("__at"))).alias("base"))
-        .select("__row.*", "base")
-    )
+    asked = rows.select("watch_id", F.col(when).alias("__day")).distinct().withColumns({"__e": F.lit(None).cast("double"), "__ask": F.lit(1)})
+    points = curve.select(F.col("strategy_id").alias("watch_id"), F.col("anchor").alias("__day"), F.col("equity").alias("__e"), F.lit(0).alias("__ask"))
+    order = Window.partitionBy("watch_id").orderBy("__day", "__ask")
+    found = asked.unionByName(points).withColumn("base", F.last("__e", ignorenulls=True).over(order)).filter("__ask = 1")
+    return rows.join(found.select("watch_id", F.col("__day").alias(when), "base"), ["watch_id", when], "left")
 
 
 def return_since(signals: DataFrame, curve: DataFrame) -> DataFrame:

@@ -169,18 +169,21 @@ def rolling_ic(ic: DataFrame, anchors: DataFrame, window: int) -> DataFrame:
 def ic_flags(panel: DataFrame, calendar: Calendar, strategies: DataFrame) -> DataFrame:
     """(strategy, anchor, rolling_ic, ic_risk_on) of the strategies with factor timing.
 
-    One small series per distinct window length, joined to the strategies on it.
+    One calendar-sized series holds all window lengths: a mean is the difference of two running sums.
     """
-    ic = anchor_ic(panel, calendar)
-    anchors = calendar.frame(panel.sparkSession).select("idx", "anchor")
     timed = strategies.filter("ic_filter").select("strategy_id", "ic_window", "ic_threshold")
-    lengths = [r["ic_window"] for r in timed.select("ic_window").distinct().collect()]
-    series = None
-    for length in lengths:
-        part = rolling_ic(ic, anchors, length).withColumn("ic_window", F.lit(length))
-        series = part if series is None else series.unionByName(part)
-    if series is None:
-        series = rolling_ic(ic, anchors, 6).withColumn("ic_window", F.lit(None).cast("int"))
+    windows = timed.select(F.collect_set("ic_window")).scalar()
+    w = Window.partitionBy(F.lit(0)).orderBy("idx")
+    known = anchor_ic(panel, calendar).filter(F.col("ic").isNotNull())
+    known = known.select("idx", "ic", F.row_number().over(w).alias("c"), F.sum("ic").over(w).alias("s"))
+    length = F.greatest(F.lit(2), F.col("ic_window"))
+    rolled = known.withColumn("w", windows).select("idx", "ic", "c", "s", F.explode("w").alias("ic_window")).withColumn("c0", F.col("c") - length)
+    rolled = rolled.join(known.select(F.col("c").alias("c0"), F.col("s").alias("s0")), "c0", "left")
+    mean = (F.col("s") - F.coalesce("s0", _zero())) / F.least(F.col("c"), length)
+    rolled = rolled.select("idx", "ic_window", "ic", F.when(F.col("c") >= 3, mean).alias("m"))
+    anchors = calendar.frame(panel.sparkSession).select("idx", "anchor").withColumn("w", windows)
+    carried = F.last("m", ignorenulls=True).over(Window.partitionBy("ic_window").orderBy("idx"))
+    series = anchors.select("idx", "anchor", F.explode("w").alias("ic_window")).join(rolled, ["idx", "ic_window"], "left").withColumn("rolling_ic", carried)
     on = F.col("rolling_ic").isNull() | (F.col("rolling_ic") > F.col("ic_threshold"))
     return timed.join(series, "ic_window").select("strategy_id", "anchor", "ic", "rolling_ic", on.alias("ic_risk_on"))
 
