@@ -14,8 +14,9 @@ from tidemark.llm.frames import keep, packed
 
 BITS, BYTE = 256, 8
 PARTS = BITS // BYTE  # substrings, one byte each
+STRIDE = 8  # substrings probed between two looks at what was found
 SAMPLE = 8192
-POOL = 500
+POOL = 400
 INDEX_BLOCK, QUERY_BLOCK = 16384, 2048
 
 DISTANCE = np.array([[bin(a ^ b).count("1") for b in range(256)] for a in range(256)], np.uint8)
@@ -58,33 +59,34 @@ class MultiIndex:
     """A posting list of rows per substring and byte value, all in one array."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        keys = codes.astype(np.int64) + 256 * np.arange(PARTS)
-        order = np.argsort(keys.T.reshape(-1), kind="stable")
-        self.rows = (order % len(codes)).astype(np.int32)
-        self.starts = np.searchsorted(keys.T.reshape(-1)[order], np.arange(256 * PARTS + 1))
+        self.words = np.ascontiguousarray(codes).view(np.uint64)
+        keys = (codes.astype(np.int64) + 256 * np.arange(PARTS)).T.reshape(-1)
+        order = np.argsort(keys, kind="stable")
+        self.rows = (order % max(len(codes), 1)).astype(np.int32)
+        self.starts = np.searchsorted(keys[order], np.arange(256 * PARTS + 1))
 
     def within(self, code: np.ndarray, pool: int) -> np.ndarray:
         """Every row within the smallest Hamming radius that holds `pool` rows (all rows, if fewer).
 
-        Pigeonhole: a code within PARTS * (t + 1) - 1 bits has a substring within t bits, so once all substrings
-        are probed to t bits no code within that radius is missing.
+        Pigeonhole: a code within PARTS * t + a bits has t bits or fewer of difference in one of the first a + 1
+        substrings, or fewer than t in one of the others. So once the first a + 1 are probed to t bits
+        and the others to t - 1, no code within that radius is missing.
         """
-        seen = np.zeros(len(self.codes), bool)
+        n, word = len(self.words), np.ascontiguousarray(code).view(np.uint64)
+        seen, far = np.zeros(n, bool), np.full(n, BITS + 1, np.int64)
         for t, shell in enumerate(SHELLS):
-            keys = (shell[code] + 256 * np.arange(PARTS)[:, None]).reshape(-1)
-            begin, size = self.starts[keys], self.starts[keys + 1] - self.starts[keys]
-            ends = np.cumsum(size)
-            seen[self.rows[np.arange(ends[-1]) + np.repeat(begin - ends + size, size)]] = True
-            if t < BYTE and seen.sum() < min(pool, len(seen)):
-                continue
-            rows = np.flatnonzero(seen)
-            far = np.bitwise_count(self.codes[rows] ^ code).sum(1, dtype=np.int64)
-            whole = far < PARTS * (t + 1)
-            if whole.sum() >= pool or t == BYTE:
-                radius = np.sort(far[whole])[min(pool, whole.sum()) - 1]
-                return rows[far <= radius]
-        return np.zeros(0, np.int64)
+            for at in range(0, PARTS, STRIDE):
+                keys = (shell[code[at : at + STRIDE]] + 256 * np.arange(at, at + STRIDE)[:, None]).reshape(-1)
+                begin, size = self.starts[keys], self.starts[keys + 1] - self.starts[keys]
+                ends = np.cumsum(size)
+                met = np.zeros(n, bool)
+                met[self.rows[np.arange(ends[-1]) + np.repeat(begin - ends + size, size)]] = True
+                new = np.flatnonzero(met & ~seen)
+                seen[new] = True
+                far[new] = np.bitwise_count(self.words[new] ^ word).sum(1)
+                if np.count_nonzero(far < PARTS * t + at + STRIDE) >= min(pool, n):
+                    return np.flatnonzero(far <= np.partition(far, min(pool, n) - 1)[min(pool, n) - 1])
+        return np.flatnonzero(seen)
 
 
 def sound(vector: Column) -> Column:
