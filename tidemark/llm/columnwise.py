@@ -71,7 +71,7 @@ def build(strings: list[np.ndarray], alphabet: int, block: int = BLOCK) -> tuple
     bwt, lcp = _column(count, kind), _column(count, np.int16)
     bwt[:], lcp[:] = alphabet, 0
     place = np.arange(count)  # of each string's longest suffix so far
-    totals = np.zeros(letters, np.int64)
+    totals, fresh = np.zeros(letters, np.int64), np.zeros(letters, bool)
     for turn in range(1, int(lengths.max(initial=0)) + 1):
         live = np.flatnonzero(lengths >= turn)
         live = live[np.argsort(place[live])]
@@ -89,16 +89,22 @@ def build(strings: list[np.ndarray], alphabet: int, block: int = BLOCK) -> tuple
             here, letter = at[lo:hi] - begin, symbol[lo:hi]
             bwt[at[lo:hi]] = letter
             part, common = np.asarray(bwt[begin : begin + block]), np.asarray(lcp[begin : begin + block])
-            order = np.argsort(part, kind="stable")
-            sizes = np.bincount(part, minlength=letters)
-            starts = np.cumsum(sizes) - sizes
+            # The block's entries by symbol; in one block only those of new symbols matter.
+            if single:
+                fresh[letter] = True
+                order = np.flatnonzero(fresh[part])
+                fresh[letter] = False
+                order = order[np.argsort(part[order], kind="stable")]
+            else:
+                order = np.argsort(part, kind="stable")
+            by_symbol = part[order]
             minimum = RangeMinimum(common)
             rank = np.empty(len(part), np.int32)
-            rank[order] = np.arange(len(part), dtype=np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
             # Each new symbol's number among its equals, and the equals before and after it.
             k = rank[here]
-            number = k - starts[letter]
-            head, more = number == 0, number + 1 < sizes[letter]
+            number = k - np.searchsorted(by_symbol, letter)
+            head, more = number == 0, (k + 1 < len(order)) & (by_symbol.take(k + 1, mode="clip") == letter)
             before = np.where(head, 0, order[k - 1] + 1)
             value = minimum(before, here + 1).astype(np.int64) + 1
             follow = order.take(k + 1, mode="clip")
@@ -109,6 +115,8 @@ def build(strings: list[np.ndarray], alphabet: int, block: int = BLOCK) -> tuple
                 continue
             row[lo:hi] += seen[letter]
             shared[lo:hi] = np.where(head & (seen[letter] > 0), np.minimum(value, least[letter] + 1), shared[lo:hi])
+            sizes = np.bincount(part, minlength=letters)
+            starts = np.cumsum(sizes) - sizes
             present = np.flatnonzero(sizes[:alphabet])
             due = present[new_last[present] >= 0]  # the first of these follows what an earlier block ended with
             first = order[starts[due]]
@@ -172,17 +180,17 @@ def repeats(strings: list[np.ndarray], alphabet: int, width: int, block: int = B
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def repeated_starts(strings: list[bytes], width: int, unit: int = 4, block: int = BLOCK) -> list[np.ndarray]:
+def repeated_starts(strings: list[bytes], width: int, unit: int = 8, block: int = BLOCK) -> list[np.ndarray]:
     """For each string the starts of its substrings of `width` bytes that start elsewhere in the strings too.
 
     A symbol is a run of `unit` bytes, which must divide `width`. Each string enters once for each of the `unit`
-    phases, so that a substring at any byte is a run of symbols in one of them.
+    phases, so that a substring at any byte is a run of symbols in one of them; rounds and steps shrink by `unit`.
     """
     assert width % unit == 0
     phases = [np.frombuffer(s, np.uint8)[f : f + (len(s) - f) // unit * unit].reshape(-1, unit) if len(s) >= f else np.zeros((0, unit), np.uint8) for s in strings for f in range(unit)]
-    powers = 256 ** np.arange(unit, dtype=np.int64)[::-1]
+    powers = np.uint64(256) ** np.arange(unit, dtype=np.uint64)
     sizes = [len(p) for p in phases]
-    names, symbols = np.unique(np.concatenate([*phases, np.zeros((0, unit), np.uint8)]) @ powers, return_inverse=True)
+    names, symbols = np.unique((np.concatenate([*phases, np.zeros((0, unit), np.uint8)]) * powers).sum(1, dtype=np.uint64), return_inverse=True)
     string, start = repeats(np.split(symbols, np.cumsum(sizes)[:-1]), len(names), width // unit, block)
     string, start = string // unit, start * unit + string % unit
     order = np.lexsort((start, string))

@@ -24,7 +24,7 @@ from tidemark.llm.probminhash import mix
 
 WIDTH, ANCHOR = 400, 200
 CHUNK = 1 << 18  # strings of a document handled at once
-COLLECTION = 600_000  # bytes of contents suffix-sorted together; larger only for one anchor
+COLLECTION = 200_000  # bytes of contents suffix-sorted together; larger only for one anchor
 BASE = 0x9E3779B97F4A7C15  # odd, for rolling hashes modulo 2^64
 
 CUT = "row long, doc_id {id}, n_bytes long, packed binary, starts array<int>, counts array<int>, anchors array<long>, contents array<long>"
@@ -182,7 +182,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     segments = cut.select("row", F.explode(F.arrays_zip("starts", "counts", "anchors", "contents")).alias("s")).select(
         "row", F.col("s.starts").alias("start"), F.col("s.counts").alias("count"), F.col("s.anchors").alias("anchor"), F.col("s.contents").alias("content")
     )
-    common = segments.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    # Written, so that the join is one of two plain shuffles, whose hot anchors Spark can split.
+    common = materialize(segments.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "anchors-common")
     found = keep(segments.join(common, "anchor"), "segments-common")
     contents = found.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("row", "start", "count")).alias("one"))
     contents = materialize(contents.withColumn("others", F.count("*").over(Window.partitionBy("anchor")) - 1), "contents")
