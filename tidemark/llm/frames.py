@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import materialize, shared_dir
 
-__all__ = ["blank", "keep", "keep_rows", "materialize", "packed", "shared_dir", "table", "unused"]
+__all__ = ["blank", "keep", "keep_rows", "materialize", "packed", "shared_dir", "slices", "table", "unused"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +44,19 @@ def packed(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def slices(batches: Iterable, column: int, rows: int, size: int = 2 << 20) -> Iterator:
+    """Parts of Arrow batches of at most `rows` rows and about `size` bytes of a text column, so that what a task
+    holds does not grow with the length of texts that happen to stand together."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, "right"))))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 #: Ids up to this count are sent to all executors (16 bytes each); beyond it the rows are shuffled to them.
 SENT_IDS = 2_000_000
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemark.llm.frames import blank, keep, keep_rows, materialize, packed
+from tidemark.llm.frames import blank, keep, keep_rows, materialize, packed, slices
 from tidemark.llm.links import components
 from tidemark.llm.probminhash import WordHashes, bands, shingles, signatures, similarity
 
@@ -47,36 +47,34 @@ def _sketch(id_type: pa.DataType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, hashes, seen = TaskContext.get().partitionId() << 33, WordHashes(), set()
-        for batch in batches:
-            for start in range(0, batch.num_rows, 400):
-                part = batch.slice(start, 400)
-                texts = part.column(1).to_pylist()
-                sets = [shingles(t, WORDS, hashes) for t in texts]
-                keys = [hashlib.blake2b(e.tobytes() + w.tobytes(), digest_size=16).digest() for e, w in sets]
-                new = []
-                for k, key in enumerate(keys):
-                    if key not in seen:
-                        if len(seen) >= 1 << 20:
-                            seen.clear()
-                        seen.add(key)
-                        new.append(k)
-                won = signatures([sets[k] for k in new], REGISTERS)
-                hashed, low = bands(won, ROWS).view(np.int64), (won >> np.uint64(13)).astype(np.uint8)
-                of = {k: i for i, k in enumerate(new)}
-                signed = [k in of and len(sets[k][0]) > 0 for k in range(len(texts))]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(range(at, at + len(texts)), pa.int64()),
-                        part.column(0).cast(id_type),
-                        part.column(2),
-                        pa.array(keys, pa.binary()),
-                        pa.array([hashed[of[k]] if s else None for k, s in enumerate(signed)], pa.list_(pa.int64())),
-                        pa.array([low[of[k]].tobytes() if s else None for k, s in enumerate(signed)], pa.binary()),
-                        pa.array([t if s else None for t, s in zip(texts, signed)], pa.string()),
-                    ],
-                    schema=schema,
-                )
-                at += len(texts)
+        for part in slices(batches, 1, 400):
+            texts = part.column(1).to_pylist()
+            sets = [shingles(t, WORDS, hashes) for t in texts]
+            keys = [hashlib.blake2b(e.tobytes() + w.tobytes(), digest_size=16).digest() for e, w in sets]
+            new = []
+            for k, key in enumerate(keys):
+                if key not in seen:
+                    if len(seen) >= 1 << 20:
+                        seen.clear()
+                    seen.add(key)
+                    new.append(k)
+            won = signatures([sets[k] for k in new], REGISTERS)
+            hashed, low = bands(won, ROWS).view(np.int64), (won >> np.uint64(13)).astype(np.uint8)
+            of = {k: i for i, k in enumerate(new)}
+            signed = [k in of and len(sets[k][0]) > 0 for k in range(len(texts))]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(range(at, at + len(texts)), pa.int64()),
+                    part.column(0).cast(id_type),
+                    part.column(2),
+                    pa.array(keys, pa.binary()),
+                    pa.array([hashed[of[k]] if s else None for k, s in enumerate(signed)], pa.list_(pa.int64())),
+                    pa.array([low[of[k]].tobytes() if s else None for k, s in enumerate(signed)], pa.binary()),
+                    pa.array([t if s else None for t, s in zip(texts, signed)], pa.string()),
+                ],
+                schema=schema,
+            )
+            at += len(texts)
 
     return run
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidemark.llm.frames import blank, packed
+from tidemark.llm.frames import blank, packed, slices
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values of the model format
@@ -345,12 +345,6 @@ class PieceModel:
             return "".join(c if not "\udc80" <= c <= "\udcff" else "�" for c in data.decode(errors="surrogateescape"))
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 192) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def encode_texts(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, ids, starts, ends (arrays of equal length; bytes of the UTF-8 text).
 
@@ -363,7 +357,7 @@ def encode_texts(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = PieceModel(blob.value)
-        for batch in _slices(batches):
+        for batch in slices(batches, 1, 192):
             *flat, stop = model.encode_all(batch.column(1).to_pylist())
             columns = [pa.ListArray.from_arrays(pa.array(stop, pa.int32()), pa.array(x, pa.int32())) for x in flat]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[doc_id, "ids", "starts", "ends"])
@@ -380,7 +374,7 @@ def decode_ids(coded: DataFrame, model_path: str, ids: str = "ids", into: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = PieceModel(blob.value)
-        for batch in _slices(batches):
+        for batch in (b.slice(k, 192) for b in batches for k in range(0, b.num_rows, 192)):
             lists = batch.column(at).fill_null([]) if batch.column(at).null_count else batch.column(at)
             stop = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
             texts = model.decode_all(lists.flatten().to_numpy(zero_copy_only=False), stop)

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))  # fixed values: splitmix64
-CACHED_WORDS = 300_000
+CACHED_WORDS = 40_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:

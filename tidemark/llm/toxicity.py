@@ -19,10 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.frames import blank, materialize, packed, unused
+from tidemark.llm.frames import blank, materialize, packed, slices, unused
 
 WORD = re.compile(r"[^\W\d_]+")
-CACHED_WORDS = 200_000
+CACHED_WORDS = 50_000
 
 
 @dataclass(frozen=True)
@@ -209,14 +209,14 @@ def score_texts(docs: DataFrame, index: dict[int, int], machine: Machine, text:
     shared = docs.sparkSession.sparkContext.broadcast((index, machine))
     body, columns = unused(docs.columns, "_body"), [F.col(f"`{c}`") for c in docs.columns]
 
+    width = len(columns)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, model = shared.value
         terms = Terms(s, places)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                scores = model.scores([terms.of_text(t) for t in part.column(part.num_columns - 1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores)], names=[*part.schema.names[:-1], into])
+        for part in slices(batches, width, 500):
+            scores = model.scores([terms.of_text(t) for t in part.column(width).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores)], names=[*part.schema.names[:-1], into])
 
     return docs.select(*columns, blank(text).alias(body)).mapInArrow(run, T.StructType([*docs.schema, T.StructField(into, T.DoubleType())]))
 
