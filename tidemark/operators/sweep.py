@@ -133,7 +133,7 @@ def holdout_gate(cv: DataFrame, scored: DataFrame, strictness: str) -> DataFrame
         "strategy_id", F.round("total_return", 4).alias("holdout_return"), F.col("objective").alias("holdout_score")
     )
     rows = cv.join(hold, "strategy_id", "left")
-    reason = (
+    reason = (  # fixed values: the reasons' texts
         F.when(F.col("holdout_score").isNull() | F.col("cv_mean").isNull(), "missing validation data")
         .when(F.col("cv_mean") <= 0, "CV mean not positive")
         .when(F.lit(need_min) & (F.col("cv_min") <= 0), "a walk-forward fold lost")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The column names of the export.
 BOARD_CSV_COLUMNS = [
     "symbol", "base_asset", "name", "listing_date", "current_price", "price_7d_ago", "price_30d_ago", "market_cap",
     "volume_24h", "event_low", "all_time_low", "distance_pct_event", "distance_pct_atl", "price_verified",
