@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from tidemark.llm.frames import blank, materialize, packed, slices, unused
 
 WORD = re.compile(r"[^\W\d_]+")
-CACHED_WORDS = 50_000
+CACHED_WORDS = 120_000
 
 
 @dataclass(frozen=True)
@@ -65,9 +65,8 @@ class Terms:
             found = word_terms(word, self.s)
             if self.index is not None:
                 found = tuple(tuple(self.index[b] for b in part if b in self.index) for part in found)
-            if len(self.cache) >= CACHED_WORDS:
-                self.cache.clear()
-            self.cache[word] = found
+            if len(self.cache) < CACHED_WORDS:
+                self.cache[word] = found
         return found
 
     def of_text(self, text: str) -> list[int]:
