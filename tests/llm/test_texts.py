@@ -84,6 +84,17 @@ def test_pieces_equal_the_library_with_spans():
         assert mine.decode(some) == library.decode(some)
 
 
+def test_a_slice_with_more_units_than_the_cache_holds(monkeypatch):
+    data = open(MODEL, "rb").read()
+    first, long = "the cat and the dog", "the " + " ".join(f"word{k}" for k in range(40))
+    want = [pieces.PieceModel(data).encode(t) for t in (first, long, first)]
+    monkeypatch.setattr(pieces, "CACHED_UNITS", 10)
+    model = pieces.PieceModel(data)
+    for text, (ids, start, end) in zip((first, long, first), want):
+        found = model.encode(text)
+        assert (found[0], found[1].tolist(), found[2].tolist()) == (ids, start.tolist(), end.tolist())
+
+
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
 @pytest.mark.parametrize("squeeze", [False, True])
 def test_character_map_equals_the_library(rule, squeeze):

@@ -247,8 +247,6 @@ class PieceModel:
 
     def _learn_units(self, units: set[str]) -> None:
         """Put units into the cache: where each one's ids are in the flat arrays, and how many."""
-        if len(self.cache) + len(units) > CACHED_UNITS:
-            self._forget()
         plain = [u for u in units if len(u) <= SHORT_UNIT]
         of, symbols = self.merge_all(plain)
         ids, chars = self.symbol_id[symbols], self.symbol_chars[symbols]
@@ -284,11 +282,13 @@ class PieceModel:
         normal, sources = zip(*(self.map.normalise(t, self.dummy, self.squeeze) for t in texts)) if texts else ((), ())
         split = [self.unit.findall(t) for t in normal]
         units = list(chain.from_iterable(split))
-        missing = {*units} - self.cache.keys()
+        wanted = {*units}
+        missing = wanted - self.cache.keys()
+        if len(self.cache) + len(missing) > CACHED_UNITS:  # begin anew with all of these, even if they alone are more
+            self._forget()
+            missing = wanted
         if missing:
             self._learn_units(missing)
-            if missing := {*units} - self.cache.keys():  # the cache began anew
-                self._learn_units(missing)
         row = np.fromiter(map(self.cache.__getitem__, units), np.int64, len(units))
         counts = self.sizes[row]
         ends = np.concatenate([[0], np.cumsum(counts)])
