@@ -172,6 +172,36 @@ def test_removed_bytes_equal_brute_force(spark):
     assert suffixes.remove_repeats(frame(spark, [(1, "a")]).filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("budget", [0, 3000])
+def test_hot_anchors_are_counted_and_never_sorted_together(spark, monkeypatch, budget):
+    rng = random.Random(17)
+    passage = "".join(rng.choice("abcdé ") for _ in range(70))
+    texts = ["".join(rng.choice("uvwxyz") for _ in range(60)) + passage[rng.randrange(12) : 50 + rng.randrange(20)] + "".join(rng.choice("uvwxyz") for _ in range(60)) for _ in range(120)]
+    texts += ["of " * 100, "ab" * 37, "", None, "same row", texts[0], "x" * 500 + passage, passage * 3, *(f"{k:03d}" + "ab" * 40 + f"{k:03d}" for k in range(60))]
+    real = suffixes._sort_suffixes
+
+    def bounded(width, budget):
+        def run(batches):
+            sizes = {}
+
+            def counted():
+                for batch in batches:
+                    for anchor, body in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                        sizes[anchor] = sizes.get(anchor, 0) + len(body)
+                        assert sizes[anchor] <= budget, "one anchor beyond the budget"
+                    yield batch
+
+            yield from real(width, budget)(counted())
+
+        return run
+
+    monkeypatch.setattr(suffixes, "_sort_suffixes", bounded)
+    found = suffixes.remove_repeats(frame(spark, list(enumerate(texts))), width=40, anchor=20, budget=budget).collect()
+    bodies = [(t or "").encode() for t in texts]
+    gone = [[tuple(x) for x in np.flatnonzero(np.diff(np.concatenate([[0], g, [0]]))).reshape(-1, 2).tolist()] for g in brute_removed(bodies, 40)]
+    assert [list(zip(r.starts, r.ends)) for r in sorted(found, key=lambda r: r.doc_id)] == gone
+
+
 def test_long_texts_are_cut_in_chunks(monkeypatch):
     data = np.frombuffer(random.Random(8).randbytes(5000), np.uint8)
     whole = suffixes.Cutter(400, 200).cut(data)

@@ -4,17 +4,22 @@ Equal strings of `width` bytes contain the same least-hashed `anchor`-byte strin
 runs of strings with one anchor occurrence, and only segments with equal anchors can share a string. Anchors that occur once
 end there. Equal segments are one content. Contents that share an anchor are suffix-sorted together, column by column
 (`columnwise`), and neighbours with a common prefix of `width` bytes are the repeats.
+
+The strings of an anchor with many contents are counted instead. Equal strings have their first occurrence of the anchor
+at the same offset, so the bytes that all strings with a run of offsets have in common are a key: keys that
+occur once are dropped, and only strings under the others are counted, all with partial aggregates.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -24,7 +29,8 @@ from tidemark.llm.probminhash import mix
 
 WIDTH, ANCHOR = 400, 200
 CHUNK = 1 << 18  # strings of a document handled at once
-COLLECTION = 200_000  # bytes of contents suffix-sorted together; larger only for one anchor
+COLLECTION = 200_000  # bytes of contents suffix-sorted together; strings of an anchor with more are counted
+OFFSETS = 16  # of the anchor in a string, that share a key
 BASE = 0x9E3779B97F4A7C15  # odd, for rolling hashes modulo 2^64
 
 CUT = "row long, doc_id {id}, n_bytes long, packed binary, starts array<int>, counts array<int>, anchors array<long>, contents array<long>"
@@ -44,11 +50,16 @@ class Cutter:
         parts = [self._chunk(data[k : k + CHUNK + self.width - 1], k) for k in range(0, max(len(data) - self.width + 1, 0), CHUNK)]
         return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
-    def _chunk(self, data: np.ndarray, offset: int) -> tuple[np.ndarray, ...]:
-        width, anchor, n = self.width, self.anchor, len(data)
+    def hashes(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rolling sums, and the hash of each `anchor`-byte string."""
+        anchor, n = self.anchor, len(data)
         with np.errstate(over="ignore"):
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[:n])])
-            hashes = mix((sums[anchor:] - sums[:-anchor]) * self.inverse[: n - anchor + 1])
+            return sums, mix((sums[anchor:] - sums[:-anchor]) * self.inverse[: n - anchor + 1])
+
+    def _chunk(self, data: np.ndarray, offset: int) -> tuple[np.ndarray, ...]:
+        width, anchor = self.width, self.anchor
+        sums, hashes = self.hashes(data)
         least, span, wanted = hashes, 1, width - anchor + 1
         while span * 2 <= wanted:
             least = np.minimum(least[:-span], least[span:])
@@ -91,14 +102,19 @@ def _cut_texts(id_type: pa.DataType, width: int, anchor: int):
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (packed, places: start, end, anchor, content): the bytes of each place."""
+    """Rows (packed, places: start, end, anchor, content, hot): the bytes of each place."""
     for batch in batches:
         for k in range(batch.num_rows):
             data = zstandard.decompress(batch.column(0)[k].as_py())
             places = batch.column(1)[k].as_py()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([p["anchor"] for p in places], pa.int64()), pa.array([p["content"] for p in places], pa.int64()), pa.array([data[p["start"] : p["end"]] for p in places], pa.binary())],
-                names=["anchor", "content", "body"],
+                [
+                    pa.array([p["anchor"] for p in places], pa.int64()),
+                    pa.array([p["content"] for p in places], pa.int64()),
+                    pa.array([data[p["start"] : p["end"]] for p in places], pa.binary()),
+                    pa.array([p["hot"] for p in places], pa.bool_()),
+                ],
+                names=["anchor", "content", "body", "hot"],
             )
 
 
@@ -131,6 +147,52 @@ def _sort_suffixes(width: int, budget: int):
     return run
 
 
+def _keys(width: int, anchor: int, offsets: int):
+    """Rows (anchor, content, body, groups): (anchor, content, group, start, key) for each group of `offsets` offsets of the
+    anchor in a string, or of those listed in `groups`, if any. Strings of one group are equal only if their keys are;
+    with groups of one offset the key is that of the string, and `start` is its start."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Cutter(width, anchor)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                out = [], [], [], [], []
+                for name, content, body, groups in zip(*(batch.column(k).slice(at, 500).to_pylist() for k in range(4))):
+                    place = int(np.flatnonzero(cutter.hashes(np.frombuffer(body, np.uint8))[1].view(np.int64) == name)[0])
+                    wanted = None if groups is None else {*groups}
+                    mark = name.to_bytes(8, "little", signed=True)
+                    low, high = place - (len(body) - width), place
+                    for group in range(low // offsets, high // offsets + 1):
+                        if wanted is not None and group * offsets // OFFSETS not in wanted:
+                            continue
+                        first, last = place - group * offsets, place - (group * offsets + offsets - 1) + width
+                        key = hashlib.blake2b(mark + group.to_bytes(4, "little") + body[first:last], digest_size=16).digest()
+                        for column, value in zip(out, (name, content, group, first, key)):
+                            column.append(value)
+                kinds = pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["anchor", "content", "group", "start", "key"])
+
+    return run
+
+
+def _count_strings(bodies: DataFrame, width: int, anchor: int) -> DataFrame:
+    """Of rows (anchor, content, body) the starts in each content that repeat, as `_sort_suffixes` gives them. No rows of
+    one anchor or key meet in a task: keys are counted with partial aggregates and joined back by plain shuffles."""
+    schema = "anchor long, content long, group int, start int, key binary"
+
+    def twice(rows: DataFrame, offsets: int) -> DataFrame:
+        keyed = rows.select("anchor", "content", "body", "groups").mapInArrow(_keys(width, anchor, offsets), schema)
+        common = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "keys-common")
+        return keyed.join(common, "key")
+
+    near = twice(bodies.withColumn("groups", F.lit(None).cast("array<int>")), OFFSETS)
+    groups = materialize(near.groupBy("anchor", "content").agg(F.collect_set("group").alias("groups")), "groups-common")
+    found = twice(bodies.join(groups, ["anchor", "content"]), 1).groupBy("anchor", "content").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+    firsts = F.filter("starts", lambda x: ~F.array_contains("starts", x - 1))
+    lasts = F.filter("starts", lambda x: ~F.array_contains("starts", x + 1))
+    return found.select("anchor", "content", firsts.alias("firsts"), F.zip_with(firsts, lasts, lambda a, b: b - a + 1).alias("runs"))
+
+
 def _remove(id_type: pa.DataType):
     names = ["doc_id", "n_bytes", "n_removed", "starts", "ends", "kept"]
 
@@ -174,7 +236,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows of their own, so their whole strings repeat; extra columns are ignored; an empty table gives no rows.
 
     Anchors are counted with partial aggregates, copies of a segment are one content before any bytes move, and
-    the suffix sort holds about `budget` bytes, or one anchor's contents in files beyond memory.
+    the suffix sort holds at most twice `budget` bytes: the strings of an anchor with more than `budget` bytes of
+    contents are counted (`_count_strings`).
     """
     rows = packed(docs, doc_id, text).select(F.col(f"`{doc_id}`").alias("doc_id"), blank(text).cast("binary").alias("body"))
     id_type = to_arrow_type(rows.schema["doc_id"].dataType)
@@ -186,15 +249,22 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     common = materialize(segments.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "anchors-common")
     found = keep(segments.join(common, "anchor"), "segments-common")
     contents = found.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("row", "start", "count")).alias("one"))
-    contents = materialize(contents.withColumn("others", F.count("*").over(Window.partitionBy("anchor")) - 1), "contents")
-    wanted = contents.filter("others > 0").select(
+    contents = materialize(contents, "contents")
+    sizes = contents.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.col("one.count") + width - 1).alias("size"))
+    sizes = materialize(sizes.filter("n > 1").select("anchor", (F.col("size") > budget).alias("hot")), "anchors-sizes")
+    wanted = contents.join(sizes, "anchor").select(
         F.col("one.row").alias("row"),
-        F.struct(F.col("one.start").alias("start"), (F.col("one.start") + F.col("one.count") + width - 1).alias("end"), "anchor", "content").alias("place"),
+        F.struct(F.col("one.start").alias("start"), (F.col("one.start") + F.col("one.count") + width - 1).alias("end"), "anchor", "content", "hot").alias("place"),
     )
     places = wanted.groupBy("row").agg(F.collect_list("place").alias("places"))
-    bodies = cut.select("row", "packed").join(places, "row").select("packed", "places").mapInArrow(_fetch, "anchor long, content long, body binary")
-    sorted_ = bodies.repartition("anchor").sortWithinPartitions("anchor", "content").mapInArrow(_sort_suffixes(width, budget), "anchor long, content long, firsts array<int>, runs array<int>")
+    bodies = cut.select("row", "packed").join(places, "row").select("packed", "places").mapInArrow(_fetch, "anchor long, content long, body binary, hot boolean")
+    hot = not sizes.filter("hot").isEmpty()
+    if hot:
+        bodies = keep(bodies, "bodies")
+    sorted_ = bodies.filter("not hot").select("anchor", "content", "body").repartition("anchor").sortWithinPartitions("anchor", "content").mapInArrow(_sort_suffixes(width, budget), "anchor long, content long, firsts array<int>, runs array<int>")
     shared = sorted_.filter(F.size("firsts") > 0)
+    if hot:
+        shared = shared.unionByName(_count_strings(bodies.filter("hot"), width, anchor))
     twice = contents.filter("n > 1").select("anchor", "content", F.array(F.lit(0)).alias("firsts"), F.array(F.col("one.count")).alias("runs"))
     repeats = materialize(shared.join(twice, ["anchor", "content"], "left_anti").unionByName(twice), "repeats")
     spans = found.join(repeats, ["anchor", "content"]).select("row", "start", F.explode(F.arrays_zip("firsts", "runs")).alias("r"))
