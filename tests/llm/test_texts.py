@@ -65,6 +65,17 @@ def test_toxicity_held_out(spark):
     assert all(r.predicted == (r.doc_id % 4 == 0) for r in rows if r.held_out)
 
 
+def test_repeated_ids_stay_within_the_sample(spark, monkeypatch):
+    word = lambda k: chr(97 + k % 26) * (2 + k // 26)
+    docs = [(k, word(k)) for k in range(30)]
+    learned, real = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda lists, y, terms, s: learned.append(len(y)) or real(lists, y, terms, s))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, toxic int")
+    for more in ([], [(3, word(3))] * 200, [(k, f"{word(k)} {word(j + 30)}") for k in range(30) for j in range(20)]):
+        toxicity.learn(spark.createDataFrame(docs + more, "doc_id long, text string"), labels, s=toxicity.Settings(sample=40, steps=1))
+    assert 0 < learned[0] == learned[1] <= 30 and learned[2] == 40
+
+
 # Encoding
 
 

@@ -165,23 +165,30 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """(place of each kept term, machine), from at most `s.sample` labelled rows outside the held-out fold.
 
     The sample's size bounds what is broadcast (ids and labels) and, with `s.terms`, what reaches the driver;
-    class counts per term are aggregated on the cluster.
+    class counts per term are aggregated on the cluster. Rows that repeat id, text and label are one; where an id
+    has several texts and the rows are more than the sample, those with the smallest hashes of both stay.
     """
     known = packed(labels, doc_id, label).filter(F.col(f"`{label}`").isNotNull() & F.col(f"`{doc_id}`").isNotNull() & ~held_out(doc_id))
     known = known.select(F.col(f"`{doc_id}`").alias("doc_id"), (F.col(f"`{label}`") > 0).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(s.sample)
-    texts = packed(docs, doc_id, text).select(F.col(f"`{doc_id}`").alias("doc_id"), blank(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = packed(docs, doc_id, text).select(F.col(f"`{doc_id}`").alias("doc_id"), blank(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("y", "text", F.xxhash64("doc_id", "text").alias("h"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(s)
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                lists = [terms.of_text(t) for t in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(lists, pa.list_(pa.int32()))], names=["y", "terms"])
-
-    sample = materialize(texts.select("text", "y").mapInArrow(hashed, "y int, terms array<int>"), "toxic-sample")
-    total, positive = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+                lists = [terms.of_text(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lists, pa.list_(pa.int32())), part.column(2)], names=["y", "terms", "h"])
+
+    rows = texts.mapInArrow(hashed, "y int, terms array<int>, h long").groupBy("h", "y").agg(F.first("terms").alias("terms"))
+    sample = materialize(rows, "toxic-sample")
+    classes = F.count("*"), F.coalesce(F.sum("y"), F.lit(0))
+    total, positive = sample.agg(*classes).first()
+    if total > s.sample:
+        last = sample.select("h", "y").orderBy("h", "y").limit(s.sample).agg(F.max(F.struct("h", "y")).alias("last")).first().last
+        sample = sample.filter((F.col("h") < last.h) | ((F.col("h") == last.h) & (F.col("y") <= last.y)))
+        total, positive = sample.agg(*classes).first()
     if not total:
         return {}, fit([], [], 0, s)
     counts = sample.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
@@ -198,7 +205,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             lists = [[i for t in x if (i := get(t)) is not None] for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], names=["y", "terms"])
 
-    rows = sample.mapInArrow(mapped, "y int, terms array<int>").collect()
+    rows = sample.select("y", "terms").mapInArrow(mapped, "y int, terms array<int>").collect()
     rows.sort(key=lambda r: (r.y, list(r.terms)))
     return index, fit([list(r.terms) for r in rows], [r.y for r in rows], len(index), s)
 
