@@ -12,8 +12,11 @@ from tidemark.llm.chat import conversation_digests, format_examples
 from tidemark.llm.exact import exact_owners
 from tidemark.llm.frames import packed, table
 from tidemark.llm.hamming import nearest
+from tidemark.llm.language import identify_languages
+from tidemark.llm.middle import digest_examples, piece_tables
 from tidemark.llm.near import near_classes
 from tidemark.llm.packing import pack_texts
+from tidemark.llm.phrases import mine_phrases
 from tidemark.llm.pieces import decode_ids, encode_texts
 from tidemark.llm.pseudonyms import pseudonymise
 from tidemark.llm.sharding import MULTIPLIER, assign_shards
@@ -138,7 +141,7 @@ WITH t AS (
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 e AS (
-  SELECT *, replace(regexp_replace(regexp_replace(replace(text, '\\', '\\\\'), '(<)(\\||/?s>|</?SYS>>)', '\\1\\\\\\2', 'g'), '(\\[)(/?INST\\])', '\\1\\\\\\2', 'g'), '', '') AS safe
+  SELECT *, regexp_replace(regexp_replace(replace(text, '\\', '\\\\'), '(<)(\\||/?s>|</?SYS>>)', '\\1\\\\\\2', 'g'), '(\\[)(/?INST\\])', '\\1\\\\\\2', 'g') AS safe
   FROM t),
 c AS (
   SELECT *, 19 + length(role) + 17 + length(safe) + 10 AS chars,
@@ -158,6 +161,76 @@ def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents"))
+
+
+SQL11 = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) t(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k AS words, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE words = 1 GROUP BY lang),
+c AS (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE words > 1 AND f >= 30),
+cut AS (
+  SELECT lang, words, phrase, a, k, array_to_string(w[1:k], ' ') AS left_part, array_to_string(w[k + 1:], ' ') AS right_part
+  FROM (SELECT *, unnest(range(1, words)) AS k FROM c)),
+scored AS (
+  SELECT cut.lang, cut.phrase, a, k, x.f AS l, y.f AS r, 2000000::HUGEINT * a // (x.f::HUGEINT + y.f) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = left_part JOIN f y ON y.lang = cut.lang AND y.phrase = right_part),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_part AS (
+  SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, w, a, k, unnest(range(1, words - k + 2)) AS i FROM c, (VALUES (2), (3)) t(k) WHERE words > k) GROUP BY ALL),
+kept AS (
+  SELECT s.* FROM least s LEFT JOIN inner_part i USING (lang, phrase)
+  WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+def op12_piece_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = digest_examples(piece_tables(table(spark, sf_dir, "documents")))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+SQL12 = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (
+  SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS x, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS y,
+         ('0x' || substr(h, 17, 8))::BIGINT % 100 AS h3, ('0x' || substr(h, 25, 8))::BIGINT % 100 AS h4 FROM d),
+c AS (
+  SELECT *, least(x, y) AS a, greatest(x, y) AS b,
+         CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 >= 90 THEN 'plain'
+              WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+o AS (
+  SELECT *, CASE form WHEN 'plain' THEN text
+              WHEN 'psm' THEN '<P>' || substring(text, 1, a) || '<S>' || substring(text, b + 1) || '<M>' || substring(text, a + 1, b - a)
+              ELSE '<S>' || substring(text, b + 1) || '<P>' || substring(text, 1, a) || '<M>' || substring(text, a + 1, b - a) END AS output FROM c),
+s AS (SELECT *, string_split(regexp_replace(output, '<[PSM]>', chr(1) || '<>', 'g'), chr(1) || '<>') AS part FROM o)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form != 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars,
+       CASE WHEN form != 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+       sha256(output) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN part[2] || part[4] || part[3]
+                ELSE part[3] || part[4] || part[2] END) AS restored_sha256
+FROM s
+"""
+
+
+def op13_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_variable_packing": op1_variable_packing,
     "op2_fm_toxicity": op2_fm_toxicity,
@@ -169,5 +242,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jump_shards": op8_jump_shards,
     "op9_prefix_targets": op9_prefix_targets,
     "op10_probminhash": op10_probminhash,
+    "op11_phrase_parsing": op11_phrase_parsing,
+    "op12_piece_tables": op12_piece_tables,
+    "op13_language_centroids": op13_language_centroids,
+}
+ORACLES: dict[str, str] = {
+    "op7_trie_owners": SQL7,
+    "op8_jump_shards": SQL8,
+    "op9_prefix_targets": SQL9,
+    "op11_phrase_parsing": SQL11,
+    "op12_piece_tables": SQL12,
 }
-ORACLES: dict[str, str] = {"op7_trie_owners": SQL7, "op8_jump_shards": SQL8, "op9_prefix_targets": SQL9}
