@@ -10,8 +10,9 @@ from catalog.registry import EVENT, query
 from catalog.sqlbase import CTES
 from tidemark.functions import symbols as S
 from tidemark.operators import ingest as I
-from tidemark.session import shared_dir
+from tidemark.session import materialize, shared_dir
 from tidemark.sources import payloads, sinks, tables
+from tidemark.sources.store import PartitionedTable
 
 OHLCV = "symbol:s ts:d open:f8 high:f8 low:f8 close:f8 volume:f6"
 D2000 = dt.date(2000, 1, 1)
@@ -137,8 +138,11 @@ def _(ws):
     stored = ws.candles.select("symbol", "ts", "close")
     late = stored.filter(F.col("ts") >= "2001-06-01").withColumn("close", F.col("close") * 1.5)
     fresh = late.unionByName(late.withColumn("ts", F.date_add("ts", 3000)))
-    once = tables.upsert(stored, fresh, ["symbol", "ts"])
-    return tables.upsert(once, fresh, ["symbol", "ts"])
+    table = PartitionedTable(_out(ws, "candles"))
+    table.create(stored)
+    table.upsert(fresh)
+    table.upsert(fresh)
+    return table.read(ws.spark)
 
 
 @query(
@@ -148,25 +152,34 @@ def _(ws):
 )
 def _(ws):
     fresh = ws.rates.filter(F.col("ts") >= "2001-06-01").withColumn("high", F.col("high") + 1)
-    return tables.upsert(ws.rates, fresh, ["ts"])
+    table = PartitionedTable(_out(ws, "rates"), keys=("ts",), symbol=None)
+    table.create(ws.rates)
+    table.upsert(fresh)
+    return table.read(ws.spark)
 
 
 @query(
     "upsert_market_history",
-    "action:s n:i",
+    "symbol:s ts:d price_usd:f8 market_cap:f2 volume_24h:f2 action:s",
     """WITH old AS (SELECT * FROM market_history WHERE ts < DATE '2001-01-01'),
-    new AS (SELECT symbol, ts, price_usd, CASE WHEN ts >= DATE '2000-06-01' THEN market_cap + 1 ELSE market_cap END AS market_cap
+    new AS (SELECT symbol, ts, price_usd, CASE WHEN ts >= DATE '2000-06-01' THEN market_cap + 1 ELSE market_cap END AS market_cap, volume_24h
             FROM market_history WHERE ts >= DATE '2000-01-01')
-    SELECT CASE WHEN n.symbol IS NULL THEN 'kept' WHEN o.symbol IS NULL THEN 'inserted'
-                WHEN n.market_cap <> o.market_cap THEN 'updated' ELSE 'unchanged' END AS action, count(*) AS n
-    FROM old o FULL JOIN new n ON o.symbol = n.symbol AND o.ts = n.ts GROUP BY 1""",
+    SELECT coalesce(n.symbol, o.symbol) AS symbol, coalesce(n.ts, o.ts) AS ts, coalesce(n.price_usd, o.price_usd) AS price_usd,
+           coalesce(n.market_cap, o.market_cap) AS market_cap, coalesce(n.volume_24h, o.volume_24h) AS volume_24h,
+           CASE WHEN n.symbol IS NULL THEN 'kept' WHEN o.symbol IS NULL THEN 'inserted'
+                WHEN n.market_cap <> o.market_cap THEN 'updated' ELSE 'unchanged' END AS action
+    FROM old o FULL JOIN new n ON o.symbol = n.symbol AND o.ts = n.ts""",
 )
 def _(ws):
     mh = ws.market_history
     fresh = mh.filter(F.col("ts") >= "2000-01-01").withColumn(
         "market_cap", F.when(F.col("ts") >= "2000-06-01", F.col("market_cap") + 1).otherwise(F.col("market_cap"))
     )
-    return tables.change_counts(mh.filter(F.col("ts") < "2001-01-01"), fresh, ["symbol", "ts"])
+    table = PartitionedTable(_out(ws, "market-history"))
+    table.create(mh.filter(F.col("ts") < "2001-01-01"))
+    actions = materialize(table.changes(fresh), "actions")
+    table.upsert(fresh)
+    return table.read(ws.spark).join(actions, ["symbol", "ts"], "left").withColumn("action", F.coalesce("action", F.lit("kept")))
 
 
 @query(

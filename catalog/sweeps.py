@@ -17,6 +17,7 @@ from tidemark.operators.series import dip_history
 from tidemark.plans.presets import strategies
 from tidemark.plans.space import DEFAULT_SEARCH, sample_strategies
 from tidemark.session import materialize, shared_dir
+from tidemark.sources.store import ChangeLog
 from tidemark.streaming import jobs
 
 EVENT = dt.date(1998, 1, 1)
@@ -314,17 +315,29 @@ def _folder(ws, name: str) -> str:
     return f"{shared_dir(ws.spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _arrivals(rows, ts: str, days: int, slices: int):
+    """The rows dealt to `slices` landings in the order they arrive, each up to `days` late by a hash of the row."""
+    delay = F.pmod(F.xxhash64(*rows.columns), F.lit(days * 86400))
+    arrival = F.unix_seconds(F.col(ts).cast("timestamp")) + delay
+    low, high = rows.agg(F.min(arrival), F.max(arrival)).first()
+    step = (high - low) // slices + 1
+    return [rows.filter(F.floor((arrival - low) / step) == k) for k in range(slices)]
+
+
 def stream_candles(ws):
-    source = ws.table("events")
-    events = ws.spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(ws.sf_dir)
-    ticks = events.select(
+    """Trades land in five slices, up to a day and a half late and out of order; each slice is several micro-batches."""
+    ticks = ws.table("events").select(
         F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"),
         F.lit(1.0).alias("size"), F.col("event_id").alias("seq"),
     )
-    path = _folder(ws, "stream-candles")
-    sink = jobs.upsert_sink(path, ["symbol", "ts"])
-    jobs.run_available(jobs.candle_stream(ticks), path, _folder(ws, "checkpoint"), "update", sink)
-    return jobs.read_latest(ws.spark, path)
+    landing, checkpoint = _folder(ws, "ticks"), _folder(ws, "checkpoint")
+    log = ChangeLog(_folder(ws, "stream-candles"))
+    for part in _arrivals(ticks, "ts", 1, 5):
+        part.repartition(2, "seq").write.mode("append").parquet(landing)
+        feed = ws.spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+        # A slice spans six days and is read in any order, its rows come a day late.
+        jobs.run_available(jobs.candle_stream(feed, "9 days"), log.path, checkpoint, "update", log.sink(every=3))
+    return log.read(ws.spark)
 
 
 query(
@@ -336,17 +349,16 @@ query(
 
 
 def stream_alerts(ws):
-    landing = _folder(ws, "distances")
-    rows = distances(ws).withColumn("ts", F.col("ts").cast("timestamp"))
-    rows.repartitionByRange(6, "ts").write.parquet(landing)
-    feed = ws.spark.readStream.schema(rows.schema).parquet(landing)
-    path = _folder(ws, "alerts")
-    ws.spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
+    """Distances land in four slices, up to twenty days late and out of order; a heartbeat a year on ends the feed."""
+    rows = materialize(distances(ws).withColumn("ts", F.col("ts").cast("timestamp")), "distances")
+    beat = rows.groupBy().agg(F.lit("heartbeat").alias("symbol"), (F.max("ts") + F.expr("interval 366 days")).alias("ts"), F.lit(None).cast("double").alias("distance"))
+    session = jobs.stateful_session(ws.spark)
+    landing, path, checkpoint = (_folder(ws, name) for name in ("distances", "alerts", "checkpoint"))
     known = materialize(ws.watchlist, "watchlist")
-    jobs.run_available(jobs.alert_stream(feed, known, 2000.0), path, _folder(ws, "checkpoint"))
+    for part in [*_arrivals(rows, "ts", 20, 4), beat]:
+        part.write.mode("append").parquet(landing)
+        feed = session.readStream.schema(rows.schema).parquet(landing)
+        jobs.run_available(jobs.alert_stream(feed, session.read.parquet(*known.inputFiles()), 2000.0, "21 days"), path, checkpoint)
     return ws.spark.read.schema(jobs.ALERT_SCHEMA).parquet(path).withColumn("ts", F.to_date("ts"))
 
 

@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.sources.tables import upsert
-
 ALERT_SCHEMA = "symbol string, ts timestamp, distance double, threshold double"
+STATE_STORE = (
+    "spark.sql.streaming.stateStore.providerClass",
+    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+)
 
 
 def candle_stream(ticks: DataFrame, lateness: str = "2 days") -> DataFrame:
@@ -34,61 +36,83 @@ def candle_stream(ticks: DataFrame, lateness: str = "2 days") -> DataFrame:
     )
 
 
-def upsert_sink(path: str, keys: list[str]):
-    """foreachBatch writer: merge a batch into a table of numbered versions.
+class CrossingProcessor(StatefulProcessor):
+    """Fires a row when a symbol's distance crosses its threshold, in the order of event time.
 
-    Each version is built from the one before it and written whole, so a lost executor or a
-    repeated batch leaves the previous version readable and the result the same.
+    Rows wait in a list until the watermark has passed them, so that batches may bring them in any order; a timer at the
+    earliest waiting row wakes the symbol. What is kept is the rows of the watermark's delay and the last distance.
     """
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        before = f"{path}/v={batch_id - 1}"
-        stored = batch.sparkSession.read.parquet(before) if batch_id > 0 else batch.limit(0)
-        upsert(stored, batch, keys).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
-
-    return write
-
-
-def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    """Newest version of the sink table (the version is a partition column)."""
-    versions = spark.read.parquet(path)
-    newest = versions.select(F.max("v")).scalar()
-    return versions.filter(F.col("v") == newest).drop("v")
-
-
-class CrossingProcessor(StatefulProcessor):
-    """Remembers each symbol's last distance and emits a row when it crosses its threshold."""
-
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", "distance double")
+        self.waiting = handle.getListState("waiting", "ts timestamp, distance double, threshold double")
 
-    def handleInputRows(self, key, rows, timer_values):
-        frames = [f for f in rows if len(f)]
-        if not frames:
+    def _wake(self, first: pd.Timestamp) -> None:
+        """One timer a symbol, at the earliest waiting row."""
+        due = int(first.timestamp() * 1000)
+        set_ = list(self.handle.listTimers())
+        if set_ and min(set_) <= due:
             return
-        seen = pd.concat(frames).sort_values("ts")
-        previous = self.last.get()[0] if self.last.exists() else float("inf")
-        before = seen["distance"].shift(1, fill_value=previous)
-        hit = (before > seen["threshold"]) & (seen["distance"] <= seen["threshold"])
-        self.last.update((float(seen["distance"].iloc[-1]),))
-        out = seen[hit]
-        if len(out):
-            yield out[["symbol", "ts", "distance", "threshold"]].reset_index(drop=True)
+        for timer in set_:
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(due)
+
+    def handleInputRows(self, key, rows, timerValues):
+        frames = [f for f in rows if len(f)]
+        if frames:
+            new = pd.concat(frames)
+            self.waiting.appendList(list(new[["ts", "distance", "threshold"]].itertuples(index=False, name=None)))
+            self._wake(new["ts"].min())
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        mark = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
+        waiting = pd.DataFrame([tuple(r) for r in self.waiting.get()], columns=["ts", "distance", "threshold"])
+        waiting = waiting.sort_values(["ts", "distance"], kind="stable")
+        seen, later = waiting[waiting["ts"] <= mark], waiting[waiting["ts"] > mark]
+        self.waiting.put(list(later.itertuples(index=False, name=None))) if len(later) else self.waiting.clear()
+        if len(later):
+            self.handle.registerTimer(int(later["ts"].iloc[0].timestamp() * 1000))
+        if len(seen):
+            previous = self.last.get()[0] if self.last.exists() else float("inf")
+            before = seen["distance"].shift(1, fill_value=previous)
+            hit = (before > seen["threshold"]) & (seen["distance"] <= seen["threshold"])
+            self.last.update((float(seen["distance"].iloc[-1]),))
+            out = seen[hit]
+            if len(out):
+                yield out.assign(symbol=key[0])[["symbol", "ts", "distance", "threshold"]].reset_index(drop=True)
 
     def close(self) -> None:
         pass
 
 
-def alert_stream(distances: DataFrame, watchlist: DataFrame, default: float) -> DataFrame:
-    """Threshold crossings of a (symbol, ts, distance) stream against a static watchlist."""
+def alert_stream(distances: DataFrame, watchlist: DataFrame, default: float, lateness: str = "2 days") -> DataFrame:
+    """Threshold crossings of a (symbol, ts, distance) stream against a static watchlist.
+
+    Rows up to `lateness` behind the newest may come in any order. An alert is written once the watermark passes it; rows
+    of symbols nobody watches, a heartbeat for example, move the watermark and nothing else. The session needs the
+    RocksDB state store (`STATE_STORE`).
+    """
     known = watchlist.select("symbol", F.coalesce("threshold_pct", F.lit(default)).alias("threshold"))
     return (
-        distances.join(known, "symbol")
+        distances.withWatermark("ts", lateness)
+        .join(known, "symbol")
         .groupBy("symbol")
-        .transformWithStateInPandas(CrossingProcessor(), ALERT_SCHEMA, "Append", "none")
+        .transformWithStateInPandas(CrossingProcessor(), ALERT_SCHEMA, "Append", "EventTime")
     )
 
 
+def stateful_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application with the state store that custom state needs; `spark` keeps its settings."""
+    session = spark.newSession()
+    for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.checkpoint.dir"):
+        if (value := spark.conf.get(key, None)) is not None and session.conf.isModifiable(key):
+            session.conf.set(key, value)
+    session.conf.set(*STATE_STORE)
+    return session
+
+
 def signal_stream(signals: DataFrame, lateness: str = "400 days") -> DataFrame:
     """Each (watch, date, action, symbol) once, however often it is sent while the watermark allows."""
     return signals.withWatermark("date", lateness).dropDuplicatesWithinWatermark(["watch_id", "date", "action", "symbol"])
