@@ -27,6 +27,7 @@ LONGEST = 4  # words of a phrase
 OVERLAP = LONGEST - 1
 CHUNK = 256  # tokens after which a chunk ends without a trigger
 BITS = 1 << 26  # of a filter of frequent phrases: 8 MB, whatever the corpus
+HASHES = 1 << 40  # hashes of pairs that are told apart before the filter
 BLOCK = 6 << 20  # bytes of chunks counted together
 END = b"\n"  # token between pieces; no word holds it
 #: Letters to lower-case, blanks, piece ends.
@@ -131,10 +132,11 @@ def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return of, place
 
 
-def count_block(lang: pa.Array, chunk: pa.Array, own: np.ndarray, freq: np.ndarray, sizes: Sequence[int], frequent: dict[int, np.ndarray]) -> list[tuple]:
-    """(languages, phrases, weights) for each of `sizes`: the phrases that chunks of this block own, of that many words, all
-    of whose parts are frequent as far as `frequent` knows them. Keys are numbers of words and shorter phrases, so the
-    counts are exact; hashes only ask the filters. Size 0 is the empty phrase: all words."""
+def count_block(lang: pa.Array, chunk: pa.Array, own: np.ndarray, freq: np.ndarray, sizes: Sequence[int], frequent: dict[int, np.ndarray], hashed_only: bool) -> list[tuple]:
+    """(languages, phrases, weights) for each of `sizes`: the phrases that chunks of this block own, of that many words,
+    that are frequent together with all their parts as far as `frequent` knows them; (hashes, weights) if `hashed_only`. Keys
+    are numbers of words and shorter phrases, so the counts are exact; hashes only ask the filters. Size 0 is the empty
+    phrase: all words."""
     lists = pc.split_pattern(chunk, " ")
     tokens, row = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
     offsets = lists.offsets.to_numpy().astype(np.int64)
@@ -167,27 +169,32 @@ def count_block(lang: pa.Array, chunk: pa.Array, own: np.ndarray, freq: np.ndarr
             at, before = at[both], number[both]
             number, first = distinct(before * words + code[at + n - 1])
             h = longer_hash(h[before[first]], hashed[code[at[first] + n - 1]])
+        if n in frequent:
+            good = has(frequent[n], h)[number]
+            at, number = at[good], number[good]
+        if not len(at):
+            break
         if n in sizes:
             mine = owned[at]
-            total, some = np.zeros(len(first), np.int64), np.zeros(len(first), bool)
+            total, first = np.zeros(len(h), np.int64), np.full(len(h), -1, np.int64)
             np.add.at(total, number[mine], weight[at[mine]])
-            some[number[mine]] = True
-            place = at[first[some]]
+            first[number[mine]] = at[mine]
+            some = np.flatnonzero(first >= 0)
+            if hashed_only:
+                out.append((pa.array((h[some] % np.uint64(HASHES)).astype(np.int64)), pa.array(total[some])))
+                continue
+            place = first[some]
             length = start[place + n - 1] + size[place + n - 1] - start[place]
             body = data[ranges(start[place], length)]
             phrases = pa.StringArray.from_buffers(len(place), pa.py_buffer(np.append(0, np.cumsum(length)).astype(np.int32)), pa.py_buffer(body))
             out.append((langs.dictionary.take(pa.array(of_lang[place])), phrases, pa.array(total[some])))
-        if n in frequent:
-            good = has(frequent[n], h)[number]
-            at, number = at[good], number[good]
-        if not len(at):
-            break
     return out
 
 
-def count_phrases(chunks: DataFrame, sizes: Sequence[int], frequent: dict[int, np.ndarray]) -> DataFrame:
-    """(lang, phrase, f) of a chunk dictionary; `frequent` holds a filter for each shorter size that must be frequent."""
+def _count(chunks: DataFrame, sizes: Sequence[int], frequent: dict[int, np.ndarray], schema: str, hashed_only: bool = False) -> DataFrame:
+    """The rows of `count_block` for blocks of about BLOCK bytes of a chunk dictionary."""
     shared = chunks.sparkSession.sparkContext.broadcast(frequent)
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -196,8 +203,8 @@ def count_phrases(chunks: DataFrame, sizes: Sequence[int], frequent: dict[int, n
         def done() -> Iterator[pa.RecordBatch]:
             block = pa.Table.from_batches(held).combine_chunks()
             columns = [block.column(k).chunk(0) for k in range(4)]
-            for made in count_block(columns[0], columns[1], columns[2].to_numpy(), columns[3].to_numpy(), sizes, shared.value):
-                yield pa.RecordBatch.from_arrays(list(made), names=["lang", "phrase", "f"])
+            for made in count_block(columns[0], columns[1], columns[2].to_numpy(), columns[3].to_numpy(), sizes, shared.value, hashed_only):
+                yield pa.RecordBatch.from_arrays(list(made), names=names)
 
         for part in slices(batches, 1, 1 << 20, BLOCK):
             held.append(part)
@@ -205,53 +212,61 @@ def count_phrases(chunks: DataFrame, sizes: Sequence[int], frequent: dict[int, n
             if size >= BLOCK:
                 yield from done()
                 held, size = [], 0
-        if held and sum(p.num_rows for p in held):
+        if held:
             yield from done()
 
-    counted = chunks.select("lang", "chunk", "own", "freq").mapInArrow(run, "lang string, phrase string, f long")
-    return counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    return chunks.select("lang", "chunk", "own", "freq").mapInArrow(run, schema)
 
 
-def frequent_filter(counts: DataFrame) -> np.ndarray:
-    """Bits of the hashes of (lang, phrase), all phrases of one size. What reaches the driver is the filter's fixed size;
-    other phrases with a set bit are counted in vain, none is missed."""
+def count_phrases(chunks: DataFrame, sizes: Sequence[int], frequent: dict[int, np.ndarray]) -> DataFrame:
+    """(lang, phrase, f) of a chunk dictionary; `frequent` holds a filter for each size that must pass one."""
+    return _count(chunks, sizes, frequent, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = pc.split_pattern(batch.column(1), " ")
-            words = digests(lists.flatten()).reshape(batch.num_rows, -1)
-            h = word_hash(digests(batch.column(0)), words[:, 0])
-            for k in range(1, words.shape[1]):
-                h = longer_hash(h, words[:, k])
-            place = np.unique(h % np.uint64(BITS)).astype(np.int64)
-            slot, first = np.unique(place >> 6, return_index=True)
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (place & 63).astype(np.uint64), first)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(bits.view(np.int64))], names=["slot", "bits"])
-
-    rows = counts.select("lang", "phrase").mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+
+def _filter(hashes: DataFrame) -> np.ndarray:
+    """Bits of the hashes `h`. What reaches the driver is the filter's fixed size, whatever the corpus."""
+    place = F.pmod(F.col("h"), F.lit(BITS))
+    slots = hashes.select(F.shiftright(place, 6).alias("slot"), F.expr(f"shiftleft(1L, cast(pmod(h, {BITS}) & 63 as int))").alias("bit"))
+    rows = slots.groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
     bits = np.zeros(BITS >> 6, np.int64)
     bits[rows.column("slot").to_numpy()] = rows.column("bits").to_numpy()
     return bits.view(np.uint64)
 
 
+def word_filter(words: DataFrame) -> np.ndarray:
+    """Filter of (lang, phrase) rows of one word. Other words may pass and are counted in vain; none is missed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = word_hash(digests(batch.column(0)), digests(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([pa.array((h % np.uint64(HASHES)).astype(np.int64))], names=["h"])
+
+    return _filter(words.select("lang", "phrase").mapInArrow(run, "h long"))
+
+
+def pair_filter(chunks: DataFrame, frequent: dict[int, np.ndarray], least: int) -> np.ndarray:
+    """Filter of the pairs of words whose hashes occur `least` times: numbers are counted here, not phrases, as most pairs
+    are rare and their text would be most of what is shuffled."""
+    return _filter(_count(chunks, (2,), frequent, "h long, f long", True).groupBy("h").agg(F.sum("f").alias("f")).filter(F.col("f") >= least))
+
+
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", s: Settings = Settings()) -> DataFrame:
     """(lang, phrase, words, f): all phrases of 1 to 4 words with s.least occurrences or more, and all words as phrase ''.
 
-    Three passes over the chunk dictionary, words, then pairs of frequent words, then longer phrases of frequent pairs:
-    no phrase is more frequent than its parts, so what is left out cannot be frequent, and every count is exact.
+    Three passes over the chunk dictionary: words, hashes of pairs of frequent words, then the phrases whose words and
+    pairs pass. No phrase is more frequent than its parts and no hash is rarer than a phrase that has it, so what
+    is left out cannot be frequent, and every count is exact.
     """
     chunks = chunk_dictionary(docs, text, lang, s.every)
-    frequent: dict[int, np.ndarray] = {}
-    parts = []
-    for sizes in ((0, 1), (2,), tuple(range(3, LONGEST + 1))):
+
+    def counted(sizes: Sequence[int], frequent: dict[int, np.ndarray]) -> DataFrame:
         counts = count_phrases(chunks, sizes, frequent).filter((F.col("f") >= s.least) | (F.col("phrase") == ""))
-        counts = counts.select("lang", "phrase", F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " "))).alias("words"), "f")
-        parts.append(materialize(counts, "phrases"))
-        if sizes[-1] < OVERLAP:
-            frequent[sizes[-1]] = frequent_filter(parts[-1].filter(F.col("words") == sizes[-1]))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+        return materialize(counts.select("lang", "phrase", F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " "))).alias("words"), "f"), "phrases")
+
+    words = counted((0, 1), {})
+    frequent = {1: word_filter(words.filter("words = 1"))}
+    frequent[2] = pair_filter(chunks, frequent, s.least)
+    return words.unionByName(counted(range(2, LONGEST + 1), frequent))
 
 
 def mine_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", s: Settings = Settings()) -> DataFrame:
