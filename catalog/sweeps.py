@@ -259,11 +259,7 @@ query(
     SP + "symbol:s",
     """SELECT s.strategy_id, p.symbol FROM panel_m p CROSS JOIN strats s WHERE p.idx = (SELECT li FROM lastidx)
     EXCEPT SELECT strategy_id, symbol FROM state""",
-)(
-    lambda ws: ws.panel().filter(F.col("anchor") == ws.panel().agg(F.max("anchor")).select("max(anchor)").scalar())
-    .join(strats(ws).select("strategy_id", "frequency"), "frequency")
-    .join(live(ws), ["strategy_id", "symbol"], "left_anti")
-)
+)(lambda ws: S.held_difference(ws.panel(), live(ws), strats(ws), cal(ws)))
 query("tracked_symbols", "symbol:s", "SELECT DISTINCT symbol FROM state")(lambda ws: S.tracked_symbols(live(ws)))
 CTES["watched_distance"] = """
 SELECT d.symbol, d.ts, d.distance_event AS distance, coalesce(w.threshold_pct, 2000.0) AS threshold,

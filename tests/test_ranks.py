@@ -1,10 +1,22 @@
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from tests.naive import average_ranks
-from tidemark.functions.ranks import rank_columns
+from tidemark.functions import ranks
+from tidemark.functions.ranks import count_before, rank_columns
 from tidemark.operators.research import quintile_spread, rank_ic
 
 
+@pytest.fixture(params=["one task", "cut"], autouse=True)
+def size(request, monkeypatch):
+    """Every test with cross-sections in one task and with all of them cut into ranges."""
+    if request.param == "cut":
+        monkeypatch.setattr(ranks, "WHOLE", 0)
+    return request.param
+
+
 def frame(spark, rows):
     return spark.createDataFrame(rows, "g int, symbol string, x double, y double")
 
@@ -48,3 +60,34 @@ def test_quintile_spread_matches_sorting(spark):
         k = max(1, len(ordered) // 5)
         want = sum(v for _, v in ordered[-k:]) / k - sum(v for _, v in ordered[:k]) / k
         assert abs(got[g] - want) < 1e-12
+
+
+def test_concentrated_values_spread_over_ranges(spark):
+    """All values within one percent, a third of them equal: no range has more than a few times its share."""
+    rng = random.Random(4)
+    rows = [(1, str(i), 99.5 if i % 3 == 0 else 99 + rng.random(), 0.0) for i in range(6000)]
+    df = frame(spark, rows)
+    cuts = ranks.splitters(df, ["g"], ["x"])
+    placed = df.join(cuts, "g").withColumn("r", ranks.range_of(F.col("x"), F.col("x_cuts")))
+    sizes = {r["r"]: r["count"] for r in placed.groupBy("r").count().collect()}
+    assert sum(n for r, n in sizes.items() if r % 2 and n > 1000) == 2000  # the equal ones, which are only counted
+    assert max(n for r, n in sizes.items() if r % 2 == 0) < 5 * 6000 / ranks.RANGES
+    want = average_ranks([r[2] for r in rows])
+    got = {r["symbol"]: r["x_rank"] for r in rank_columns(df, ["g"], ["symbol"], ["x"]).collect()}
+    assert [got[r[1]] for r in rows] == want
+
+
+def test_counts_before_each_value(spark):
+    rng = random.Random(5)
+    counts = {(g, round(rng.uniform(99, 100), 3)): rng.randrange(1, 9) for g in range(2) for _ in range(300)}
+    df = spark.createDataFrame([(g, v, n) for (g, v), n in counts.items()], "g int, v double, n long")
+    for r in count_before(df, ["g"], "v").collect():
+        mine = {v: n for (g, v), n in counts.items() if g == r.g}
+        assert (r.before, r.total) == (sum(n for v, n in mine.items() if v < r.v), sum(mine.values()))
+
+
+def test_whole_groups_are_ranked_after_one_shuffle(spark, size):
+    df = frame(spark, [(g, str(i), float(i % 7), float(i)) for g in range(3) for i in range(20)])
+    plan = rank_columns(df, ["g"], ["symbol"], ["x", "y"])._jdf.queryExecution().executedPlan().toString()
+    if size == "one task":
+        assert plan.count("Exchange hashpartitioning") == 1

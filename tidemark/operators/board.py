@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark import params as P
 from tidemark.functions import symbols as S
 from tidemark.functions.numeric import distance_pct, falsy
+from tidemark.functions.select import quantiles
 from tidemark.operators.asof import close_before
 from tidemark.operators.calendar import Calendar
 from tidemark.operators.lookback import lookback_stats
@@ -142,35 +143,32 @@ def table_sort(board: DataFrame, metric: Column, descending: bool) -> DataFrame:
 
 
 def summary_strip(board: DataFrame, distance: str = "distance") -> DataFrame:
+    """Counts and the exact median, which is selected by counting passes and never held in one buffer."""
     d = F.col(distance)
+    (median,) = quantiles(board, distance, (0.5,))
     return board.agg(
         F.count(F.lit(1)).alias("tracked"),
         F.count_if(d <= 25).alias("near25"),
         F.count_if(d <= 50).alias("near50"),
-        F.median(d).alias("median"),
-    )
+    ).withColumn("median", F.lit(median).cast("double"))
 
 
 def robust_domain(board: DataFrame, distance: str = "distance") -> DataFrame:
     """Colour, axis and bar limits from robust percentiles, and the rows beyond the axis.
 
-    ``axis_all`` is the axis that holds every row, for callers with few of them.
+    ``axis_all`` is the axis that holds every row, for callers with few of them. The percentiles are exact.
     """
     d = F.col(distance)
-    stats = board.filter(d.isNotNull()).agg(
-        F.percentile(d, F.lit(0.9)).alias("p90"),
-        F.percentile(d, F.lit(0.95)).alias("p95"),
-        F.max(d).alias("top"),
-    )
-    limits = stats.select(
-        F.greatest("p90", F.lit(25.0)).alias("colour_max"),
-        F.greatest("p95", F.lit(50.0)).alias("axis_max"),
+    p90, p95 = (F.lit(q).cast("double") for q in quantiles(board, distance, (0.9, 0.95)))
+    axis = F.greatest(p95, F.lit(50.0))
+    stats = board.agg(F.max(d).alias("top"), F.count_if(d > axis).alias("overflow"))
+    return stats.select(
+        F.greatest(p90, F.lit(25.0)).alias("colour_max"),
+        axis.alias("axis_max"),
         F.greatest("top", F.lit(1.0)).alias("axis_all"),
-        F.greatest("p95", F.lit(5.0)).alias("bar_max"),
+        F.greatest(p95, F.lit(5.0)).alias("bar_max"),
+        "overflow",
     )
-    axis = limits.select("axis_max").scalar()
-    over = board.filter(d > axis).agg(F.count(F.lit(1)).alias("overflow")).select("overflow").scalar()
-    return limits.withColumn("overflow", over)
 
 
 def cap_share(board: DataFrame, distance: str = "distance") -> DataFrame:

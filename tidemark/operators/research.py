@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import params as P
-from tidemark.functions.ranks import count_before, rank_columns
+from tidemark.functions.ranks import count_before, fits, rank_columns
 from tidemark.operators.calendar import Calendar
 from tidemark.plans.panel import forward_returns
 from tidemark.session import materialize
@@ -42,13 +42,13 @@ def with_forward(
     return signal_library(pairs, ("idx", "anchor", "symbol", "ret"))
 
 
-def rank_ic(rows: DataFrame, by: Sequence[str], x: str = "value", y: str = "ret") -> DataFrame:
+def rank_ic(rows: DataFrame, by: Sequence[str], x: str = "value", y: str = "ret", whole: bool | None = None) -> DataFrame:
     """Spearman correlation per group: Pearson of average ranks.
 
     Null for fewer than three rows or a constant side.
     """
     by = list(by)
-    ranked = rank_columns(rows, by, ["symbol"], [x, y])
+    ranked = rank_columns(rows, by, ["symbol"], [x, y], whole=whole)
     rx, ry = F.col(f"{x}_rank"), F.col(f"{y}_rank")
     stats = ranked.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
@@ -60,17 +60,24 @@ def rank_ic(rows: DataFrame, by: Sequence[str], x: str = "value", y: str = "ret"
     return stats.select(*by, "n", F.when(valid, F.col("cov") / F.sqrt(F.col("vx") * F.col("vy"))).alias("ic"))
 
 
-def quintile_spread(rows: DataFrame, by: Sequence[str], x: str = "value", y: str = "ret") -> DataFrame:
+def quintile_spread(rows: DataFrame, by: Sequence[str], x: str = "value", y: str = "ret", whole: bool | None = None) -> DataFrame:
     """Mean return of the top fifth minus the bottom fifth, ordered by (signal, return).
 
-    Works on distinct (signal, return) pairs with counts: the position of a pair is the number of
-    rows with a smaller signal plus, inside one signal value, the number with a smaller return.
+    Where a group is one task, rows are numbered by a window. Beyond, distinct (signal, return) pairs are counted: the
+    position of a pair is the number of rows with a smaller signal plus, inside one signal value, the
+    number with a smaller return.
     """
     by = list(by)
-    pairs = rows.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("n"))
+    if fits(rows, by) if whole is None else whole:
+        w = Window.partitionBy(*by)
+        numbered = rows.select(*by, y, F.row_number().over(w.orderBy(x, y)).alias("__i"), F.count(F.lit(1)).over(w).alias("__n"))
+        fifth = F.greatest(F.lit(1), F.floor(F.col("__n") / 5))
+        top, bottom = F.when(F.col("__i") > F.col("__n") - fifth, F.col(y)), F.when(F.col("__i") <= fifth, F.col(y))
+        return numbered.groupBy(*by).agg((F.avg(top) - F.avg(bottom)).alias("spread"), F.first("__n").alias("n"))
+    pairs = materialize(rows.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("n")), "pairs")
     values = pairs.groupBy(*by, x).agg(F.sum("n").alias("n"))
-    outer = count_before(values, by, x).select(*by, x, F.col("before").alias("__lo"), F.col("total").alias("__n"))
-    inner = count_before(pairs, [*by, x], y).drop("total")
+    outer = count_before(values, by, x, whole=False).select(*by, x, F.col("before").alias("__lo"), F.col("total").alias("__n"))
+    inner = count_before(pairs, [*by, x], y, whole=False).drop("total")
     placed = inner.join(outer, [*by, x]).withColumn("start", F.col("before") + F.col("__lo"))
     k = F.greatest(F.lit(1), F.floor(F.col("__n") / 5))
     n, start = F.col("n"), F.col("start")

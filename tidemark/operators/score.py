@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import params as P
 from tidemark.functions.numeric import clamp, round1
-from tidemark.functions.ranks import count_before, rank_columns, to_percentile
+from tidemark.functions.ranks import average_rank, count_before, fits, rank_columns, to_percentile
 from tidemark.session import materialize
 
 COMPONENTS = list(P.SCORE_WEIGHTS)
@@ -54,19 +54,21 @@ def eligible(rows: DataFrame, min_cap: float = P.SCORE_MIN_CAP, min_volume: floa
     return rows.filter(scorable() & liquid(min_cap, min_volume))
 
 
-def _score(pool: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Score and parts of rows that already carry the component columns and ``knife``."""
+def _score(pool: DataFrame, by: Sequence[str], whole: bool) -> DataFrame:
+    """Score and parts of rows that already carry the component columns and ``knife``. Where a cross-section is one
+    task (`whole`), both rankings and what lies between them take one shuffle."""
     names = [f"c_{c}" for c in COMPONENTS]
-    ranked = rank_columns(pool, by, ["symbol"], names, keep=["knife"])
+    ranked = rank_columns(pool, by, ["symbol"], names, keep=["knife"], whole=whole)
     parts = {c: to_percentile(F.col(f"c_{c}_rank"), F.col("group_n")) * w for c, w in P.SCORE_WEIGHTS.items()}
     staged = ranked.select(*by, "symbol", "knife", *[v.alias(f"part_{c}") for c, v in parts.items()])
     total = F.col("part_valuation")
     for c in COMPONENTS[1:]:
         total = total + F.col(f"part_{c}")
-    # Ranked again from here; written once so that the first ranking is not repeated.
-    composite = materialize(staged.withColumn("composite", total + F.col("knife")), "composite")
+    composite = staged.withColumn("composite", total + F.col("knife"))
+    if not whole:
+        composite = materialize(composite, "composite")  # read by every pass of the second ranking
     keep = ["knife", *[f"part_{c}" for c in COMPONENTS]]
-    final = rank_columns(composite, by, ["symbol"], ["composite"], keep=keep)
+    final = rank_columns(composite, by, ["symbol"], ["composite"], keep=keep, whole=whole)
     pct = clamp(to_percentile(F.col("composite_rank"), F.col("group_n")), 0.0, 100.0)
     return final.select(*by, "symbol", *keep, pct.alias("raw_score")).withColumn("score", round1(F.col("raw_score"))).drop(
         "raw_score"
@@ -81,7 +83,7 @@ def value_score(
 ) -> DataFrame:
     """Score of the rows that pass the gates, with the weighted parts (one decimal) and the penalty."""
     pool = with_components(eligible(rows, min_cap, min_volume)).withColumn("knife", knife_penalty())
-    scored = _score(pool, list(by))
+    scored = _score(pool, list(by), fits(rows, by))
     return scored.withColumns({f"part_{c}": round1(F.col(f"part_{c}")) for c in COMPONENTS})
 
 
@@ -91,12 +93,13 @@ def panel_score(rows: DataFrame, by: Sequence[str] = ("anchor",)) -> DataFrame:
     Both cross-sections are ranked in one pass, told apart by ``pool`` (1 gated, 0 everyone).
     """
     by = list(by)
+    whole = fits(rows, by)
     base = with_components(rows.filter(scorable())).withColumn("knife", knife_penalty())
     gated = liquid(P.SCORE_MIN_CAP, P.SCORE_MIN_VOLUME)
     pools = F.when(gated, F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(0)))
     narrow = [*by, "symbol", "knife", *[f"c_{c}" for c in COMPONENTS]]
     both = base.withColumn("pool", F.explode(pools)).select("pool", *narrow)
-    scored = _score(both, ["pool", *by])
+    scored = _score(both, ["pool", *by], whole)
     best = scored.groupBy(*by, "symbol").agg(F.max_by("score", "pool").alias("score"))
     return rows.join(best, [*by, "symbol"])
 
@@ -107,7 +110,7 @@ def feature_value(name: str) -> Column:
     return F.col(name).cast("double")
 
 
-def fill_upper_median(long: DataFrame, by: Sequence[str]) -> DataFrame:
+def fill_upper_median(long: DataFrame, by: Sequence[str], whole: bool | None = None) -> DataFrame:
     """Replace a null ``v`` by the upper median of its group (0 when the whole group is null).
 
     ``long`` has by + name + v. The median is the entry at index n // 2 of the sorted values,
@@ -115,7 +118,7 @@ def fill_upper_median(long: DataFrame, by: Sequence[str]) -> DataFrame:
     """
     keys = [*by, "name"]
     counts = long.filter(F.col("v").isNotNull()).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
-    placed = count_before(counts, keys, "v")
+    placed = count_before(counts, keys, "v", whole=whole)
     middle = F.floor(F.col("total") / 2)
     medians = placed.filter((F.col("before") <= middle) & (middle < F.col("before") + F.col("n"))).select(
         *keys, F.col("v").alias("__median")
@@ -127,19 +130,22 @@ def fill_upper_median(long: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def oriented_ranks(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+def oriented_ranks(rows: DataFrame, by: Sequence[str], whole: bool | None = None) -> DataFrame:
     """(by, symbol, name, x): every feature's cross-sectional rank in [0, 1], oriented by sign."""
     by = list(by)
+    whole = fits(rows, by) if whole is None else whole
     pairs = F.array(
         *[F.struct(F.lit(n).alias("name"), feature_value(n).alias("v")) for n in P.FEATURE_DIRECTIONS]
     )
     long = rows.select(*by, "symbol", F.explode(pairs).alias("p")).select(*by, "symbol", "p.name", "p.v")
-    filled = fill_upper_median(long, by)
     keys = [*by, "name"]
-    counts = filled.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
-    placed = count_before(counts, keys, "v")
-    pct = to_percentile(F.col("before") + (F.col("n") - 1) / 2.0, F.col("total"), 1.0)
-    ranked = filled.join(placed.select(*keys, "v", pct.alias("pct")), [*keys, "v"])
+    filled = fill_upper_median(long, by, whole).withColumn("v", F.col("v") + F.lit(0.0))
+    if whole:
+        n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+        ranked = filled.select(*keys, "symbol", to_percentile(average_rank("v", keys), n, 1.0).alias("pct"))
+    else:
+        ranks = rank_columns(materialize(filled, "filled"), keys, ["symbol"], ["v"], whole=False)
+        ranked = ranks.select(*keys, "symbol", to_percentile(F.col("v_rank"), F.col("group_n"), 1.0).alias("pct"))
     up = F.col("name").isin([n for n, d in P.FEATURE_DIRECTIONS.items() if d > 0])
     return ranked.select(*by, "symbol", "name", F.when(up, F.col("pct")).otherwise(1.0 - F.col("pct")).alias("x"))
 
@@ -150,14 +156,15 @@ def learned_score(rows: DataFrame, weights: DataFrame, by: Sequence[str] = ("anc
     ``weights`` has one row per feature (name, weight, mean, scale): 26 rows, broadcast.
     """
     by = list(by)
+    whole = fits(rows, by)
     scale = F.when(F.col("scale") == 0, F.lit(1.0)).otherwise(F.col("scale"))
     z = (F.col("x") - F.col("mean")) / scale
     raw = (
-        oriented_ranks(rows, by)
+        oriented_ranks(rows, by, whole)
         .join(F.broadcast(weights.select("name", "weight", "mean", "scale")), "name")
         .groupBy(*by, "symbol")
         .agg(F.round(F.sum(F.col("weight") * z), 12).alias("raw"))
     )
-    ranked = rank_columns(raw, by, ["symbol"], ["raw"])
+    ranked = rank_columns(raw, by, ["symbol"], ["raw"], whole=whole)
     pct = clamp(to_percentile(F.col("raw_rank"), F.col("group_n"), 1.0) * 100.0, 0.0, 100.0)
     return ranked.select(*by, "symbol", pct.alias("__s")).withColumn("score", round1(F.col("__s"))).drop("__s")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.calendar import Calendar
 from tidemark.operators.series import latest
-from tidemark.operators.strategy import book_state, exit_levels, first_exit
+from tidemark.operators.strategy import book_state, exit_levels, first_exit, sent
 from tidemark.plans.panel import numbered
 from tidemark.plans.presets import DEFAULTS
 from tidemark.sources.tables import remove_keys, upsert
@@ -201,16 +201,42 @@ def edit_strategies(
     return kept, remove_keys(signals, gone, ["watch_id"])
 
 
-def next_candidates(panel: DataFrame, held: DataFrame, strategies: DataFrame, calendar: Calendar) -> DataFrame:
-    """Best rows of the last anchor that a strategy does not hold."""
+def _last_rows(panel: DataFrame, calendar: Calendar) -> DataFrame:
     last = calendar.frame(panel.sparkSession).agg(F.max("anchor")).select("max(anchor)").scalar()
-    pool = panel.filter(F.col("anchor") == last).select("frequency", "symbol", "score")
-    rows = pool.join(strategies.select("strategy_id", "frequency", "top_n", "invert_score"), "frequency")
-    free = rows.join(held.select("strategy_id", "symbol"), ["strategy_id", "symbol"], "left_anti")
+    return panel.filter(F.col("anchor") == last).select("frequency", "symbol", "score")
+
+
+def next_candidates(panel: DataFrame, held: DataFrame, strategies: DataFrame, calendar: Calendar) -> DataFrame:
+    """Best rows of the last anchor that a strategy does not hold.
+
+    A strategy needs no more of the ranked rows than it has slots and positions, so only the head of each of the two
+    rankings (best and worst first) meets the strategies.
+    """
+    owned = held.select("strategy_id", "symbol").distinct()
+    rules = strategies.select("strategy_id", "invert_score", F.greatest("top_n", F.lit(1)).alias("slots"))
+    counts = owned.groupBy("strategy_id").agg(F.count(F.lit(1)).alias("owned"))
+    rules = rules.join(counts, "strategy_id", "left").withColumn("need", F.col("slots") + F.coalesce("owned", F.lit(0)))
+    n, most = rules.agg(F.count(F.lit(1)), F.max("need")).first()
+    pool = _last_rows(panel, calendar).select("symbol", "score")
+    heads = [
+        pool.orderBy(order, "symbol").limit(int(most or 0)).withColumn("invert_score", F.lit(turned))
+        for turned, order in ((False, F.desc("score")), (True, F.asc("score")))
+    ]
+    head = heads[0].unionByName(heads[1])
     sign = F.when(F.col("invert_score"), -1.0).otherwise(1.0)
-    place = F.row_number().over(Window.partitionBy("strategy_id").orderBy((F.col("score") * sign).desc(), "symbol"))
-    largest = int(strategies.agg(F.max("top_n")).first()[0] or 1)
-    return free.withColumn("place", place).filter(F.col("place") <= largest).filter(F.col("place") <= F.greatest("top_n", F.lit(1)))
+    best = (F.col("score") * sign).desc()
+    head = head.withColumn("at", F.row_number().over(Window.partitionBy("invert_score").orderBy(best, "symbol")))
+    rows = head.join(sent(rules, n), "invert_score").filter(F.col("at") <= F.col("need"))
+    free = rows.join(owned, ["strategy_id", "symbol"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("strategy_id").orderBy("at"))
+    return free.withColumn("place", place).filter(F.col("place") <= F.col("slots"))
+
+
+def held_difference(panel: DataFrame, held: DataFrame, strategies: DataFrame, calendar: Calendar) -> DataFrame:
+    """(strategy, symbol) of the last anchor's rows that a strategy does not hold: the whole set, as large as it is."""
+    rules = strategies.select("strategy_id", "frequency")
+    rows = _last_rows(panel, calendar).join(sent(rules, rules.count()), "frequency")
+    return rows.join(held.select("strategy_id", "symbol"), ["strategy_id", "symbol"], "left_anti").select("strategy_id", "symbol")
 
 
 def signal_history(signals: DataFrame, n: int) -> DataFrame:

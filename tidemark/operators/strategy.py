@@ -1,13 +1,14 @@
 """Set-wise strategy operators: every row of a strategies table is evaluated in the same job.
 
-All tables are keyed by ``strategy_id``. The strategies meet the panel in an equality join on the
-frequency with the candidate conditions inside the join; their number is bounded by the size of
-the sweep. Everything after that is grouped by (strategy, anchor) or (strategy, symbol).
+All tables are keyed by ``strategy_id``. The panel is cut once by the loosest floors of all strategies; a row then meets
+the strategies whose score floor it reaches, by an equality join on the steps of the score (`reaching`), never all of
+them. The strategies are the build side where their number is checked to be small. Everything after that is grouped by
+(strategy, anchor) or (strategy, symbol).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tidemark import params as P
@@ -39,23 +40,82 @@ def liquid() -> Column:
     )
 
 
-def candidates(panel: DataFrame, strategies: DataFrame) -> DataFrame:
-    """Panel rows each strategy may buy: score floor (mirrored when inverted), cap, volume, trend."""
-    floor = F.when(F.col("invert_score"), F.col("score") <= 100.0 - F.col("min_score")).otherwise(
-        F.col("score") >= F.col("min_score")
-    )
+#: Strategies up to this number are sent to all executors; a row of them is a few hundred bytes, its steps below 10 KB.
+SENT = 10_000
+
+
+def sent(strategies: DataFrame, count: int):
+    """The build side of a join with the strategies: broadcast while they are few."""
+    return F.broadcast(strategies) if count <= SENT else strategies
+
+
+def limits(strategies: DataFrame) -> Row:
+    """One row on the (small) strategies table: its size, its loosest floors and its most slots."""
+    score = F.when(F.col("invert_score"), 0.0).otherwise(F.col("min_score"))
+    top = F.when(F.col("invert_score"), 100.0 - F.col("min_score")).otherwise(None)
+    cap = F.coalesce("max_market_cap", F.lit(float("inf")))
+    return strategies.agg(
+        F.count(F.lit(1)).alias("n"), F.min(score).alias("score"), F.min("min_market_cap").alias("cap"), F.max(cap).alias("max_cap"),
+        F.min("min_volume").alias("volume"), F.max("top_n").alias("top_n"), F.max("short_n").alias("short_n"),
+        F.max("invert_score").alias("inverted"), F.max(top).alias("inverted_score"),
+    ).first()
+
+
+def within(rows: DataFrame, at: Row) -> DataFrame:
+    """The panel rows that some strategy could trade by size and volume: literals, which reach the scan."""
+    cap, volume = F.coalesce("cap", _zero()), F.coalesce("volume", _zero())
+    kept = rows.filter((cap >= (at.cap or 0.0)) & (volume >= (at.volume or 0.0)))
+    return kept if at.max_cap is None or at.max_cap == float("inf") else kept.filter(cap <= at.max_cap)
+
+
+def _step(level: Column) -> Column:
+    """Whole number of a score, 0 to 100; rows and floors beyond the ends count as the ends."""
+    return F.greatest(F.lit(0), F.least(F.lit(100), F.floor(level))).cast("int")
+
+
+def reaching(rows: DataFrame, strategies: DataFrame, level: Column, floor: Column, count: int) -> DataFrame:
+    """Rows of one frequency beside the strategies whose `floor` (of the strategy) is at or below `level` (of the row), to
+    the whole number: those at the floor's own step are left to an exact filter of the caller.
+
+    A dominance join as an equality join: a strategy stands at every whole step from its floor up, a row at one.
+    """
+    stands = strategies.withColumn("__step", F.explode(F.sequence(_step(F.coalesce(floor, F.lit(0.0))), F.lit(100))))
+    return rows.withColumn("__step", _step(level)).join(sent(stands, count), ["frequency", "__step"]).drop("__step")
+
+
+PANEL_ROW = ["frequency", "anchor", "symbol", "score", "distance", "price", "cap", "volume", "trend_30d"]
+
+
+def _candidates(panel: DataFrame, strategies: DataFrame, at: Row) -> DataFrame:
+    """(panel row, columns of the strategy) of all candidates, from the narrow `strategies`."""
+    rows = within(panel.select(*PANEL_ROW), at)
     trend = F.col("min_trend_30d").isNull() | F.coalesce(F.col("trend_30d") >= F.col("min_trend_30d"), F.lit(False))
-    rows = panel.select("frequency", "anchor", "symbol", "score", "distance", "price", "cap", "volume", "trend_30d")
-    return rows.join(strategies, "frequency").filter(floor & liquid() & trend)
+    plain, turned = strategies.filter("not invert_score"), strategies.filter("invert_score")
+    found = reaching(rows.filter(F.col("score") >= (at.score or 0.0)), plain, F.col("score"), F.col("min_score"), at.n).filter(F.col("score") >= F.col("min_score"))
+    if at.inverted:
+        low = rows.filter(F.col("score") <= at.inverted_score)
+        cheap = reaching(low, turned, 100.0 - F.col("score"), F.floor("min_score").cast("double"), at.n)
+        found = found.unionByName(cheap.filter(F.col("score") <= 100.0 - F.col("min_score")))
+    return found.filter(liquid() & trend)
+
 
+RULE = ["strategy_id", "frequency", "invert_score", "min_score", "min_market_cap", "max_market_cap", "min_volume", "min_trend_30d"]
 
-def _largest(strategies: DataFrame, column: str) -> int:
-    """Largest slot count in the (small) strategies table; lets the ranking be cut before its shuffle."""
-    return int(strategies.agg(F.max(column)).first()[0] or 0)
+
+def with_rules(rows: DataFrame, strategies: DataFrame, count: int) -> DataFrame:
+    """All columns of its strategy beside each row."""
+    return rows.join(sent(strategies.drop("frequency"), count), "strategy_id")
+
+
+def candidates(panel: DataFrame, strategies: DataFrame) -> DataFrame:
+    """Panel rows each strategy may buy: score floor (mirrored when inverted), cap, volume, trend."""
+    at = limits(strategies)
+    return with_rules(_candidates(panel, strategies.select(*RULE), at).select(*PANEL_ROW, "strategy_id"), strategies, at.n)
 
 
 def top_n_per_anchor(rows: DataFrame, slots: str, largest: int) -> DataFrame:
-    """Best ``slots`` rows per strategy and anchor: score, then distance, then symbol."""
+    """Best ``slots`` rows per strategy and anchor: score, then distance, then symbol. No strategy has more than
+    ``largest`` slots, so the ranking is cut before its shuffle."""
     order = _sa().orderBy((F.col("score") * _sign()).desc(), F.col("distance").asc_nulls_last(), "symbol")
     placed = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= largest)
     return placed.filter(F.col("place") <= F.col(slots))
@@ -63,10 +123,12 @@ def top_n_per_anchor(rows: DataFrame, slots: str, largest: int) -> DataFrame:
 
 def picks_rebalance(panel: DataFrame, strategies: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
     """Top-N candidates per anchor, without blocked (strategy, anchor, symbol) rows."""
-    rows = candidates(panel, strategies)
+    at = limits(strategies)
+    rows = _candidates(panel, strategies.select(*RULE, "top_n"), at)
     if blocked is not None:
         rows = rows.join(blocked.select("strategy_id", "anchor", "symbol"), ["strategy_id", "anchor", "symbol"], "left_anti")
-    return top_n_per_anchor(rows, "top_n", _largest(strategies, "top_n"))
+    chosen = top_n_per_anchor(rows, "top_n", int(at.top_n or 0))
+    return with_rules(chosen.select(*PANEL_ROW, "strategy_id", "place"), strategies, at.n)
 
 
 #: Parameters that only `hysteresis_members`, `first_exit`, `time_stop`, `profit_sweep` and `equity_overlays` read.
@@ -93,8 +155,7 @@ def picks(panel: DataFrame, strategies: DataFrame, calendar: Calendar) -> DataFr
     chosen = picks_rebalance(panel, strategies.filter("rotation != 'hold'"))
     holding = strategies.filter("rotation = 'hold'")
     members = hysteresis_members(panel, holding, calendar).select("strategy_id", "anchor", "symbol")
-    rows = panel.select("frequency", "anchor", "symbol", "score", "distance", "price", "cap", "volume", "trend_30d").join(members, ["anchor", "symbol"])
-    held = rows.join(holding, ["strategy_id", "frequency"])
+    held = with_rules(panel.select(*PANEL_ROW).join(members, ["anchor", "symbol"]), holding, limits(holding).n)
     return chosen.unionByName(held.withColumn("place", F.lit(None).cast("int")).select(*chosen.columns))
 
 
@@ -118,7 +179,8 @@ def fill_with_numeraire(weighted: DataFrame) -> DataFrame:
 
 def risk_flags(strategies: DataFrame, regime: DataFrame) -> DataFrame:
     """(strategy, anchor, risk_on): one row per strategy and anchor of its frequency."""
-    rows = regime.select("frequency", "anchor", "alt_above_sma", "breadth").join(strategies, "frequency")
+    rules = strategies.select("strategy_id", "frequency", "regime_filter", "regime_min_breadth")
+    rows = rules.join(F.broadcast(regime.select("frequency", "anchor", "alt_above_sma", "breadth")), "frequency")
     by_trend = F.coalesce("alt_above_sma", F.lit(True))
     by_breadth = F.col("breadth").isNull() | (F.col("breadth") >= F.col("regime_min_breadth"))
     mode = F.col("regime_filter")
@@ -137,14 +199,17 @@ def regime_gate(weighted: DataFrame, flags: DataFrame) -> DataFrame:
 def short_sleeve(panel: DataFrame, strategies: DataFrame, longs: DataFrame) -> DataFrame:
     """The N lowest scores (highest when inverted) outside the long book, equal negative weights."""
     shorting = strategies.filter("short_n > 0")
-    rows = panel.select("frequency", "anchor", "symbol", "score", "distance", "price", "cap", "volume").join(shorting, "frequency")
+    at = limits(shorting)
+    rules = shorting.select("strategy_id", "frequency", "invert_score", "min_market_cap", "max_market_cap", "min_volume", "short_n", "short_max_score")
+    # A ceiling on the score is a floor on what is missing to 100, at the whole number below.
+    rows = reaching(within(panel.select(*PANEL_ROW), at), rules, 100.0 - F.col("score"), F.floor(100.0 - F.col("short_max_score")).cast("double"), at.n)
     allowed = F.col("short_max_score").isNull() | (F.col("score") <= F.col("short_max_score"))
     keys = ["strategy_id", "anchor", "symbol"]
     free = rows.filter(liquid() & allowed).join(longs.select(*keys), keys, "left_anti")
     order = _sa().orderBy((F.col("score") * _sign()).asc(), "symbol")
-    placed = free.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= _largest(strategies, "short_n"))
-    weight = -clamp(F.col("short_exposure"), 0.0, 1.0) / F.col("short_n")
-    return placed.filter(F.col("place") <= F.col("short_n")).withColumn("weight", weight)
+    placed = free.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= int(at.short_n or 0))
+    taken = with_rules(placed.filter(F.col("place") <= F.col("short_n")).select(*PANEL_ROW, "strategy_id", "place"), shorting, at.n)
+    return taken.withColumn("weight", -clamp(F.col("short_exposure"), 0.0, 1.0) / F.col("short_n"))
 
 
 def anchor_ic(panel: DataFrame, calendar: Calendar, min_pairs: int = 8) -> DataFrame:
@@ -251,7 +316,7 @@ def periods(positions: DataFrame, panel: DataFrame, strategies: DataFrame, calen
     frame = calendar.frame(panel.sparkSession).filter("next_anchor is not null")
     config = strategies.select("strategy_id", "frequency", "fee_pct", "short_funding_apr")
     rows = (
-        frame.join(config, "frequency")
+        config.join(F.broadcast(frame), "frequency")
         .join(earned, ["strategy_id", "idx"], "left")
         .join(sides, ["strategy_id", "idx"], "left")
         .join(turnover(positions), ["strategy_id", "idx"], "left")
@@ -500,21 +565,21 @@ def hysteresis_members(panel: DataFrame, strategies: DataFrame, calendar: Calend
 
     A symbol enters as a candidate, stays while its score is at least the sell score (default: the
     buy floor), and leaves below it or when its panel row is missing.
+
+    A row that neither enters nor stays ends a membership just as a missing one does, so only rows that reach the sell score
+    and candidates are ever joined with a strategy.
     """
-    sell = F.coalesce("sell_score", "min_score")
+    at = limits(strategies)
+    rules = strategies.select(*RULE, F.coalesce("sell_score", "min_score").alias("sell"))
+    row = ["strategy_id", "frequency", "anchor", "symbol", "score", "price"]
+    staying = reaching(panel.select(*PANEL_ROW), rules, F.col("score"), F.col("sell"), at.n).filter(F.col("score") >= F.col("sell"))
+    entering = _candidates(panel, rules.drop("sell"), at)
+    marked = staying.select(*row, F.lit(0).alias("enter")).unionByName(entering.select(*row, F.lit(1).alias("enter")))
+    rows = numbered(marked.groupBy(*row).agg(F.max("enter").alias("enter")), calendar)
     keys = ["strategy_id", "symbol"]
-    entering = candidates(panel, strategies).select("strategy_id", "anchor", "symbol").withColumn("enter", F.lit(True))
-    rows = (
-        numbered(panel.select("frequency", "anchor", "symbol", "score", "price"), calendar)
-        .join(strategies.select("strategy_id", "frequency", "sell_score", "min_score"), "frequency")
-        .join(entering, ["strategy_id", "anchor", "symbol"], "left")
-    )
-    w = Window.partitionBy(*keys).orderBy("idx")
-    signal = F.when(F.col("enter"), 1).when(F.col("score") < sell, 0)
-    segmented = rows.withColumn("segment", F.col("idx") - F.row_number().over(w)).withColumn("signal", signal)
+    segmented = rows.withColumn("segment", F.col("idx") - F.row_number().over(Window.partitionBy(*keys).orderBy("idx")))
     inside = Window.partitionBy(*keys, "segment").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    state = F.last("signal", ignorenulls=True).over(inside)
-    return segmented.withColumn("state", state).filter(F.col("state") == 1).select(
+    return segmented.withColumn("entered", F.max("enter").over(inside)).filter("entered = 1").select(
         "strategy_id", "symbol", "idx", "anchor", "score", "price"
     )
 
@@ -605,7 +670,7 @@ def period_flags(positions: DataFrame, strategies: DataFrame, regime: DataFrame,
     frame = calendar.frame(panel.sparkSession).filter("next_anchor is not null").select("frequency", "idx", "anchor")
     notional = positions.groupBy("strategy_id", "idx").agg(F.sum(F.abs("weight")).alias("gross_notional"))
     rows = (
-        frame.join(strategies, "frequency")
+        strategies.join(F.broadcast(frame), "frequency")
         .join(notional, ["strategy_id", "idx"], "left")
         .join(risk_flags(strategies, regime), ["strategy_id", "anchor"], "left")
         .join(ic_flags(panel, calendar, strategies), ["strategy_id", "anchor"], "left")
