@@ -27,7 +27,7 @@ LONGEST = 4  # words of a phrase
 OVERLAP = LONGEST - 1
 CHUNK = 256  # tokens after which a chunk ends without a trigger
 BITS = 1 << 26  # of a filter of frequent phrases: 8 MB, whatever the corpus
-HASHES = 1 << 40  # hashes of pairs that are told apart before the filter
+HASHES = 1 << 40  # hashes of phrases that are told apart before the filter
 BLOCK = 6 << 20  # bytes of chunks counted together
 END = b"\n"  # token between pieces; no word holds it
 #: Letters to lower-case, blanks, piece ends.
@@ -244,18 +244,18 @@ def word_filter(words: DataFrame) -> np.ndarray:
     return _filter(words.select("lang", "phrase").mapInArrow(run, "h long"))
 
 
-def pair_filter(chunks: DataFrame, frequent: dict[int, np.ndarray], least: int) -> np.ndarray:
-    """Filter of the pairs of words whose hashes occur `least` times: numbers are counted here, not phrases, as most pairs
-    are rare and their text would be most of what is shuffled."""
-    return _filter(_count(chunks, (2,), frequent, "h long, f long", True).groupBy("h").agg(F.sum("f").alias("f")).filter(F.col("f") >= least))
+def hash_filter(chunks: DataFrame, sizes: Sequence[int], frequent: dict[int, np.ndarray], least: int) -> np.ndarray:
+    """Filter of the phrases of these sizes whose hashes occur `least` times: numbers are counted here, not phrases, as
+    most phrases are rare and their text would be most of what is shuffled."""
+    return _filter(_count(chunks, sizes, frequent, "h long, f long", True).groupBy("h").agg(F.sum("f").alias("f")).filter(F.col("f") >= least))
 
 
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", s: Settings = Settings()) -> DataFrame:
     """(lang, phrase, words, f): all phrases of 1 to 4 words with s.least occurrences or more, and all words as phrase ''.
 
-    Three passes over the chunk dictionary: words, hashes of pairs of frequent words, then the phrases whose words and
-    pairs pass. No phrase is more frequent than its parts and no hash is rarer than a phrase that has it, so what
-    is left out cannot be frequent, and every count is exact.
+    Four passes over the chunk dictionary: words, hashes of pairs of frequent words, hashes of longer phrases of frequent
+    pairs, then the text of the phrases that pass. No phrase is more frequent than its parts and no hash is rarer than a
+    phrase that has it, so what is left out cannot be frequent, and every count is exact.
     """
     chunks = chunk_dictionary(docs, text, lang, s.every)
 
@@ -265,7 +265,9 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", s:
 
     words = counted((0, 1), {})
     frequent = {1: word_filter(words.filter("words = 1"))}
-    frequent[2] = pair_filter(chunks, frequent, s.least)
+    frequent[2] = hash_filter(chunks, (2,), frequent, s.least)
+    longer = hash_filter(chunks, range(3, LONGEST + 1), frequent, s.least)
+    frequent |= dict.fromkeys(range(3, LONGEST + 1), longer)
     return words.unionByName(counted(range(2, LONGEST + 1), frequent))
 
 
