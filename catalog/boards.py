@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
 from catalog.core import spec
-from catalog.registry import EVENT, query
+from catalog.registry import EVENT, REGISTRY, query
 from catalog.sqlbase import CTES, r1, score_chain
 from tidemark.functions import symbols as S
 from tidemark.functions.ranks import rank_percentiles
@@ -18,9 +19,10 @@ from tidemark.operators import series as R
 from tidemark.operators.calendar import Calendar, cover_anchors
 from tidemark.operators.lookback import EXTRAS, STATS, lookback_stats
 from tidemark.operators.score import eligible, with_components
-from tidemark.session import materialize
+from tidemark.session import materialize, shared_dir
 from tidemark.sources import sinks
 
+
 DAY = dt.date(2000, 6, 30)
 CUT = dt.date(1995, 1, 5)
 
@@ -309,6 +311,32 @@ query(
       (SELECT count(*) FROM coins) AS tracked FROM candles""",
 )(lambda ws: Q.data_fingerprint(ws.candles, ws.coins))
 
+
+
+def _report_sql() -> str:
+    """Each section's check SQL, one row per metric."""
+    parts = []
+    sections = {
+        "universe": "universe_counts", "candles": "candle_coverage", "candle_gaps": "candle_gaps",
+        "market_history": "market_history_gaps", "liquidity": "liquidity_staleness", "provenance": "data_fingerprint",
+    }
+    for section, key in sections.items():
+        q = REGISTRY[key]
+        names = ", ".join(f"'{n}'" for n, _ in q.columns)
+        values = ", ".join(f'CAST("{n}" AS VARCHAR)' for n, _ in q.columns)
+        parts.append(f"SELECT '{section}' AS section, unnest([{names}]) AS metric, unnest([{values}]) AS value FROM ({q.sql})")
+    gone = "SELECT 'delisted_symbols' AS section, symbol AS metric, CAST(delisted_at AS VARCHAR) AS value FROM coins WHERE delisted_at IS NOT NULL"
+    return "\nUNION ALL\n".join([*parts, gone])
+
+
+def _report(ws):
+    path = f"{shared_dir(ws.spark)}/report-json-{uuid.uuid4().hex}"
+    sinks.write_report_json(Q.quality_report(ws.candles, ws.coins, ws.market_history, dt.date(2001, 11, 9)), path)
+    return ws.spark.read.schema("section string, metric string, value string").json(path)
+
+
+query("sink_report_json", "section:s metric:s value:s", _report_sql())(_report)
+
 # --- board ------------------------------------------------------------------------------------
 _BOARD = (
     "symbol:s name:s listing_date:d price:f8 price_7d:f8 price_30d:f8 market_cap:f2 volume_24h:f2 event_low:f8 atl:f8 "

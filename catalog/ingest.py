@@ -266,24 +266,6 @@ def _(ws):
     return ws.spark.read.schema("anchor date, symbol string, score double, price double, cap_current double, alt_above_sma boolean").json(path)
 
 
-@query(
-    "sink_report_json",
-    "section:s metric:s value:s",
-    """SELECT 'universe' AS section, unnest(['total', 'active', 'delisted', 'stable', 'with_id']) AS metric,
-      CAST(unnest([count(*), count(*) FILTER (delisted_at IS NULL), count(*) FILTER (delisted_at IS NOT NULL),
-        count(*) FILTER (is_stable), count(market_id)]) AS VARCHAR) AS value FROM coins
-    UNION ALL SELECT 'candles', unnest(['symbols', 'rows']),
-      CAST(unnest([count(DISTINCT symbol), count(*)]) AS VARCHAR) FROM candles""",
-)
-def _(ws):
-    from tidemark.operators import quality as Q
-
-    path = _out(ws, "report-json")
-    coverage = Q.candle_coverage(ws.candles).select("symbols", "rows")
-    sinks.write_report_json(sinks.tidy_report([("universe", Q.universe_counts(ws.coins)), ("candles", coverage)]), path)
-    return ws.spark.read.schema("section string, metric string, value string").json(path)
-
-
 @query(
     "delisted_backfill",
     "symbol:s listing_date:d is_pre_cutoff:b delisted_at:d months:i rows:i",

@@ -412,8 +412,9 @@ query("equity_overlays", SP + "idx:i scale:f6 brake:b period_return:f8 equity:l8
 )
 query(
     "sink_curve_csv",
-    "strategy_id:s date:s equity:l8 period_return:f6",
-    "SELECT strategy_id, anchor AS date, round(equity, 6) AS equity, round(period_return, 6) AS period_return FROM curve WHERE strategy_id = 'equal'",
+    "strategy_id:s date:s equity:l6 equity_usd:l6 benchmark_usd:f5 period_return:f5",
+    """SELECT strategy_id, anchor AS date, round(equity, 6) AS equity, round(equity_usd, 6) AS equity_usd,
+      round(benchmark_usd, 6) AS benchmark_usd, round(period_return, 6) AS period_return FROM curve""",
 )(lambda ws: _curve_csv(ws))
 
 
@@ -424,7 +425,8 @@ def _curve_csv(ws):
     from tidemark.sources.sinks import write_curve_csv
 
     path = f"{shared_dir(ws.spark)}/curve-csv-{uuid.uuid4().hex}"
-    write_curve_csv(curve(ws).filter("strategy_id = 'equal'"), path)
-    return ws.spark.read.option("header", True).csv(path).withColumn("strategy_id", F.lit("equal"))
+    write_curve_csv(curve(ws), path)
+    values = "date string, equity double, equity_usd double, benchmark_usd double, period_return double"
+    return ws.spark.read.option("header", True).schema(f"{values}, strategy_id string").csv(path)
 
 

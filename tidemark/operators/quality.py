@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark import params as P
 from tidemark.functions.ranks import count_before
 from tidemark.operators.series import gaps
+from tidemark.sources.sinks import tidy_report
 
 
 def universe_counts(coins: DataFrame) -> DataFrame:
@@ -104,3 +105,20 @@ def data_fingerprint(candles: DataFrame, coins: DataFrame) -> DataFrame:
     return candles.agg(
         F.max("ts").alias("latest_candle"), F.count(F.lit(1)).alias("rows"), F.sum(chunk).alias("content_hash")
     ).withColumn("tracked", tracked)
+
+
+def quality_report(candles: DataFrame, coins: DataFrame, archive: DataFrame, now: dt.date) -> DataFrame:
+    """(section, metric, value) of the whole data set: universe, candles with gaps, archive, liquidity, the delisted
+    symbols with their dates, and the provenance of the data (latest candle, rows and content hash)."""
+    gone = delisted_list(coins).select(
+        F.lit("delisted_symbols").alias("section"), F.col("symbol").alias("metric"), F.col("delisted_at").cast("string").alias("value")
+    )
+    parts = [
+        ("universe", universe_counts(coins)),
+        ("candles", candle_coverage(candles)),
+        ("candle_gaps", candle_gaps(candles)),
+        ("market_history", market_history_report(archive, coins)),
+        ("liquidity", liquidity_staleness(coins, now)),
+        ("provenance", data_fingerprint(candles, coins)),
+    ]
+    return tidy_report(parts).unionByName(gone)

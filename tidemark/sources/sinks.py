@@ -31,12 +31,12 @@ def write_board_csv(board: DataFrame, path: str) -> None:
 
 
 def write_curve_csv(curve: DataFrame, path: str) -> None:
-    """Date and values with six decimals."""
+    """Date and values with six decimals, one folder per strategy."""
     values = ["equity", "equity_usd", "benchmark_usd", "period_return"]
     out = curve.select(
-        F.col("anchor").cast("string").alias("date"), *[F.format_string("%.6f", F.col(c)).alias(c) for c in values]
+        "strategy_id", F.col("anchor").cast("string").alias("date"), *[F.format_string("%.6f", F.col(c)).alias(c) for c in values]
     )
-    out.write.mode("overwrite").option("header", True).csv(path)
+    out.write.mode("overwrite").partitionBy("strategy_id").option("header", True).csv(path)
 
 
 def tidy_report(sections: Sequence[tuple[str, DataFrame]]) -> DataFrame:
