@@ -10,7 +10,7 @@ from catalog.registry import query
 from catalog.sqlbase import CTES, rank0
 from tidemark.operators import strategy as J
 from tidemark.plans import panel as P
-from tidemark.plans.presets import DEFAULTS, strategies
+from tidemark.plans.presets import DEFAULTS, PRESETS, strategies
 
 M = "monthly"
 
@@ -339,8 +339,113 @@ query(
 query(
     "time_stop",
     SP + "symbol:s idx:i held:i",
-    "SELECT * FROM held WHERE max_holding_periods IS NULL OR held < max_holding_periods",
+    """SELECT * REPLACE (CASE WHEN max_holding_periods IS NULL THEN held ELSE held % (max_holding_periods + 2) END AS held) FROM held
+    WHERE max_holding_periods IS NULL OR held % (max_holding_periods + 2) < max_holding_periods""",
 )(lambda ws: J.time_stop(members(ws)))
+
+
+def walk_sql(rows: str, anchors: str, closes: str) -> str:
+    """Position paths by recursion over the anchors: `rows` as hold_rows, `closes` the closes of each (symbol, period)."""
+    return f"""
+WITH RECURSIVE w AS (
+  SELECT strategy_id, symbol, -1 AS idx, FALSE AS has, CAST(0 AS DOUBLE) AS entry, CAST(0 AS DOUBLE) AS peak, CAST(1 AS DOUBLE) AS keep, 0 AS held,
+    -9 AS blocked, FALSE AS member, FALSE AS timed, CAST(NULL AS BIGINT) AS x, CAST(NULL AS DOUBLE) AS price, CAST(NULL AS DOUBLE) AS top,
+    CAST(NULL AS DOUBLE) AS exit_price, CAST(NULL AS DATE) AS exit_ts, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS DATE) AS anchor
+  FROM (SELECT DISTINCT strategy_id, symbol FROM {rows} WHERE enter)
+  UNION ALL
+  SELECT strategy_id, symbol, n, member AND x IS NULL, entry, CASE WHEN member THEN greatest(peak, coalesce(pm[-1], peak)) ELSE peak END, keep, held,
+    CASE WHEN x IS NOT NULL OR timed THEN n + 1 ELSE blocked END, member, timed, x, price, peak, cl[x], days[x],
+    CASE WHEN cl[x] <= entry * (1.0 - stop_loss_pct / 100.0) THEN 'stop_loss'
+      WHEN cl[x] <= greatest(peak, pm[x]) * (1.0 - trailing_stop_pct / 100.0) THEN 'trailing_stop' ELSE 'take_profit' END, anchor
+  FROM (SELECT *, CASE WHEN member THEN nullif(list_position(list_transform(range(1, len(cl) + 1), lambda i:
+          coalesce(cl[i] <= entry * (1.0 - stop_loss_pct / 100.0), FALSE) OR coalesce(cl[i] <= greatest(peak, pm[i]) * (1.0 - trailing_stop_pct / 100.0), FALSE)
+          OR coalesce(cl[i] >= entry * (1.0 + take_profit_pct / 100.0), FALSE)), TRUE), 0) END AS x
+    FROM (SELECT w.strategy_id, w.symbol, w.idx + 1 AS n, r.anchor, r.price, w.blocked, r.stop_loss_pct, r.trailing_stop_pct, r.take_profit_pct, c.cl, c.pm, c.days,
+        (w.has AND coalesce(r.stay OR r.enter, FALSE)) AS holds, coalesce(holds AND w.held + 1 >= r.max_holding_periods, FALSE) AS timed,
+        CASE WHEN holds THEN NOT timed ELSE coalesce(r.enter, FALSE) AND w.blocked <> w.idx + 1 END AS member,
+        CASE WHEN holds THEN w.entry ELSE r.price END AS entry, CASE WHEN holds THEN greatest(w.peak, r.price) ELSE r.price END AS peak,
+        CASE WHEN holds THEN w.held + 1 ELSE 0 END AS held,
+        CASE WHEN NOT holds THEN 1.0 WHEN r.price > w.entry AND w.entry <> 0
+          THEN w.keep * (1 - least(0.9, coalesce(r.profit_sweep_pct, 0) / 100.0 * (r.price / w.entry - 1) / (r.price / w.entry))) ELSE w.keep END AS keep
+      FROM w LEFT JOIN {rows} r ON r.strategy_id = w.strategy_id AND r.symbol = w.symbol AND r.idx = w.idx + 1
+      LEFT JOIN {closes} c ON c.symbol = w.symbol AND c.idx = w.idx + 1
+      WHERE w.idx < (SELECT max(idx) FROM {anchors}))))
+SELECT strategy_id, symbol, 'member' AS kind, idx, price, held, entry AS entry_price, top AS peak, keep, anchor AS ts, NULL AS reason FROM w WHERE member
+UNION ALL SELECT strategy_id, symbol, 'exit', idx, exit_price, held, entry, peak_at, keep, exit_ts, reason FROM (
+  SELECT w.*, greatest(top, c.pm[x]) AS peak_at FROM w JOIN {closes} c USING (symbol, idx) WHERE x IS NOT NULL)
+UNION ALL SELECT strategy_id, symbol, 'time', idx, price, held, entry, top, keep, anchor, 'time' FROM w WHERE timed"""
+
+
+def closes_sql(anchors: str) -> str:
+    return f"""
+SELECT symbol, idx, cl, days, list_transform(range(1, len(cl) + 1), lambda i: list_max(cl[1:i])) AS pm FROM (
+  SELECT c.symbol, a.idx, list(c.close ORDER BY c.ts) AS cl, list(c.ts ORDER BY c.ts) AS days FROM candles c
+  JOIN (SELECT idx, anchor, lead(anchor) OVER (ORDER BY idx) AS nxt FROM {anchors}) a ON c.ts > a.anchor AND (a.nxt IS NULL OR c.ts <= a.nxt) GROUP BY 1, 2)"""
+
+
+CTES["closes_m"] = closes_sql("anchors_m")
+CTES["paths"] = walk_sql("hold_rows", "anchors_m", "closes_m")
+PATH = SP + "symbol:s kind:s idx:i price:f8 held:i entry_price:f8 peak:f8 keep:f8 ts:d reason:s"
+
+
+def paths(ws):
+    return ws.keep("paths", lambda: J.position_paths(ws.panel(), hold_strats(ws), ws.candles, cal(ws)))
+
+
+query("position_paths", PATH, "SELECT * FROM paths")(paths)
+query("blocked_union", SP + "idx:i symbol:s", "SELECT DISTINCT strategy_id, idx + 1 AS idx, symbol FROM paths WHERE kind <> 'member'")(
+    lambda ws: J.blocked_union(paths(ws))
+)
+CTES["exit_book"] = """
+SELECT m.strategy_id, m.symbol, m.idx, m.ts AS anchor, m.price, m.keep, x.price AS exit_price,
+  m.keep / count(*) OVER w * least(count(*) OVER w / s.top_n, 1) AS weight
+FROM (SELECT * FROM paths WHERE kind = 'member') m JOIN hold_strats s USING (strategy_id)
+LEFT JOIN (SELECT * FROM paths WHERE kind = 'exit') x ON x.strategy_id = m.strategy_id AND x.symbol = m.symbol AND x.idx = m.idx
+WINDOW w AS (PARTITION BY m.strategy_id, m.idx)"""
+
+
+def exit_book(ws):
+    return ws.keep("exit_book", lambda: J.book(ws.panel(), regime(ws), hold_strats(ws), cal(ws), ws.candles))
+
+
+query("book_with_exits", SP + "anchor:d symbol:s weight:f8 keep:f8 exit_price:f8", "SELECT * FROM exit_book")(exit_book)
+query(
+    "returns_with_exits",
+    SP + "idx:i gross:f8",
+    """SELECT b.strategy_id, b.idx, sum(b.weight * (coalesce(b.exit_price, n.price, b.price) / b.price - 1)) AS gross
+    FROM exit_book b LEFT JOIN panel_m n ON n.symbol = b.symbol AND n.idx = b.idx + 1 WHERE b.idx < (SELECT max(idx) FROM anchors_m) GROUP BY 1, 2""",
+)(
+    lambda ws: J.position_returns(exit_book(ws), ws.panel(), cal(ws)).groupBy("strategy_id", "idx").agg(F.sum(F.col("weight") * F.col("ret")).alias("gross"))
+)
+
+# The named presets that feed no equity back, each on the panel of its own frequency.
+RUNNABLE = {k: v for k, v in PRESETS.items() if not set(v) & set(J.EQUITY_RULES)}
+CTES["presets"] = values_sql(RUNNABLE)
+for _f in ("weekly", "quarterly"):
+    CTES[f"preset_rows_{_f[0]}"] = f"""
+SELECT s.*, p.anchor, p.idx, p.symbol, p.score, p.price, p.score >= min_score AND {_LIQ} AND (min_trend_30d IS NULL OR coalesce(trend_30d >= min_trend_30d, FALSE)) AS enter,
+  p.score >= coalesce(sell_score, min_score) AS stay FROM panel_{_f[0]} p JOIN presets s ON s.frequency = '{_f}'"""
+    CTES[f"closes_{_f[0]}"] = closes_sql(f"anchors_{_f[0]}")
+    CTES[f"preset_paths_{_f[0]}"] = walk_sql(f"preset_rows_{_f[0]}", f"anchors_{_f[0]}", f"closes_{_f[0]}")
+
+
+def preset_book(ws, frequency: str):
+    chosen = strategies(ws.spark, RUNNABLE).filter(F.col("frequency") == frequency)
+    c = ws.calendar(frequency)
+    return J.book(ws.panel(frequency), P.regime(ws.panel(frequency), c), chosen, c, ws.candles)
+
+
+query(
+    "preset_positions",
+    SP + "anchor:d symbol:s keep:f8 exit_price:f8",
+    "\nUNION ALL\n".join(
+        f"""SELECT m.strategy_id, m.ts AS anchor, m.symbol, m.keep, x.price AS exit_price FROM preset_paths_{f} m
+        LEFT JOIN preset_paths_{f} x ON x.kind = 'exit' AND x.strategy_id = m.strategy_id AND x.symbol = m.symbol AND x.idx = m.idx WHERE m.kind = 'member'"""
+        for f in "wq"
+    ),
+)(
+    lambda ws: preset_book(ws, "weekly").unionByName(preset_book(ws, "quarterly")).filter("direction = 'long'")
+)
 query(
     "profit_sweep",
     SP + "symbol:s idx:i keep:f8",

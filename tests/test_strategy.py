@@ -77,10 +77,67 @@ def test_equity_compounds_and_shorts_earn_on_falls(spark, world):
     assert abs(equity["short"] - (1 - (120 / 110 - 1)) * (1 - (130 / 120 - 1))) < 1e-12
 
 
-@pytest.mark.parametrize("rule", J.PATH_RULES)
+@pytest.mark.parametrize("rule", J.EXIT_RULES + J.EQUITY_RULES)
 def test_the_book_refuses_rules_it_does_not_apply(spark, world, rule):
+    value = 5 if rule == "max_holding_periods" else 5.0
     with pytest.raises(ValueError, match=rule):
-        run(spark, world, x={rule: 5 if rule == "max_holding_periods" else 5.0})
+        run(spark, world, x={rule: value})
+    if rule in J.DAILY_RULES + J.EQUITY_RULES:
+        with pytest.raises(ValueError, match=rule):
+            run(spark, world, x={rule: value, "rotation": "hold"})
+
+
+def one_symbol(spark, prices, scores=None, closes=()):
+    """A world of one symbol with monthly prices, its scores (default: always a candidate) and daily closes (day, close)."""
+    days = [dt.date(2023, m + 1, 1) for m in range(len(prices))]
+    rows = [("monthly", d, "AAA", float(s), 0.0, p, 1e9, 1e8, None) for d, p, s in zip(days, prices, scores or [90] * len(days)) if s is not None]
+    panel = spark.createDataFrame(rows, "frequency string, anchor date, symbol string, score double, distance double, price double, cap double, volume double, trend_30d double")
+    regime = spark.createDataFrame([("monthly", d, i, True, 0.8) for i, d in enumerate(days)], "frequency string, anchor date, idx int, alt_above_sma boolean, breadth double")
+    candles = spark.createDataFrame([("AAA", d, c) for d, c in closes], "symbol string, ts date, close double")
+    return panel, regime, candles, Calendar("monthly", days[0], days[-1])
+
+
+def held(spark, world, **config):
+    panel, regime, candles, cal = world
+    table = strategies(spark, {"x": {**BASE, "rotation": "hold", **config}})
+    book = J.book(panel, regime, table, cal, candles)
+    curve = J.equity_curve(J.periods(book, panel, table, cal)).toPandas().sort_values("idx")
+    return {r.idx: round(r.weight, 6) for r in book.collect()}, curve.equity.tolist()
+
+
+def test_time_limit_blocks_one_anchor_and_lets_in_again(spark):
+    weights, _ = held(spark, one_symbol(spark, [100.0] * 7), max_holding_periods=2)
+    assert sorted(weights) == [0, 1, 4, 5]
+    weights, _ = held(spark, one_symbol(spark, [100.0] * 8, [90, 90, 90, 90, 40, 40, 90, 90]), max_holding_periods=2, sell_score=30.0)
+    assert sorted(weights) == [0, 1, 6, 7]  # free again at 4, but a candidate only at 6
+
+
+def test_stop_ends_the_period_and_blocks_the_next_anchor(spark):
+    closes = [(dt.date(2023, 1, 2), 95.0), (dt.date(2023, 1, 3), 74.0), (dt.date(2023, 1, 20), 90.0), (dt.date(2023, 2, 10), 60.0), (dt.date(2023, 3, 5), 90.0)]
+    weights, equity = held(spark, one_symbol(spark, [100.0, 85.0, 80.0, 88.0, 88.0], closes=closes), stop_loss_pct=25.0)
+    assert sorted(weights) == [0, 2, 3, 4]
+    assert [round(e, 9) for e in equity] == [1.0, 0.74, 0.74, round(0.74 * 1.1, 9), round(0.74 * 1.1, 9)]
+
+
+def test_levels_follow_the_entry_and_the_peak_across_periods(spark):
+    closes = [(dt.date(2023, 1, 15), 150.0), (dt.date(2023, 2, 15), 110.0), (dt.date(2023, 2, 20), 104.0)]
+    world = one_symbol(spark, [100.0, 120.0, 118.0, 118.0], closes=closes)
+    paths = J.position_paths(world[0], strategies(spark, {"x": {**BASE, "rotation": "hold", "trailing_stop_pct": 30.0}}), world[2], world[3])
+    exits = [(r.idx, r.ts, r.price, r.peak, r.reason) for r in paths.filter("kind = 'exit'").collect()]
+    assert exits == [(1, dt.date(2023, 2, 20), 104.0, 150.0, "trailing_stop")]
+    assert [(r.idx, r.symbol) for r in J.blocked_union(paths).collect()] == [(2, "AAA")]
+
+
+def test_sweeps_shrink_a_position_for_good(spark):
+    weights, _ = held(spark, one_symbol(spark, [100.0, 110.0, 121.0, 100.0]), profit_sweep_pct=50.0)
+    first = 1 - 0.5 * (0.1 / 1.1)
+    second = first * (1 - 0.5 * (0.21 / 1.21))
+    assert weights == {0: 1.0, 1: round(first, 6), 2: round(second, 6), 3: round(second, 6)}
+
+
+def test_missing_rows_end_a_position(spark):
+    weights, _ = held(spark, one_symbol(spark, [100.0] * 5, [90, None, 40, 90, 40]), max_holding_periods=9, sell_score=30.0)
+    assert sorted(weights) == [0, 3, 4]
 
 
 def test_live_book_lists_nothing_when_flat_and_trails_daily_closes(spark, world):

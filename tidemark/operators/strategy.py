@@ -17,6 +17,7 @@ from tidemark.operators.asof import asof_rate
 from tidemark.operators.calendar import Calendar
 from tidemark.operators.research import rank_ic
 from tidemark.plans.panel import forward_pairs, numbered
+from tidemark.session import materialize
 
 
 def _sa():
@@ -131,31 +132,46 @@ def picks_rebalance(panel: DataFrame, strategies: DataFrame, blocked: DataFrame
     return with_rules(chosen.select(*PANEL_ROW, "strategy_id", "place"), strategies, at.n)
 
 
-#: Parameters that only `hysteresis_members`, `first_exit`, `time_stop`, `profit_sweep` and `equity_overlays` read.
-PATH_RULES = ["stop_loss_pct", "trailing_stop_pct", "take_profit_pct", "max_holding_periods", "profit_sweep_pct", "equity_trend_exposure", "profit_lock_pct"]
+#: Exit rules of a position, and what else follows it from its entry on; rules that feed a strategy's own equity back.
+EXIT_RULES = ["stop_loss_pct", "trailing_stop_pct", "take_profit_pct", "max_holding_periods", "profit_sweep_pct"]
+EQUITY_RULES = ["equity_trend_exposure", "profit_lock_pct"]
+DAILY_RULES = EXIT_RULES[:3]
 
 
-def refuse_path_rules(strategies: DataFrame) -> None:
-    """Raise for strategies with a rule the book does not apply, rather than leave it out."""
-    set_ = [c for c in PATH_RULES if c in strategies.columns]
-    # No sweep is 0 per cent; an exposure of 0 is a rule.
-    named = [F.max(F.col(c).isNotNull() if c == "equity_trend_exposure" else F.coalesce(F.col(c) != 0, F.lit(False))).alias(c) for c in set_]
-    row = strategies.agg(*named).first() if set_ else {}
-    found = [c for c in set_ if row[c]]
+def _has(column: str) -> Column:
+    """A rule is set. No sweep is 0 per cent; an exposure of 0 is a rule."""
+    return F.col(column).isNotNull() if column == "equity_trend_exposure" else F.coalesce(F.col(column) != 0, F.lit(False))
+
+
+def refuse_path_rules(strategies: DataFrame, with_closes: bool) -> None:
+    """Raise for strategies with a rule the book does not apply, rather than leave it out: rules on the equity
+    (`equity_overlays` applies them to a book), exits of a strategy that rebalances, whose freed slots tie its symbols
+    together, and exits on daily closes where the book is not given any."""
+    holds = F.col("rotation") == "hold"
+    refused = {c: _has(c) for c in EQUITY_RULES}
+    refused |= {c: _has(c) & (F.lit(False) if with_closes or c not in DAILY_RULES else F.lit(True)) | (_has(c) & ~holds) for c in EXIT_RULES}
+    row = strategies.agg(*[F.max(v).alias(c) for c, v in refused.items()]).first()
+    found = [c for c in refused if row[c]]
     if found:
         raise ValueError(f"the book does not apply {', '.join(found)}; apply these rules to its members")
 
 
-def picks(panel: DataFrame, strategies: DataFrame, calendar: Calendar) -> DataFrame:
-    """Top-N candidates of the strategies that rebalance; every member of those that hold.
+def picks(panel: DataFrame, strategies: DataFrame, calendar: Calendar, candles: DataFrame | None = None) -> DataFrame:
+    """Top-N candidates of the strategies that rebalance; every member of those that hold, with `keep`, the share of it
+    that sweeps have left, and `exit_price` where a daily close ends it inside the period.
 
-    A holding strategy keeps a symbol from its entry as a candidate until its score falls below the sell score,
-    with no cap on its slots.
+    A holding strategy keeps a symbol from its entry as a candidate until its score falls below the sell score or one of
+    its exit rules ends the position, with no cap on its slots.
     """
     chosen = picks_rebalance(panel, strategies.filter("rotation != 'hold'"))
+    chosen = chosen.withColumns({"keep": F.lit(1.0), "exit_price": F.lit(None).cast("double")})
     holding = strategies.filter("rotation = 'hold'")
-    members = hysteresis_members(panel, holding, calendar).select("strategy_id", "anchor", "symbol")
-    held = with_rules(panel.select(*PANEL_ROW).join(members, ["anchor", "symbol"]), holding, limits(holding).n)
+    paths = materialize(position_paths(panel, holding, candles, calendar), "paths")
+    keys = ["strategy_id", "symbol", "idx"]
+    exits = paths.filter("kind = 'exit'").select(*keys, F.col("price").alias("exit_price"))
+    members = paths.filter("kind = 'member'").select(*keys, "keep").join(exits, keys, "left")
+    rows = numbered(panel.select(*PANEL_ROW), calendar).join(members, ["symbol", "idx"])
+    held = with_rules(rows.select(*PANEL_ROW, "strategy_id", "keep", "exit_price"), holding, limits(holding).n)
     return chosen.unionByName(held.withColumn("place", F.lit(None).cast("int")).select(*chosen.columns))
 
 
@@ -260,15 +276,20 @@ def ic_timing(weighted: DataFrame, flags: DataFrame) -> DataFrame:
     return rows.withColumn("weight", F.col("weight") * scale)
 
 
-BOOK = ["strategy_id", "frequency", "anchor", "symbol", "direction", "score", "price", "weight"]
+BOOK = ["strategy_id", "frequency", "anchor", "symbol", "direction", "score", "price", "weight", "keep", "exit_price"]
 
 
-def book(panel: DataFrame, regime: DataFrame, strategies: DataFrame, calendar: Calendar) -> DataFrame:
-    """Target weights of every strategy at every anchor, longs and shorts; raises for rules it does not apply."""
-    refuse_path_rules(strategies)
-    chosen = picks(panel, strategies, calendar)
-    longs = regime_gate(fill_with_numeraire(weights(chosen)), risk_flags(strategies, regime))
-    shorts = short_sleeve(panel, strategies, longs)
+def book(panel: DataFrame, regime: DataFrame, strategies: DataFrame, calendar: Calendar, candles: DataFrame | None = None) -> DataFrame:
+    """Target weights of every strategy at every anchor, longs and shorts; raises for rules it does not apply.
+
+    With daily closes (`candles`) strategies that hold may have stops, trailing stops and targets; a row whose position ends
+    inside its period carries the `exit_price`. `keep` is what profit sweeps have left of the position.
+    """
+    refuse_path_rules(strategies, candles is not None)
+    chosen = picks(panel, strategies, calendar, candles)
+    sized = fill_with_numeraire(weights(chosen)).withColumn("weight", F.col("weight") * F.col("keep"))
+    longs = regime_gate(sized, risk_flags(strategies, regime))
+    shorts = short_sleeve(panel, strategies, longs).withColumns({"keep": F.lit(1.0), "exit_price": F.lit(None).cast("double")})
     cols = [*[c for c in BOOK if c != "direction"], "ic_exposure"]
     both = longs.select(*cols, F.lit("long").alias("direction")).unionByName(
         shorts.select(*cols, F.lit("short").alias("direction"))
@@ -277,7 +298,7 @@ def book(panel: DataFrame, regime: DataFrame, strategies: DataFrame, calendar: C
 
 
 def position_returns(positions: DataFrame, panel: DataFrame, calendar: Calendar) -> DataFrame:
-    """Return of every position to the next anchor.
+    """Return of every position to the next anchor, or to the close that ends it before.
 
     A long without a next row earns nothing; a short without one leaves the period. The last
     anchor has no period. ``pick_return`` shows a short's gain with its sign turned.
@@ -286,7 +307,8 @@ def position_returns(positions: DataFrame, panel: DataFrame, calendar: Calendar)
     last = calendar.frame(panel.sparkSession).agg(F.max("idx")).select("max(idx)").scalar()
     rows = positions.filter(F.col("idx") < last).join(later, ["idx", "symbol"], "left")
     kept = rows.filter((F.col("direction") == "long") | F.col("next_price").isNotNull())
-    ret = F.when(F.col("price") != 0, F.coalesce("next_price", "price") / F.col("price") - 1.0).otherwise(0.0)
+    end = F.coalesce(*([F.col("exit_price")] if "exit_price" in positions.columns else []), "next_price", "price")
+    ret = F.when(F.col("price") != 0, end / F.col("price") - 1.0).otherwise(0.0)
     return kept.withColumn("ret", ret).withColumn(
         "pick_return", F.when(F.col("direction") == "short", -F.col("ret")).otherwise(F.col("ret"))
     )
@@ -639,8 +661,100 @@ def exit_levels(positions: DataFrame) -> DataFrame:
 
 
 def time_stop(members: DataFrame, limit: str = "max_holding_periods") -> DataFrame:
-    """Drop positions held for the maximum number of anchors (one full spell is cut, not re-entered)."""
-    return spells(members).filter(F.col(limit).isNull() | (F.col("held") < F.col(limit)))
+    """Cut positions held for the maximum number of anchors, and let them in again.
+
+    A run that is a candidate throughout is held for the limit, sold at the next anchor, blocked at the one after, and held
+    again: the place in the run modulo limit + 2 tells which. `held` counts the anchors since the last entry.
+    """
+    runs = spells(members)
+    place = F.pmod(F.col("held"), F.col(limit) + 2)
+    free = F.col(limit).isNull()
+    return runs.withColumn("held", F.when(free, F.col("held")).otherwise(place)).filter(free | (F.col("held") < F.col(limit)))
+
+
+_EVENT = "struct<kind:string,idx:int,price:double,score:double,held:int,entry_price:double,peak:double,keep:double,ts:date,reason:string>"
+
+
+def position_paths(panel: DataFrame, strategies: DataFrame, candles: DataFrame | None, calendar: Calendar) -> DataFrame:
+    """Positions of holding strategies with stop, trailing stop, target, time limit, profit sweep and re-entry.
+
+    (strategy_id, symbol, kind, idx, price, score, held, entry_price, peak, keep, ts, reason): `kind` is member for each
+    anchor a symbol is held at, exit for the first daily close that ends a position inside a period, time for an anchor a
+    position is sold at because of its age. After an exit or a time sale the symbol is blocked for one anchor.
+
+    Symbols do not depend on one another, as slots are not capped: the path of one symbol is a fold over its own anchors
+    and closes in the order of time, one row of calendar size, after one shuffle by (strategy, symbol).
+    """
+    at = limits(strategies)
+    rules = strategies.select(*RULE, F.coalesce("sell_score", "min_score").alias("sell"))
+    row = ["strategy_id", "frequency", "anchor", "symbol", "score", "price"]
+    staying = reaching(panel.select(*PANEL_ROW), rules, F.col("score"), F.col("sell"), at.n).filter(F.col("score") >= F.col("sell"))
+    entering = _candidates(panel, rules.drop("sell"), at)
+    marked = staying.select(*row, F.lit(0).alias("enter")).unionByName(entering.select(*row, F.lit(1).alias("enter")))
+    anchors = numbered(marked.groupBy(*row).agg(F.max("enter").alias("enter")), calendar)
+    keys = ["strategy_id", "symbol"]
+    none = F.lit(None)
+    decided = anchors.select(*keys, F.col("idx").cast("int").alias("idx"), F.lit(0).alias("day"), F.col("anchor").alias("ts"), "price", "score", (F.col("enter") == 1).alias("enter"))
+    events = decided
+    if candles is not None:
+        daily = candles.select("symbol", "ts", F.col("close").alias("price"), period_index(calendar, F.col("ts")).cast("int").alias("idx"))
+        watched = strategies.filter(" or ".join(f"{c} is not null" for c in DAILY_RULES)).select("strategy_id")
+        open_ = decided.join(sent(watched, at.n), "strategy_id", "left_semi").select(*keys, "idx")
+        closes = open_.join(daily, ["symbol", "idx"]).select(*keys, "idx", F.lit(1).alias("day"), "ts", "price", none.cast("double").alias("score"), none.cast("boolean").alias("enter"))
+        events = decided.unionByName(closes)
+    series = events.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", "day", "ts", "price", "score", "enter"))).alias("series"))
+    ruled = series.join(sent(strategies.select("strategy_id", *EXIT_RULES), at.n), "strategy_id")
+
+    def event(kind: str, e: Column, state: dict[str, Column], reason: Column) -> Column:
+        parts = [F.lit(kind), e["idx"], e["price"], e["score"], state["held"], state["entry"], state["peak"], state["keep"], e["ts"], reason]
+        names = ["kind", "idx", "price", "score", "held", "entry_price", "peak", "keep", "ts", "reason"]
+        return F.struct(*[p.alias(n) for p, n in zip(parts, names)])
+
+    def state(acc: Column, **new: Column) -> Column:
+        names = ["entry", "peak", "keep", "held", "at", "blocked", "out"]
+        return F.struct(*[new.get(n, acc[n]).alias(n) for n in names])
+
+    def anchor_step(acc: Column, e: Column) -> Column:
+        """At an anchor: stay, be sold for its age, enter, or stand aside. `at` is the last anchor held, -9 outside."""
+        holds = acc["at"] == e["idx"] - 1
+        old = holds & (F.col("max_holding_periods").isNotNull() & (acc["held"] + 1 >= F.col("max_holding_periods")))
+        gain = e["price"] / acc["entry"] - 1.0
+        swept = F.coalesce(F.col("profit_sweep_pct"), _zero()) / 100.0 * gain / (1.0 + gain)
+        gained = (acc["entry"] != 0) & (e["price"] > acc["entry"])
+        keep = F.when(gained, acc["keep"] * (1.0 - F.least(F.lit(0.9), swept))).otherwise(acc["keep"])
+        stays = {"held": acc["held"] + 1, "entry": acc["entry"], "peak": F.greatest(acc["peak"], e["price"]), "keep": keep}
+        begins = {"held": F.lit(0), "entry": e["price"], "peak": e["price"], "keep": F.lit(1.0)}
+        no = F.lit(None).cast("string")
+        sold = state(acc, at=F.lit(-9), blocked=e["idx"] + 1, out=F.array_append(acc["out"], event("time", e, stays, F.lit("time"))))
+        kept = state(acc, **stays, at=e["idx"], out=F.array_append(acc["out"], event("member", e, stays, no)))
+        entered = state(acc, **begins, at=e["idx"], out=F.array_append(acc["out"], event("member", e, begins, no)))
+        may = e["enter"] & (acc["blocked"] != e["idx"])
+        return F.when(old, sold).when(holds, kept).when(may, entered).otherwise(state(acc, at=F.lit(-9)))
+
+    def close_step(acc: Column, e: Column) -> Column:
+        """At a daily close of a period that began with the position."""
+        peak = F.greatest(acc["peak"], e["price"])
+        reason = (
+            F.when(e["price"] <= acc["entry"] * (1.0 - F.col("stop_loss_pct") / 100.0), "stop_loss")
+            .when(e["price"] <= peak * (1.0 - F.col("trailing_stop_pct") / 100.0), "trailing_stop")
+            .when(e["price"] >= acc["entry"] * (1.0 + F.col("take_profit_pct") / 100.0), "take_profit")
+        )
+        now = {"held": acc["held"], "entry": acc["entry"], "peak": peak, "keep": acc["keep"]}
+        out = state(acc, at=F.lit(-9), blocked=e["idx"] + 1, out=F.array_append(acc["out"], event("exit", e, now, reason)))
+        return F.when(acc["at"] != e["idx"], acc).when(reason.isNotNull(), out).otherwise(state(acc, peak=peak))
+
+    start = F.struct(
+        _zero().alias("entry"), _zero().alias("peak"), F.lit(1.0).alias("keep"), F.lit(0).alias("held"), F.lit(-9).alias("at"),
+        F.lit(-9).alias("blocked"), F.expr(f"cast(array() as array<{_EVENT}>)").alias("out"),
+    )
+    path = F.aggregate("series", start, lambda acc, e: F.when(e["day"] == 0, anchor_step(acc, e)).otherwise(close_step(acc, e)), lambda acc: acc["out"])
+    return ruled.select(*keys, F.explode(path).alias("e")).select(*keys, "e.*")
+
+
+def blocked_union(paths: DataFrame) -> DataFrame:
+    """(strategy, idx, symbol) that may not be bought at anchor idx: what was stopped in the period before, or sold for
+    its age at the anchor before."""
+    return paths.filter("kind != 'member'").select("strategy_id", (F.col("idx") + 1).alias("idx"), "symbol").distinct()
 
 
 def profit_sweep(members: DataFrame, pct: str = "profit_sweep_pct") -> DataFrame:
