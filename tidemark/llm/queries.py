@@ -59,8 +59,14 @@ def op3_piece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_column_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beside the digests what the removal leaves: the text (cut characters replaced), its share, and whether any went."""
     done = remove_repeats(table(spark, sf_dir, "documents"))
-    return done.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return done.select(
+        "doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"),
+        F.when(F.col("n_bytes") > 0, F.col("n_removed") / F.col("n_bytes")).otherwise(0.0).alias("removed_share"),
+        (F.col("n_removed") > 0).cast("int").alias("repeats"),
+    )
 
 
 def op5_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
