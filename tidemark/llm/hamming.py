@@ -16,7 +16,7 @@ BITS, BYTE = 256, 8
 PARTS = BITS // BYTE  # substrings, one byte each
 STRIDE = 8  # substrings probed between two looks at what was found
 SAMPLE = 8192
-POOL = 400
+POOL = 500
 INDEX_BLOCK, QUERY_BLOCK = 16384, 2048
 
 DISTANCE = np.array([[bin(a ^ b).count("1") for b in range(256)] for a in range(256)], np.uint8)
