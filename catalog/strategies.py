@@ -509,7 +509,30 @@ query(
         SELECT *, idx - row_number() OVER (PARTITION BY strategy_id, symbol, direction ORDER BY idx) AS g FROM book WHERE idx < (SELECT li FROM lastidx))
       WINDOW w AS (PARTITION BY strategy_id, symbol, direction, g ORDER BY idx)) WHERE idx = (SELECT li FROM lastidx) - 1""",
 )(lambda ws: J.book_state(book(ws), ws.panel(), cal(ws)))
-query("equity_overlays", SP + "idx:i scale:f6 brake:b period_return:f8 equity:l8")(
+# Recursion over the periods: equity, its last values, the lock level and the weights held, as a map from symbol.
+CTES["overlay_rows"] = """
+SELECT p.strategy_id, p.idx, p.funding, p.fee_pct, coalesce(g.lr, 0) AS lr, coalesce(g.sr, 0) AS sr,
+  coalesce(b.longs, map([]::VARCHAR[], []::DOUBLE[])) AS longs, coalesce(b.shorts, map([]::VARCHAR[], []::DOUBLE[])) AS shorts
+FROM per p LEFT JOIN (SELECT strategy_id, idx, sum(CASE WHEN direction = 'long' THEN weight * ret ELSE 0 END) AS lr,
+    sum(CASE WHEN direction = 'short' THEN weight * ret ELSE 0 END) AS sr FROM posret GROUP BY 1, 2) g USING (strategy_id, idx)
+LEFT JOIN (SELECT strategy_id, idx, map_from_entries(list((symbol, weight)) FILTER (direction = 'long')) AS longs,
+    map_from_entries(list((symbol, weight)) FILTER (direction = 'short')) AS shorts FROM book GROUP BY 1, 2) b USING (strategy_id, idx)"""
+CTES["overlays"] = """
+WITH RECURSIVE w AS (
+  SELECT strategy_id, -1 AS idx, 1.0::DOUBLE AS equity, []::DOUBLE[] AS recent, 1.0::DOUBLE AS lock_at, map([]::VARCHAR[], []::DOUBLE[]) AS held,
+    1.0::DOUBLE AS scale, FALSE AS brake, 0.0::DOUBLE AS net FROM (SELECT DISTINCT strategy_id FROM overlay_rows)
+  UNION ALL
+  SELECT strategy_id, n, equity * (1 + net), recent, lock_at, now, scale, brake, net FROM (
+    SELECT *, lr * scale + sr - list_sum(list_transform(list_distinct(list_concat([''], map_keys(now), map_keys(held))),
+        lambda k: abs(coalesce(now[k], 0) - coalesce(held[k], 0)))) * fee_pct / 100.0 - funding AS net FROM (
+      SELECT *, map_from_entries(list_concat(list_transform(map_entries(longs), lambda e: (e.key, e.value * scale)), list_transform(map_entries(shorts), lambda e: (e.key, e.value)))) AS now,
+        CASE WHEN locks THEN equity ELSE lock_old END AS lock_at FROM (
+        SELECT *, CASE WHEN brake THEN 0.35 ELSE 1.0 END * CASE WHEN locks THEN 0.75 ELSE 1.0 END AS scale FROM (
+          SELECT *, busy AND len(recent) >= 3 AND equity < list_avg(recent) AS brake, busy AND equity >= lock_old * 2 AS locks FROM (
+            SELECT r.*, w.idx + 1 AS n, w.equity, w.held, w.lock_at AS lock_old, list_append(w.recent, w.equity)[-6:] AS recent, cardinality(r.longs) > 0 AS busy
+            FROM w JOIN overlay_rows r ON r.strategy_id = w.strategy_id AND r.idx = w.idx + 1))))))
+SELECT * FROM w WHERE idx >= 0"""
+query("equity_overlays", SP + "idx:i scale:f6 brake:b period_return:f8 equity:l8", "SELECT *, net AS period_return FROM overlays")(
     lambda ws: J.equity_overlays(
         book(ws), periods(ws), ws.panel(),
         strats(ws).withColumns({"equity_trend_exposure": F.lit(0.35), "profit_lock_pct": F.lit(25.0)}), cal(ws),

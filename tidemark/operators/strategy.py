@@ -813,73 +813,82 @@ def weighted_period_return(position_rows: DataFrame) -> DataFrame:
     return position_rows.groupBy("strategy_id", "idx").agg(F.sum(F.col("weight") * F.col("pick_return")).alias("ret"))
 
 
+def _traded_at(positions: DataFrame, strategies: DataFrame) -> DataFrame:
+    """(strategy, idx, busy, traded): notional traded at an anchor for each size of the longs now and at the anchor before.
+
+    A strategy's longs have one of four sizes, braked or not and locked or not, so the trades under every pair of sizes are
+    sums over its symbols: 16 numbers an anchor, and no symbol is needed after them.
+    """
+    side = lambda d, w: F.when(F.col("direction") == d, w).otherwise(0.0)
+    rows = positions.select("strategy_id", "idx", "symbol", side("long", F.col("weight")).alias("l"), side("short", F.col("weight")).alias("s"))
+    zero = [_zero().alias(c) for c in ("l", "s")]
+    now = rows.select("strategy_id", "idx", "symbol", "l", "s", _zero().alias("l0"), _zero().alias("s0"))
+    before = rows.select("strategy_id", (F.col("idx") + 1).alias("idx"), "symbol", *zero, F.col("l").alias("l0"), F.col("s").alias("s0"))
+    pairs = now.unionByName(before).groupBy("strategy_id", "idx", "symbol").agg(*[F.sum(c).alias(c) for c in ("l", "s", "l0", "s0")])
+    sized = pairs.join(sent(sizes(strategies), limits(strategies).n), "strategy_id")
+    change = lambda k, j: F.abs(F.col("l") * F.get("size", F.lit(k)) + F.col("s") - F.col("l0") * F.get("size", F.lit(j)) - F.col("s0"))
+    sums = [F.sum(change(k, j)) for k in range(4) for j in range(4)]
+    return sized.groupBy("strategy_id", "idx").agg(F.max(F.col("l") != 0).alias("busy"), F.array(*sums).alias("traded"))
+
+
+def sizes(strategies: DataFrame) -> DataFrame:
+    """(strategy, size): of the longs when neither, braked, locked, and both."""
+    brake = F.coalesce(clamp(F.col("equity_trend_exposure"), 0.0, 1.0), F.lit(1.0))
+    lock = F.coalesce(1.0 - clamp(F.col("profit_lock_pct") / 100.0, 0.0, 0.95), F.lit(1.0))
+    return strategies.select("strategy_id", F.array(F.lit(1.0), brake, lock, brake * lock).alias("size"))
+
+
 def equity_overlays(positions: DataFrame, period_rows: DataFrame, panel: DataFrame, strategies: DataFrame, calendar: Calendar) -> DataFrame:
     """Equity brake and profit lock, which feed a strategy's own equity back into its size.
 
-    The book is reduced to one row per (strategy, period) with its long and short weight maps and
-    their returns; the recursion is a fold over that calendar-sized array, inside the JVM.
+    The book is reduced to a few numbers per (strategy, period), trades under every pair of sizes included; the recursion
+    is a fold over that calendar-sized array of numbers, inside the JVM.
     """
     lived = position_returns(positions, panel, calendar)
     gains = lived.groupBy("strategy_id", "idx").agg(
         F.sum(F.when(F.col("direction") == "long", F.col("weight") * F.col("ret")).otherwise(0.0)).alias("long_ret"),
         F.sum(F.when(F.col("direction") == "short", F.col("weight") * F.col("ret")).otherwise(0.0)).alias("short_ret"),
     )
-
-    def side(name: str) -> Column:
-        entry = F.when(F.col("direction") == name, F.struct("symbol", "weight"))
-        return F.map_from_entries(F.collect_list(entry))
-
-    maps = positions.groupBy("strategy_id", "idx").agg(side("long").alias("longs"), side("short").alias("shorts"))
-    none = F.expr("cast(map() as map<string,double>)")
     base = (
         period_rows.select("strategy_id", "idx", "funding", "fee_pct")
         .join(gains, ["strategy_id", "idx"], "left")
-        .join(maps, ["strategy_id", "idx"], "left")
+        .join(_traded_at(positions, strategies), ["strategy_id", "idx"], "left")
         .fillna(0.0, ["long_ret", "short_ret"])
-        .withColumns({"longs": F.coalesce("longs", none), "shorts": F.coalesce("shorts", none)})
+        .withColumns({"busy": F.coalesce("busy", F.lit(False)), "traded": F.coalesce("traded", F.array_repeat(_zero(), 16))})
     )
     rows = base.groupBy("strategy_id").agg(
-        F.array_sort(
-            F.collect_list(F.struct("idx", "long_ret", "short_ret", "funding", "fee_pct", "longs", "shorts")),
-            lambda a, b: (a["idx"] - b["idx"]).cast("int"),
-        ).alias("rows")
+        F.array_sort(F.collect_list(F.struct("idx", "long_ret", "short_ret", "funding", "fee_pct", "busy", "traded")), lambda a, b: (a["idx"] - b["idx"]).cast("int")).alias("rows")
     )
-    joined = rows.join(strategies.select("strategy_id", "equity_trend_exposure", "profit_lock_pct"), "strategy_id")
+    rules = strategies.select("strategy_id", "equity_trend_exposure", "profit_lock_pct").join(sizes(strategies), "strategy_id")
+    joined = rows.join(rules, "strategy_id")
     point = "struct<idx:int,scale:double,brake:boolean,period_return:double,equity:double>"
-    zero = F.struct(
+    start = F.struct(
         F.lit(1.0).alias("equity"),
         F.expr("cast(array() as array<double>)").alias("recent"),
         F.lit(1.0).alias("lock"),
-        none.alias("held"),
+        F.lit(0).alias("size"),
         F.expr(f"cast(array() as array<{point}>)").alias("out"),
     )
-    exposure = F.col("equity_trend_exposure")
-    remaining = 1.0 - clamp(F.col("profit_lock_pct") / 100.0, 0.0, 0.95)
 
     def step(acc, r):
         seen = F.array_append(acc["recent"], acc["equity"])
         recent = F.slice(seen, F.greatest(F.size(seen) - (P.REGIME_SMA_ANCHORS - 1), F.lit(1)), F.lit(P.REGIME_SMA_ANCHORS))
         mean = F.aggregate(recent, _zero(), lambda a, x: a + x) / F.size(recent)
-        busy = F.size(r["longs"]) > 0
-        brake = exposure.isNotNull() & busy & (F.size(recent) >= 3) & (acc["equity"] < mean)
-        lock = F.col("profit_lock_pct").isNotNull() & busy & (acc["equity"] >= acc["lock"] * 2.0)
-        scale = F.when(brake, clamp(exposure, 0.0, 1.0)).otherwise(1.0) * F.when(lock, remaining).otherwise(1.0)
-        held = F.map_concat(F.transform_values(r["longs"], lambda k, v: v * scale), r["shorts"])
-        change = F.map_zip_with(held, acc["held"], lambda k, a, b: F.abs(F.coalesce(a, _zero()) - F.coalesce(b, _zero())))
-        traded = F.aggregate(F.map_values(change), _zero(), lambda a, x: a + x)
-        net = r["long_ret"] * scale + r["short_ret"] - traded * r["fee_pct"] / 100.0 - r["funding"]
+        brake = F.col("equity_trend_exposure").isNotNull() & r["busy"] & (F.size(recent) >= 3) & (acc["equity"] < mean)
+        lock = F.col("profit_lock_pct").isNotNull() & r["busy"] & (acc["equity"] >= acc["lock"] * 2.0)
+        size = F.when(brake, 1).otherwise(0) + F.when(lock, 2).otherwise(0)
+        scale = F.get("size", size)
+        net = r["long_ret"] * scale + r["short_ret"] - F.get(r["traded"], size * 4 + acc["size"]) * r["fee_pct"] / 100.0 - r["funding"]
         equity = acc["equity"] * (1.0 + net)
-        out = F.struct(
-            r["idx"].alias("idx"), scale.alias("scale"), brake.alias("brake"), net.alias("period_return"), equity.alias("equity")
-        )
+        out = F.struct(r["idx"].alias("idx"), scale.alias("scale"), brake.alias("brake"), net.alias("period_return"), equity.alias("equity"))
         return F.struct(
             equity.alias("equity"),
             recent.alias("recent"),
             F.when(lock, acc["equity"]).otherwise(acc["lock"]).alias("lock"),
-            held.alias("held"),
+            size.alias("size"),
             F.array_append(acc["out"], out).alias("out"),
         )
 
-    return joined.select("strategy_id", F.explode(F.aggregate("rows", zero, step, lambda a: a["out"])).alias("p")).select(
+    return joined.select("strategy_id", F.explode(F.aggregate("rows", start, step, lambda a: a["out"])).alias("p")).select(
         "strategy_id", "p.*"
     )
