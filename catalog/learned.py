@@ -96,7 +96,35 @@ query(
     """SELECT fold, name, avg(x) AS mean, CASE WHEN coalesce(stddev_samp(x), 0) < 1e-12 THEN 1.0 ELSE stddev_samp(x) END AS scale
     FROM sample_x JOIN sample_labels USING (idx, symbol) JOIN sample_folds ON pos < train_end GROUP BY 1, 2""",
 )(lambda ws: K.standardize(samples(ws)[1], samples(ws)[0], folds(ws)))
-query("fit_nonnegative", "fold:i name:s weight:f6 mean:f8 scale:f8 n:i")(weights)
+
+
+def _fit(prefix: str, folds_sql: str) -> None:
+    """Check SQL of the fit: standardised products of all pairs of features, then 60 sweeps over the coordinates, a row of
+    the recursion each; inside a sweep the weights pass from one coordinate to the next."""
+    names = ", ".join(f"('{n}', {i})" for i, n in enumerate(P.FEATURE_DIRECTIONS, 1))
+    CTES[f"{prefix}_folds"] = folds_sql
+    CTES[f"{prefix}_std"] = f"""
+SELECT fold, name, i, avg(x) AS mean, CASE WHEN coalesce(stddev_samp(x), 0) < 1e-12 THEN 1.0 ELSE stddev_samp(x) END AS scale, count(*) AS n
+FROM sample_x JOIN sample_labels USING (idx, symbol) JOIN {prefix}_folds ON pos < train_end JOIN (VALUES {names}) f(name, i) USING (name) GROUP BY 1, 2, 3"""
+    CTES[f"{prefix}_z"] = f"""
+SELECT fold, idx, symbol, i, y, (x - mean) / scale AS z FROM sample_x JOIN sample_labels USING (idx, symbol) JOIN {prefix}_folds ON pos < train_end
+JOIN {prefix}_std USING (fold, name)"""
+    CTES[f"{prefix}_gram"] = f"""
+SELECT fold, list(g ORDER BY i) AS g, list(t ORDER BY i) AS t FROM (
+  SELECT fold, i, list(v ORDER BY j) AS g FROM (SELECT a.fold, a.i, b.i AS j, sum(a.z * b.z) AS v FROM {prefix}_z a JOIN {prefix}_z b USING (fold, idx, symbol) GROUP BY 1, 2, 3) GROUP BY 1, 2)
+JOIN (SELECT fold, i, sum(z * y) AS t FROM {prefix}_z GROUP BY 1, 2) USING (fold, i) GROUP BY 1"""
+    CTES[f"{prefix}_fit"] = f"""
+WITH RECURSIVE r AS (
+  SELECT fold, 0 AS sweep, list_transform(t, lambda x: 0.0::DOUBLE) AS w FROM {prefix}_gram
+  UNION ALL
+  SELECT fold, sweep + 1, list_reduce(list_prepend(w, list_transform(range(1, len(t) + 1), lambda k: [k::DOUBLE])), lambda a, k:
+    list_transform(a, lambda v, i: CASE WHEN i = k[1] THEN greatest(0.0, (t[i] - list_dot_product(g[i], a) + g[i][i] * v) / (0.05 * n + g[i][i])) ELSE v END))
+  FROM r JOIN {prefix}_gram USING (fold) JOIN (SELECT fold, max(n) AS n FROM {prefix}_std GROUP BY 1) USING (fold) WHERE sweep < 60)
+SELECT s.fold, s.name, r.w[s.i] AS weight, s.mean, s.scale, s.n FROM r JOIN {prefix}_std s USING (fold) WHERE sweep = 60"""
+
+
+_fit("fold", "SELECT fold, train_end FROM sample_folds WHERE train_end >= 6")
+query("fit_nonnegative", "fold:i name:s weight:f6 mean:f8 scale:f8 n:i", "SELECT * FROM fold_fit")(weights)
 query("evaluate_model", "section:s metric:s value:f6")(
     lambda ws: K.evaluate_model(K.predictions(*samples(ws), folds(ws), weights(ws)))
 )
@@ -110,9 +138,25 @@ def artifact(ws):
     return load_score_artifact(ws.spark, ws._kept["artifact"], "learned_v1", list(P.FEATURE_DIRECTIONS))
 
 
-query("export_artifact", "name:s weight:f6 mean:f6 scale:f6 direction:i")(artifact)
-query("load_score_artifact", "name:s weight:f6 direction:i")(artifact)
-query("score_model_catalog", "version:s name:s weight:f6 direction:i")(lambda ws: K.model_catalog(artifact(ws), "learned_v1"))
-query("learned_panel", "anchor:d symbol:s score:f1 price:f8")(
+_fit("final", "SELECT 0 AS fold, max(pos) + 1 AS train_end FROM sample_labels WHERE anchor <= DATE '2000-12-31'")
+_SIGNS = ", ".join(f"('{n}', {int(d)})" for n, d in P.FEATURE_DIRECTIONS.items())
+CTES["artifact"] = f"SELECT name, weight, mean, scale, direction FROM final_fit JOIN (VALUES {_SIGNS}) f(name, direction) USING (name)"
+query("export_artifact", "name:s weight:f6 mean:f6 scale:f6 direction:i", "SELECT * FROM artifact")(artifact)
+query("load_score_artifact", "name:s weight:f6 direction:i", "SELECT * FROM artifact")(artifact)
+_RULE = ", ".join(f"('{k}', CAST({v} AS DOUBLE), {K.RULE_SIGNS[k]})" for k, v in P.SCORE_WEIGHTS.items())
+query(
+    "score_model_catalog",
+    "version:s label:s description:s name:s weight:f6 direction:i",
+    f"""SELECT 'rule' AS version, '{K.MODEL_LABELS["rule"][0]}' AS label, '{K.MODEL_LABELS["rule"][1]}' AS description, name, weight, direction
+      FROM (VALUES {_RULE}) r(name, weight, direction)
+    UNION ALL SELECT 'learned_v1', '{K.MODEL_LABELS["learned"][0]}', '{K.MODEL_LABELS["learned"][1]}', name, weight, direction FROM artifact""",
+)(lambda ws: K.model_catalog(artifact(ws), "learned_v1"))
+CTES["artifact_raw"] = """
+SELECT anchor, symbol, round(sum(weight * ((x - mean) / scale)), 12) AS raw FROM panel_features_x JOIN artifact USING (name) GROUP BY 1, 2"""
+query(
+    "learned_panel",
+    "anchor:d symbol:s score:f1 price:f8",
+    f"SELECT s.*, r.price FROM ({_LEARNED.replace('learned_raw', 'artifact_raw')}) s JOIN rows_m r USING (anchor, symbol)",
+)(
     lambda ws: point_in_time_panel(ws.candles, ws.market_history, ws.coins, cal(ws), EVENT, artifact(ws))
 )

@@ -200,11 +200,20 @@ def export_artifact(
     artifact.coalesce(1).write.mode("overwrite").json(path)
 
 
+#: Direction of each part of the rule, and the names of the two kinds of model in the list of models.
+RULE_SIGNS = {"valuation": -1, "distance": -1, "median_gap": -1, "basing": 1, "range": -1, "dip_respect": 1}
+MODEL_LABELS = {
+    "rule": ("Rule score", "fixed weights on six parts of cheapness"),
+    "learned": ("Learned score", "non-negative weights on ranked features, fitted on past anchors"),
+}
+
+
 def model_catalog(weights: DataFrame, version: str) -> DataFrame:
-    """Features of the available models: the rule's six parts and one learned artifact."""
+    """Features of the available models with label and description: the rule's six parts and one learned artifact."""
     spark = weights.sparkSession
-    signs = {"valuation": -1, "distance": -1, "median_gap": -1, "basing": 1, "range": -1, "dip_respect": 1}
+    named = lambda kind: [F.lit(text).alias(column) for column, text in zip(("label", "description"), MODEL_LABELS[kind])]
     rule = spark.createDataFrame(
-        [("rule", k, v, signs[k]) for k, v in P.SCORE_WEIGHTS.items()], "version string, name string, weight double, direction int"
+        [("rule", k, v, RULE_SIGNS[k]) for k, v in P.SCORE_WEIGHTS.items()], "version string, name string, weight double, direction int"
     )
-    return rule.unionByName(weights.select(F.lit(version).alias("version"), "name", "weight", F.col("direction").cast("int")))
+    learned = weights.select(F.lit(version).alias("version"), *named("learned"), "name", "weight", F.col("direction").cast("int"))
+    return rule.select("version", *named("rule"), "name", "weight", "direction").unionByName(learned)
