@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
 
 from pyspark.sql import functions as F
 
 from catalog.registry import query
 from catalog.sqlbase import CTES
-from catalog.strategies import M, book, cal, curve, regime, strats, trades
+from catalog.strategies import CONFIGS, M, book, cal, curve, regime, strats, trades
 from tidemark.operators import signals as S
 from tidemark.operators import strategy as J
 from tidemark.operators import sweep as L
 from tidemark.operators.series import dip_history
-from tidemark.plans.presets import strategies
+from tidemark.plans.presets import DEFAULTS, strategies
 from tidemark.plans.space import DEFAULT_SEARCH, sample_strategies
 from tidemark.session import materialize, shared_dir
 from tidemark.sources.store import ChangeLog
@@ -274,11 +275,43 @@ def distances(ws):
 query("threshold_alerts", "symbol:s ts:d distance:f5 threshold:f1", ALERT_SQL)(
     lambda ws: S.threshold_alerts(distances(ws), ws.watchlist, 2000.0)
 )
+# Saved strategies: the good ones, and one for each way a saved strategy can be broken.
+BROKEN = {
+    "no_json": ("{top_n: ", "not a JSON object"),
+    "unknown": ('{"leverage": 3, "top_n": 2}', "unknown parameter: leverage"),
+    "wrong_type": ('{"top_n": "many", "min_score": "high"}', "wrong type: top_n, min_score"),
+    "wrong_word": ('{"weighting": "random"}', "illegal value: weighting"),
+    "no_slots": ('{"top_n": 0}', "illegal value: top_n"),
+    "refused": ('{"profit_lock_pct": 25, "stop_loss_pct": 10}', "rule the book does not apply: profit_lock_pct, stop_loss_pct"),
+}
+
+
+def saved(ws):
+    rows = [(k, json.dumps(v)) for k, v in CONFIGS.items()] + [(k, text) for k, (text, _) in BROKEN.items()]
+    return ws.spark.createDataFrame(rows, "strategy_id string, params string")
+
+
+def refreshed(ws):
+    """The log already holds the rows of one strategy and all holdings of another; what is new is written and counted."""
+    run = lambda stored: S.refresh_all(saved(ws), ws.panel(), regime(ws), ws.candles, cal(ws), stored, ws.last_day)
+    everything = run(signal_log(ws).filter("false"))[0]
+    known = everything.filter("watch_id = 'equal' or (watch_id = 'by_score' and action = 'HOLD')")
+    return run(known)[1]
+
+
 query(
     "watch_refresh_all",
-    "watches:i signals:i",
-    "SELECT (SELECT count(*) FROM strats) AS watches, count(*) AS signals FROM signal_log WHERE NOT (date < DATE '2000-01-01')",
-)(lambda ws: S.refresh_counts(strats(ws), S.append_new(signal_log(ws), signal_log(ws).filter("date < '2000-01-01'"))))
+    "watch_id:s signals:i error:s",
+    """WITH now AS (
+      SELECT strategy_id AS watch_id, CASE WHEN entry_anchor = (SELECT max(anchor) FROM anchors_m) THEN CASE WHEN direction = 'long' THEN 'BUY' ELSE 'SHORT' END ELSE 'HOLD' END AS action, symbol FROM state
+      UNION ALL SELECT strategy_id, 'STAY_IN_BTC', '' FROM strats s WHERE coalesce((SELECT sum(abs(weight)) FROM book b
+        WHERE b.strategy_id = s.strategy_id AND b.idx = (SELECT li FROM lastidx) - 1), 0) <= 1e-9),
+    new AS (SELECT * FROM now WHERE watch_id <> 'equal' AND NOT (watch_id = 'by_score' AND action = 'HOLD'))
+    SELECT strategy_id AS watch_id, (SELECT count(*) FROM new n WHERE n.watch_id = s.strategy_id) AS signals, CAST(NULL AS VARCHAR) AS error FROM strats s
+    UNION ALL SELECT watch_id, 0, error FROM (VALUES """
+    + ", ".join(f"('{k}', '{e}')" for k, (_, e) in BROKEN.items())
+    + ") broken(watch_id, error)",
+)(refreshed)
 query(
     "watchlist_edit",
     "symbol:s threshold_pct:f2 created_at:d",
@@ -294,16 +327,26 @@ query(
         ),
     )
 )
-query(
-    "strategy_edit",
-    "watch_id:s n:i",
-    "SELECT watch_id, count(*) AS n FROM signal_log WHERE watch_id NOT IN ('equal', 'timed') GROUP BY 1",
-)(
-    lambda ws: S.edit_strategies(
+CTES["edited"] = f"""
+SELECT strategy_id, top_n, min_score, weighting, fee_pct, rotation, ic_window FROM strats WHERE strategy_id NOT IN ('equal', 'timed')
+UNION ALL SELECT 'fresh', 7, {DEFAULTS["min_score"][1]}, '{DEFAULTS["weighting"][1]}', {DEFAULTS["fee_pct"][1]}, '{DEFAULTS["rotation"][1]}', {DEFAULTS["ic_window"][1]}"""
+
+
+def edited(ws):
+    """The edited table, each strategy with what the edit left of its signals."""
+    kept, signals = S.edit_strategies(
         strats(ws), signal_log(ws), strategies(ws.spark, {"fresh": {"top_n": 7}}).select("strategy_id", "top_n"),
         strats(ws).filter("strategy_id in ('equal', 'timed')"),
-    )[1].groupBy("watch_id").agg(F.count(F.lit(1)).alias("n"))
-)
+    )
+    counts = signals.groupBy(F.col("watch_id").alias("strategy_id")).agg(F.count(F.lit(1)).alias("n"))
+    return kept.join(counts, "strategy_id", "full").withColumn("signals", F.coalesce("n", F.lit(0)))
+
+
+query(
+    "strategy_edit",
+    SP + "top_n:i min_score:f4 weighting:s fee_pct:f4 rotation:s ic_window:i signals:i",
+    "SELECT e.*, (SELECT count(*) FROM signal_log l WHERE l.watch_id = e.strategy_id) AS signals FROM edited e",
+)(edited)
 
 
 # --- streaming -----------------------------------------------------------------------------------

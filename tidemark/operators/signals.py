@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.calendar import Calendar
 from tidemark.operators.series import latest
-from tidemark.operators.strategy import book_state, exit_levels, first_exit, sent
+from tidemark.operators.strategy import book, book_state, equity_curve, exit_levels, first_exit, period_flags, periods, refused_rules, sent
 from tidemark.plans.panel import numbered
 from tidemark.plans.presets import DEFAULTS
+from tidemark.session import materialize
 from tidemark.sources.tables import remove_keys, upsert
 
 SIGNAL_KEYS = ["watch_id", "date", "action", "symbol"]
@@ -163,10 +164,62 @@ def threshold_alerts(distances: DataFrame, watchlist: DataFrame, default: float
     return rows.filter(crossing & (F.col("distance") <= F.col("threshold"))).select("symbol", "ts", "distance", "threshold")
 
 
-def refresh_counts(strategies: DataFrame, inserted: DataFrame) -> DataFrame:
-    """Watches refreshed and signals added by one job over the whole strategies table."""
-    added = inserted.select(F.count(F.lit(1))).scalar()
-    return strategies.agg(F.countDistinct("strategy_id").alias("watches")).withColumn("signals", added)
+#: Legal values of the parameters that are words.
+WORDS = {
+    "frequency": ["weekly", "monthly", "quarterly"], "weighting": ["equal", "score", "market_cap"], "rotation": ["rebalance", "hold"],
+    "regime_filter": ["alt_trend", "breadth"],
+}
+
+
+def decode_strategies(saved: DataFrame, with_closes: bool = False) -> DataFrame:
+    """Strategy rows of saved ones (strategy_id, params as JSON) with `error`, null where the strategy can run.
+
+    A failure is a value here: JSON that is none, an unknown parameter, a value of the wrong type or outside its legal
+    words, and rules the book does not apply each give the row its error, and the other rows go on.
+    """
+    given = saved.select("strategy_id", F.from_json("params", "map<string,string>").alias("given"))
+    known = F.array(*[F.lit(n) for n in DEFAULTS])
+    unknown = F.array_except(F.map_keys("given"), known)
+    text = lambda n: F.try_element_at("given", F.lit(n))
+    columns = {n: F.when(F.array_contains(F.map_keys("given"), n), text(n).try_cast(k)).otherwise(F.lit(d).cast(k)) for n, (k, d) in DEFAULTS.items()}
+    wrong = [F.when(text(n).isNotNull() & text(n).try_cast(k).isNull(), F.lit(n)) for n, (k, _) in DEFAULTS.items()]
+    parsed = given.select("strategy_id", "given", unknown.alias("unknown"), F.array_compact(F.array(*wrong)).alias("wrong"), *[c.alias(n) for n, c in columns.items()])
+    named = lambda words, names: F.concat(F.lit(f"{words}: "), F.array_join(names, ", "))
+    word = F.array_compact(F.array(*[F.when(F.col(n).isNotNull() & ~F.col(n).isin(w), F.lit(n)) for n, w in WORDS.items()]))
+    refused = F.array_compact(F.array(*[F.when(v, F.lit(n)) for n, v in refused_rules(with_closes).items()]))
+    slots = F.when(F.col("top_n") < 1, F.lit("top_n"))
+    error = (
+        F.when(F.col("given").isNull(), "not a JSON object")
+        .when(F.size("unknown") > 0, named("unknown parameter", F.array_sort("unknown")))
+        .when(F.size("wrong") > 0, named("wrong type", F.col("wrong")))
+        .when(F.size(word) > 0, named("illegal value", word))
+        .when(slots.isNotNull(), named("illegal value", F.array(slots)))
+        .when(F.size(refused) > 0, named("rule the book does not apply", refused))
+    )
+    return parsed.select("strategy_id", *DEFAULTS, error.alias("error"))
+
+
+def refresh_all(
+    saved: DataFrame, panel: DataFrame, regime: DataFrame, candles: DataFrame, calendar: Calendar, stored: DataFrame, end: dt.date
+) -> tuple[DataFrame, DataFrame]:
+    """(rows new to the log, summary) of all saved strategies (strategy_id, params) in one run.
+
+    The summary has one row per strategy: watch_id, signals (new ones) and error. A strategy that cannot run has its error
+    and no signals; it neither ends the run nor touches the others.
+    """
+    decoded = materialize(decode_strategies(saved), "watches")
+    valid = decoded.filter("error is null").drop("error")
+    positions = materialize(book(panel, regime, valid, calendar), "watch-book")
+    rows = materialize(periods(positions, panel, valid, calendar), "watch-periods")
+    equity = equity_curve(rows).groupBy("strategy_id").agg(F.max_by("equity", "idx").alias("equity"))
+    live = materialize(live_positions(positions, panel, candles, valid, calendar, end), "watch-live")
+    anchors = calendar.frame(panel.sparkSession)
+    last, anchor = anchors.agg(F.max("idx"), F.max("anchor")).first()
+    flat = period_flags(positions, valid, regime, panel, calendar).filter(F.col("idx") == last - 1).select("strategy_id", "in_btc")
+    inserted = materialize(append_new(signal_rows(live, flat, anchor, equity), stored), "watch-signals")
+    counts = inserted.groupBy("watch_id").agg(F.count(F.lit(1)).alias("n"))
+    summary = decoded.select(F.col("strategy_id").alias("watch_id"), "error").join(counts, "watch_id", "left")
+    return inserted, summary.select("watch_id", F.coalesce("n", F.lit(0)).alias("signals"), "error")
 
 
 def edit_watchlist(watchlist: DataFrame, edits: DataFrame) -> DataFrame:

@@ -143,13 +143,18 @@ def _has(column: str) -> Column:
     return F.col(column).isNotNull() if column == "equity_trend_exposure" else F.coalesce(F.col(column) != 0, F.lit(False))
 
 
-def refuse_path_rules(strategies: DataFrame, with_closes: bool) -> None:
-    """Raise for strategies with a rule the book does not apply, rather than leave it out: rules on the equity
-    (`equity_overlays` applies them to a book), exits of a strategy that rebalances, whose freed slots tie its symbols
-    together, and exits on daily closes where the book is not given any."""
-    holds = F.col("rotation") == "hold"
+def refused_rules(with_closes: bool) -> dict[str, Column]:
+    """Per rule whether a strategy sets it and the book does not apply it: rules on the equity (`equity_overlays` applies
+    them to a book), exits of a strategy that rebalances, whose freed slots tie its symbols together, and exits on daily
+    closes where the book is not given any."""
+    turns = F.col("rotation") != "hold"
     refused = {c: _has(c) for c in EQUITY_RULES}
-    refused |= {c: _has(c) & (F.lit(False) if with_closes or c not in DAILY_RULES else F.lit(True)) | (_has(c) & ~holds) for c in EXIT_RULES}
+    return refused | {c: _has(c) if c in DAILY_RULES and not with_closes else _has(c) & turns for c in EXIT_RULES}
+
+
+def refuse_path_rules(strategies: DataFrame, with_closes: bool) -> None:
+    """Raise for strategies with a rule the book does not apply, rather than leave it out."""
+    refused = refused_rules(with_closes)
     row = strategies.agg(*[F.max(v).alias(c) for c, v in refused.items()]).first()
     found = [c for c in refused if row[c]]
     if found:
