@@ -8,6 +8,8 @@ them. The strategies are the build side where their number is checked to be smal
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -171,10 +173,14 @@ def picks(panel: DataFrame, strategies: DataFrame, calendar: Calendar, candles:
     chosen = picks_rebalance(panel, strategies.filter("rotation != 'hold'"))
     chosen = chosen.withColumns({"keep": F.lit(1.0), "exit_price": F.lit(None).cast("double")})
     holding = strategies.filter("rotation = 'hold'")
-    paths = materialize(position_paths(panel, holding, candles, calendar), "paths")
+    ruled = reduce(lambda a, b: a | b, [_has(c) for c in EXIT_RULES])
+    free, bound = holding.filter(~ruled), holding.filter(ruled)
     keys = ["strategy_id", "symbol", "idx"]
-    exits = paths.filter("kind = 'exit'").select(*keys, F.col("price").alias("exit_price"))
-    members = paths.filter("kind = 'member'").select(*keys, "keep").join(exits, keys, "left")
+    members = hysteresis_members(panel, free, calendar).select(*keys, F.lit(1.0).alias("keep"), F.lit(None).cast("double").alias("exit_price"))
+    if not bound.isEmpty():
+        paths = materialize(position_paths(panel, bound, candles, calendar), "paths")
+        exits = paths.filter("kind = 'exit'").select(*keys, F.col("price").alias("exit_price"))
+        members = members.unionByName(paths.filter("kind = 'member'").select(*keys, "keep").join(exits, keys, "left"))
     rows = numbered(panel.select(*PANEL_ROW), calendar).join(members, ["symbol", "idx"])
     held = with_rules(rows.select(*PANEL_ROW, "strategy_id", "keep", "exit_price"), holding, limits(holding).n)
     return chosen.unionByName(held.withColumn("place", F.lit(None).cast("int")).select(*chosen.columns))
