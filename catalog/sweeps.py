@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import math
+import re
 import uuid
 
 from pyspark.sql import functions as F
 
 from catalog.registry import query
 from catalog.sqlbase import CTES
-from catalog.strategies import CONFIGS, M, book, cal, curve, regime, strats, trades
+from catalog.strategies import _LIQ, CONFIGS, M, _literal, book, cal, curve, regime, strats, trades
 from tidemark.operators import signals as S
 from tidemark.operators import strategy as J
 from tidemark.operators import sweep as L
 from tidemark.operators.series import dip_history
 from tidemark.plans.presets import DEFAULTS, strategies
+from tidemark.plans import space
 from tidemark.plans.space import DEFAULT_SEARCH, sample_strategies
 from tidemark.session import materialize, shared_dir
 from tidemark.sources.store import ChangeLog
@@ -134,7 +137,53 @@ def sampled(ws):
     return L.sweep_report(L.holdout_gate(L.cv_score(scored), scored, "balanced"))
 
 
-query("sampled_sweep", SP + "cv_mean:f3 cv_min:f3 holdout_score:f3 passed:b reason:s")(sampled)
+
+
+def _trials_sql(trials: int, seed: int) -> str:
+    """The sampled configurations, by the same permutation of their numbers."""
+    first, rest = space._halves(list(DEFAULT_SEARCH))
+    a, b = (math.prod(len(space.choices(n)) for n in part) for part in (first, rest))
+    draw = lambda turn, v, size: f"(('0x' || substr(md5('{seed}:{turn}:' || CAST({v} AS VARCHAR)), 1, 8))::BIGINT % {size})"
+    sql = f"SELECT t, t % {a} AS x, t // {a} AS y FROM range({trials}) r(t)"
+    for turn in range(space.TURNS):
+        sql = f"SELECT t, (x + {draw(2 * turn, 'y', a)}) % {a} AS x, y FROM ({sql})"
+        sql = f"SELECT t, x, (y + {draw(2 * turn + 1, 'x', b)}) % {b} AS y FROM ({sql})"
+    digits = {}
+    for part, column in ((first, "x"), (rest, "y")):
+        for name in part:
+            digits[name] = f"{column} % {len(space.choices(name))}"
+            column = f"({column} // {len(space.choices(name))})"
+    cells = ["'trial-' || lpad(CAST(t AS VARCHAR), 6, '0') AS strategy_id"]
+    for name, (kind, default) in DEFAULTS.items():
+        if name in digits:
+            options = ", ".join(_literal(v, kind) for v in space.choices(name))
+            cells.append(f"([{options}])[CAST({digits[name]} AS INTEGER) + 1] AS {name}")
+        else:
+            cells.append(f"{_literal(M if name == 'frequency' else default, kind)} AS {name}")
+    return f"SELECT {', '.join(cells)} FROM ({sql})"
+
+
+# The chain of the fixed strategies once more, for the sampled ones: same statements over other strategies.
+_CHAIN = ["strats", "cand", "picks", "weighted", "risk", "gated", "short_rows", "timing", "book", "posret", "traded", "per", "curve", "sliced", "slice_metrics", "cv", "verdicts"]
+_WORD = re.compile(r"\b(" + "|".join(_CHAIN) + r")\b")
+CTES["trial_strats"] = _trials_sql(200, 7)
+CTES["trial_hold"] = f"""
+SELECT s.*, p.anchor, p.idx, p.symbol, p.score, p.distance, p.price, p.cap, p.volume, p.score >= coalesce(sell_score, min_score) AS stay,
+  p.score >= min_score AND {_LIQ} AND (min_trend_30d IS NULL OR coalesce(trend_30d >= min_trend_30d, FALSE)) AS enter
+FROM panel_m p CROSS JOIN trial_strats s WHERE rotation = 'hold'"""
+CTES["trial_members"] = CTES["members"].replace("hold_rows", "trial_hold")
+for _name in _CHAIN[1:]:
+    CTES[f"trial_{_name}"] = _WORD.sub(r"trial_\1", CTES[_name])
+CTES["trial_picks"] += """ AND rotation <> 'hold'
+UNION ALL BY NAME SELECT * EXCLUDE (stay, enter), NULL AS place FROM trial_members"""
+CTES["trial_weighted"] = CTES["trial_weighted"].replace("count(*) OVER w / top_n AS filled", "least(count(*) OVER w / top_n, 1) AS filled")
+CTES["trial_verdicts"] = CTES["trial_verdicts"].replace("WHEN cv_min <= 0 THEN 'a walk-forward fold lost' ", "").replace("0.5 * cv_mean", "0.25 * cv_mean")
+query(
+    "sampled_sweep",
+    SP + "cv_mean:f3 cv_min:f3 holdout_score:f3 passed:b reason:s",
+    """SELECT *, reason IS NULL AS passed FROM (SELECT *, row_number() OVER (PARTITION BY cv_mean, cv_min, round(holdout_return, 3) ORDER BY strategy_id) AS c FROM trial_verdicts)
+    WHERE c = 1 ORDER BY (reason IS NULL) DESC, cv_mean DESC, cv_min DESC, strategy_id LIMIT 5""",
+)(sampled)
 
 # --- signals -------------------------------------------------------------------------------------
 CTES["signal_log"] = """

@@ -7,6 +7,7 @@ from tidemark.operators import signals as S
 from tidemark.operators import strategy as J
 from tidemark.operators.calendar import Calendar
 from tidemark.plans.presets import strategies
+from tidemark.plans.space import sample_strategies
 
 DAYS = [dt.date(2023, m, 1) for m in (1, 2, 3, 4)]
 SCORES = {"AAA": [90, 45, 35, 30], "BBB": [30, 80, 85, 90]}
@@ -154,3 +155,14 @@ def test_live_book_lists_nothing_when_flat_and_trails_daily_closes(spark, world)
 def test_unknown_parameter_is_rejected(spark):
     with pytest.raises(ValueError):
         strategies(spark, {"x": {"leverage": 3}})
+
+
+def test_sampled_trials_differ_and_are_as_many_as_asked(spark):
+    names = ["top_n", "weighting", "rotation"]
+    everything = 9 * 3 * 2
+    rows = sample_strategies(spark, names, everything, 5, "monthly").select(*names).collect()
+    assert len({tuple(r) for r in rows}) == len(rows) == everything
+    some = [tuple(r) for r in sample_strategies(spark, names, 20, 5, "monthly").select(*names).collect()]
+    assert some == [tuple(r) for r in rows[:20]] and some != [tuple(r) for r in sample_strategies(spark, names, 20, 6, "monthly").select(*names).collect()]
+    with pytest.raises(ValueError):
+        sample_strategies(spark, names, everything + 1, 5, "monthly")

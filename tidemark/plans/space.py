@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Integer ranges (low, high, step) and categorical choices of the search.
@@ -71,23 +73,52 @@ def scope_violations(space: DataFrame, searched: DataFrame, pinned: DataFrame) -
     return unknown.unionByName(missing).unionByName(both).unionByName(illegal).distinct()
 
 
+def _halves(names: list[str]) -> tuple[list[str], list[str]]:
+    """The searched parameters in two parts of about equally many configurations."""
+    first, rest = [], list(names)
+    while rest and math.prod(len(choices(n)) for n in first) < math.prod(len(choices(n)) for n in rest):
+        first.append(rest.pop(0))
+    return first, rest
+
+
+def _draw(seed: int, turn: int, value: Column, size: int) -> Column:
+    """Keyed number below `size`: the first 32 bits of an MD5, which any engine has."""
+    text = F.concat(F.lit(f"{seed}:{turn}:"), value.cast("string"))
+    return F.pmod(F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(size))
+
+
+TURNS = 4
+
+
 def sample_strategies(spark: SparkSession, names: list[str], trials: int, seed: int, frequency: str, pinned: dict | None = None) -> DataFrame:
-    """Seeded random configurations, unique by their values; every trial is a row.
+    """Exactly `trials` different random configurations of the searched parameters.
 
-    The choice of a parameter is a hash of (seed, trial, name), so a sample repeats exactly
-    whatever the number of partitions.
+    A configuration is a number in mixed radix, one digit per parameter, and trial t takes the number that a keyed
+    permutation of all numbers puts at t: a Feistel network on the two halves of the digits. So trials differ by
+    construction, whatever the number of partitions, and asking for more than there are is an error.
     """
     from tidemark.plans.presets import DEFAULTS
 
-    trial = spark.range(trials).withColumnRenamed("id", "trial")
+    first, rest = _halves(names)
+    a, b = (math.prod(len(choices(n)) for n in part) for part in (first, rest))
+    if trials > a * b:
+        raise ValueError(f"{trials} trials asked of {a * b} configurations")
+    x, y = F.col("id") % a, F.floor(F.col("id") / a)
+    rows = spark.range(trials).select(F.col("id").alias("trial"), x.cast("long").alias("x"), y.cast("long").alias("y"))
+    for turn in range(TURNS):
+        rows = rows.withColumn("x", (F.col("x") + _draw(seed, 2 * turn, F.col("y"), a)) % a)
+        rows = rows.withColumn("y", (F.col("y") + _draw(seed, 2 * turn + 1, F.col("x"), b)) % b)
+    digits: dict[str, Column] = {}
+    for part, column in ((first, "x"), (rest, "y")):
+        number = F.col(column)
+        for name in part:
+            digits[name] = (number % len(choices(name))).cast("int")
+            number = F.floor(number / len(choices(name)))
+    columns = []
     for name, (kind, default) in DEFAULTS.items():
-        if name in names:
-            options = F.array(*[F.lit(v).cast(kind) for v in choices(name)])
-            position = F.pmod(F.xxhash64(F.lit(seed), "trial", F.lit(name)), F.size(options)).cast("int")
-            column = F.get(options, position)
+        if name in digits:
+            column = F.get(F.array(*[F.lit(v).cast(kind) for v in choices(name)]), digits[name])
         else:
-            value = frequency if name == "frequency" else (pinned or {}).get(name, default)
-            column = F.lit(value).cast(kind)
-        trial = trial.withColumn(name, column)
-    unique = trial.dropDuplicates(list(DEFAULTS))
-    return unique.withColumn("strategy_id", F.format_string("trial-%06d", "trial")).drop("trial")
+            column = F.lit(frequency if name == "frequency" else (pinned or {}).get(name, default)).cast(kind)
+        columns.append(column.alias(name))
+    return rows.select(F.format_string("trial-%06d", "trial").alias("strategy_id"), *columns)
