@@ -49,7 +49,7 @@ def corpus(seed, n=300):
     return rows + [("aa", None), ("aa", ""), (None, " .,"), ("bb", notice.upper()), ("bb", notice.upper()), ("cc", "word " * 3000), ("dd", "one, two")]
 
 
-@pytest.mark.parametrize("every, top, block", [(24, 2000, 6 << 20), (2, 5, 3000), (10**9, 2000, 500)])
+@pytest.mark.parametrize("every, top, block", [(48, 2000, 6 << 20), (2, 5, 3000), (10**9, 2000, 500)])
 def test_phrases_equal_plain_counting(spark, monkeypatch, every, top, block):
     monkeypatch.setattr(phrases, "BLOCK", block)
     rows, s = corpus(every), phrases.Settings(least=30, top=top, every=every)
