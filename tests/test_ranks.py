@@ -91,3 +91,13 @@ def test_whole_groups_are_ranked_after_one_shuffle(spark, size):
     plan = rank_columns(df, ["g"], ["symbol"], ["x", "y"])._jdf.queryExecution().executedPlan().toString()
     if size == "one task":
         assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_rows_are_numbered_without_gaps(spark):
+    rng = random.Random(6)
+    names = [f"s{k:04d}" for k in range(500)]
+    rng.shuffle(names)
+    df = spark.createDataFrame([(n, float(k)) for k, n in enumerate(names)], "symbol string, v double").repartition(7)
+    got = {r.symbol: r.i for r in ranks.number_rows(df, ["symbol"], "i").collect()}
+    assert got == {n: k for k, n in enumerate(sorted(names))}
+    assert ranks.number_rows(df.filter("false"), ["symbol"], "i").count() == 0

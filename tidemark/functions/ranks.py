@@ -105,6 +105,20 @@ def rank_columns(
     return rows.select(*by, *ids, *keep, *ranks, F.count(F.lit(1)).over(Window.partitionBy(*by)).alias("group_n"))
 
 
+def number_rows(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Add `name`, the 0-based place of each row in the order, for tables of any size.
+
+    Rows are range-sorted and written with a running id; the first id and the size of each partition, a few rows, turn it
+    into a place without gaps.
+    """
+    placed = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    placed = placed.withColumn("__part", F.shiftright("__row", 33))
+    blocks = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min("__row").alias("first"))
+    before = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = blocks.select("__part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("__shift"))
+    return placed.join(F.broadcast(shifts), "__part").withColumn(name, F.col("__row") + F.col("__shift")).drop("__row", "__part", "__shift")
+
+
 def to_percentile(rank0: Column, n: Column, scale: float = 100.0) -> Column:
     """Average rank scaled to 0..scale; the middle of the scale for a single row."""
     return F.when(n > 1, scale * rank0 / (n - 1)).otherwise(scale / 2.0)

@@ -43,12 +43,16 @@ def usd_price(board: DataFrame, rates: DataFrame, day: dt.date, price: str = "pr
 def board_as_of(
     candles: DataFrame, coins: DataFrame, rates: DataFrame, day: dt.date, event_start: dt.date = P.DEFAULT_EVENT_CUTOFF
 ) -> DataFrame:
-    """The board as of a date: only candles up to the day, symbols without a price dropped."""
-    stats = materialize(lookback_stats(candles, Calendar.once(day), event_start), "board-stats")
-    before = close_before(candles, {"price_7d": 7, "price_30d": 30}, day).drop("price", "last_ts")
+    """The board as of a date: only candles up to the day, symbols without a price dropped.
+
+    Candles of symbols that are not live are left out before any statistic.
+    """
     identity = live_coins(coins).select(
         "symbol", "name", "market_id", "listing_date", "is_pre_cutoff", "is_stable", "market_cap", "volume_24h"
     )
+    traded = candles.join(identity.select("symbol"), "symbol", "left_semi")
+    stats = materialize(lookback_stats(traded, Calendar.once(day), event_start), "board-stats")
+    before = close_before(traded, {"price_7d": 7, "price_30d": 30}, day).drop("price", "last_ts")
     rows = stats.join(identity, "symbol").join(before, "symbol", "left")
     rows = rows.withColumns({"cap": F.col("market_cap"), "volume": F.col("volume_24h"), "base_asset": S.base_asset(F.col("symbol"))})
     scored = value_score(rows).select(

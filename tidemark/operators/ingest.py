@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import params as P
 from tidemark.functions import symbols as S
 from tidemark.functions.numeric import falsy
+from tidemark.functions.ranks import number_rows
 
 
 def split_symbols(df: DataFrame, column: str = "symbol") -> DataFrame:
@@ -254,8 +255,7 @@ def demo_candles(coins: DataFrame, start: dt.date, days: int) -> DataFrame:
 
     ``coins`` has symbol and base_price; the phase follows the symbol order.
     """
-    w = Window.partitionBy(F.lit(0)).orderBy("symbol")
-    indexed = coins.select("symbol", "base_price", (F.row_number().over(w) - 1).alias("i"))
+    indexed = number_rows(coins.select("symbol", "base_price"), ["symbol"], "i")
     rows = indexed.select("*", F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("d"))
     wave = 1 + 0.35 * F.sin((F.col("d") + F.col("i") * 10) / 18)
     close = F.col("base_price") * wave * (1 - F.col("d") / (days * 2))
