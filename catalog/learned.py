@@ -126,7 +126,7 @@ SELECT s.fold, s.name, r.w[s.i] AS weight, s.mean, s.scale, s.n FROM r JOIN {pre
 _fit("fold", "SELECT fold, train_end FROM sample_folds WHERE train_end >= 6")
 query("fit_nonnegative", "fold:i name:s weight:f6 mean:f8 scale:f8 n:i", "SELECT * FROM fold_fit")(weights)
 query("evaluate_model", "section:s metric:s value:f6")(
-    lambda ws: K.evaluate_model(K.predictions(*samples(ws), folds(ws), weights(ws)))
+    lambda ws: K.evaluate_model(K.predictions(*samples(ws), folds(ws), weights(ws)), weights=weights(ws))
 )
 
 

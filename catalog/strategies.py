@@ -503,12 +503,21 @@ query(
 )(lambda ws: J.period_flags(book(ws), strats(ws), regime(ws), ws.panel(), cal(ws)))
 query(
     "book_state",
-    SP + "symbol:s direction:s weight:f6 entry_anchor:d entry_price:f8 last_price:f8 peak:f8 periods_held:i",
-    """SELECT strategy_id, symbol, direction, round(weight, 6) AS weight, entry_anchor, entry_price, price AS last_price, peak, held AS periods_held FROM (
+    SP + "symbol:s direction:s weight:f6 entry_anchor:d entry_price:f8 last_price:f8 peak:f8 periods_held:i keep:f6",
+    """SELECT strategy_id, symbol, direction, round(weight, 6) AS weight, entry_anchor, entry_price, price AS last_price, peak, held AS periods_held, 1.0 AS keep FROM (
       SELECT *, row_number() OVER w - 1 AS held, first_value(anchor) OVER w AS entry_anchor, first_value(price) OVER w AS entry_price, max(price) OVER w AS peak FROM (
         SELECT *, idx - row_number() OVER (PARTITION BY strategy_id, symbol, direction ORDER BY idx) AS g FROM book WHERE idx < (SELECT li FROM lastidx))
       WINDOW w AS (PARTITION BY strategy_id, symbol, direction, g ORDER BY idx)) WHERE idx = (SELECT li FROM lastidx) - 1""",
 )(lambda ws: J.book_state(book(ws), ws.panel(), cal(ws)))
+query(
+    "book_summary",
+    SP + "anchor:d equity:l8 long_notional:f6 short_notional:f6 risk_on:b ic_risk_on:b rolling_ic:f6",
+    """SELECT s.strategy_id, a.anchor, e.equity, coalesce(n.ln, 0) AS long_notional, coalesce(n.sn, 0) AS short_notional, coalesce(r.risk_on, TRUE) AS risk_on,
+      coalesce(t.ic_risk_on, TRUE) AS ic_risk_on, t.rolling_ic FROM strats s JOIN anchors_m a ON a.idx = (SELECT li FROM lastidx) - 1
+    LEFT JOIN (SELECT strategy_id, sum(weight) FILTER (weight > 0) AS ln, -sum(weight) FILTER (weight < 0) AS sn FROM book WHERE idx = (SELECT li FROM lastidx) - 1 GROUP BY 1) n USING (strategy_id)
+    LEFT JOIN (SELECT strategy_id, max_by(equity, idx) AS equity FROM curve GROUP BY 1) e USING (strategy_id)
+    LEFT JOIN risk r ON r.strategy_id = s.strategy_id AND r.idx = a.idx LEFT JOIN timing t ON t.strategy_id = s.strategy_id AND t.anchor = a.anchor""",
+)(lambda ws: J.book_summary(book(ws), curve(ws), strats(ws), regime(ws), ws.panel(), cal(ws)))
 # Recursion over the periods: equity, its last values, the lock level and the weights held, as a map from symbol.
 CTES["overlay_rows"] = """
 SELECT p.strategy_id, p.idx, p.funding, p.fee_pct, coalesce(g.lr, 0) AS lr, coalesce(g.sr, 0) AS sr,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark import params as P
 from tidemark.functions.ranks import rank_columns, to_percentile
 from tidemark.operators.calendar import Calendar
-from tidemark.operators.research import proxy_curve, quintile_spread, rank_ic, summary_stats, top_n_forward
+from tidemark.operators.research import block_bootstrap_ci, proxy_curve, quintile_spread, rank_ic, summary_stats, top_n_forward
 from tidemark.operators.score import oriented_ranks
 from tidemark.plans.panel import forward_pairs
 from tidemark.session import materialize
@@ -142,8 +142,10 @@ def predictions(labels: DataFrame, features: DataFrame, folds: DataFrame, weight
     return rows.join(scored, ["fold", "idx", "symbol"])
 
 
-def evaluate_model(predicted: DataFrame, periods_per_year: int = 12) -> DataFrame:
-    """Report rows (section, metric, value): correlations, spreads and top-3 proxies of model and baseline."""
+def evaluate_model(predicted: DataFrame, periods_per_year: int = 12, weights: DataFrame | None = None, draws: int = 2000, seed: int = 7) -> DataFrame:
+    """Report rows (section, metric, value): correlations, spreads and top-3 proxies of model and baseline, the 95 %
+    interval of the difference of their correlations, the figures of each fold, and the mean weight of each feature over
+    the folds, if `weights` (fold, name, weight) is given."""
     rows = materialize(predicted, "predictions")
     by = ["fold", "idx"]
     ic = {s: rank_ic(rows.withColumn("value", F.col(s)), by).select(*by, F.col("ic").alias(s)) for s in ("model", "baseline")}
@@ -161,6 +163,8 @@ def evaluate_model(predicted: DataFrame, periods_per_year: int = 12) -> DataFram
         top = top_n_forward(used, side, 3, by).withColumn("o", F.col("idx"))
         stats.append((f"{side}_top3", proxy_curve(top, "ret", "o", periods_per_year)))
     stats.append(("ic_delta", summary_stats(both.withColumn("d", F.col("model") - F.col("baseline")), "d")))
+    delta = both.select("idx", (F.col("model") - F.col("baseline")).alias("d"))
+    stats.append(("ic_delta_ci95", block_bootstrap_ci(delta, "d", "idx", draws=draws, seed=seed)))
     mean = used.groupBy("idx").agg(F.avg("ret").alias("ret"))
     stats.append(("universe_mean", proxy_curve(mean, "ret", "idx", periods_per_year)))
     out = None
@@ -168,7 +172,13 @@ def evaluate_model(predicted: DataFrame, periods_per_year: int = 12) -> DataFram
         cells = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in row.columns])
         part = row.select(F.lit(section).alias("section"), F.explode(cells).alias("p")).select("section", "p.metric", "p.value")
         out = part if out is None else out.unionByName(part)
-    return out
+    folds = both.groupBy("fold").agg(F.avg("model").alias("model_ic"), F.avg("baseline").alias("baseline_ic"), F.count(F.lit(1)).cast("double").alias("n"))
+    named = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in ("model_ic", "baseline_ic", "n")])
+    out = out.unionByName(folds.select(F.concat(F.lit("fold_"), "fold").alias("section"), F.explode(named).alias("p")).select("section", "p.metric", "p.value"))
+    if weights is None:
+        return out
+    means = weights.groupBy("name").agg(F.avg("weight").alias("value"))
+    return out.unionByName(means.select(F.lit("mean_weights").alias("section"), F.col("name").alias("metric"), "value"))
 
 
 def export_artifact(

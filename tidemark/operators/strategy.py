@@ -815,11 +815,23 @@ def book_state(positions: DataFrame, panel: DataFrame, calendar: Calendar) -> Da
         .filter(F.col("idx") == last - 1)
         .select(
             "strategy_id", "symbol", "direction", F.round("weight", 6).alias("weight"), "score", "entry_anchor",
-            "entry_price", F.col("price").alias("last_price"), "peak", F.col("held").alias("periods_held"),
+            "entry_price", F.col("price").alias("last_price"), "peak", F.col("held").alias("periods_held"), "keep",
         )
     )
 
 
+def book_summary(positions: DataFrame, curve: DataFrame, strategies: DataFrame, regime: DataFrame, panel: DataFrame, calendar: Calendar) -> DataFrame:
+    """One row per strategy beside `book_state`: anchor of the last decision, equity, long and short notional, regime and
+    timing flags and why the book is flat."""
+    last = calendar.frame(panel.sparkSession).agg(F.max("idx")).first()[0]
+    flags = period_flags(positions, strategies, regime, panel, calendar).filter(F.col("idx") == last - 1)
+    side = lambda sign: F.round(F.coalesce(F.sum(F.when(F.col("weight") * sign > 0, F.col("weight") * sign)), _zero()), 6)
+    held = positions.filter(F.col("idx") == last - 1).groupBy("strategy_id").agg(side(1).alias("long_notional"), side(-1).alias("short_notional"))
+    equity = curve.groupBy("strategy_id").agg(F.max_by("equity", "idx").alias("equity"))
+    rows = flags.select("strategy_id", "anchor", "risk_on", "ic_risk_on", "rolling_ic", "in_btc").join(held, "strategy_id", "left").join(equity, "strategy_id", "left")
+    return rows.fillna(0.0, ["long_notional", "short_notional"]).withColumns({"risk_on": F.coalesce("risk_on", F.lit(True)), "ic_risk_on": F.coalesce("ic_risk_on", F.lit(True))})
+
+
 def weighted_period_return(position_rows: DataFrame) -> DataFrame:
     return position_rows.groupBy("strategy_id", "idx").agg(F.sum(F.col("weight") * F.col("pick_return")).alias("ret"))
 
