@@ -42,7 +42,7 @@ class Settings:
     least: int = 30
     covered: int = 80
     top: int = 2000
-    every: int = 48
+    every: int = 24
 
 
 def tokens_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
