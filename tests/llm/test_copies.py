@@ -172,6 +172,20 @@ def test_removed_bytes_equal_brute_force(spark):
     assert suffixes.remove_repeats(frame(spark, [(1, "a")]).filter("false")).count() == 0
 
 
+def test_planted_passages_go_from_400_bytes_on(spark):
+    rng = random.Random(31)
+    words = lambda n, low, high: " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(low, high))) for _ in range(n))
+    passages = [words(55, 2, 6) for _ in range(10)] + [words(55, 7, 9) for _ in range(5)] + [words(80, 4, 8)[:n] for n in (398, 399, 400, 401)]
+    assert {len(p) >= 400 for p in passages} == {True, False} and all(len(p.split()) > 50 for p in passages)
+    # Each in two texts; the letters beside it differ, so that nothing repeats with it.
+    texts, spans = [words(300, 2, 8) for _ in range(10)], [[]] * 10
+    for p, (a, b) in itertools.product(passages, ("xX", "yY")):
+        texts.append(f"{(head := words(80, 2, 8))}{a}{p}{b}{words(80, 2, 8)}")
+        spans.append([(len(head) + 1, len(head) + 1 + len(p))] if len(p) >= 400 else [])
+    found = suffixes.remove_repeats(frame(spark, list(enumerate(texts)))).collect()
+    assert [list(zip(r.starts, r.ends)) for r in sorted(found, key=lambda r: r.doc_id)] == spans
+
+
 @pytest.mark.parametrize("budget", [0, 3000])
 def test_hot_anchors_are_counted_and_never_sorted_together(spark, monkeypatch, budget):
     rng = random.Random(17)
